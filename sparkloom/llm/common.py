@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; numpy needs a few dozen bytes of memory per byte of it.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _local_scratch: list[str] = []
 

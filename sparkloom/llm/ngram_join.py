@@ -3,8 +3,9 @@
 Shingles ("tokens") have one global order: those not known to be frequent first, by hash, then the frequent ones by
 rising frequency. A text of n tokens may miss t = n - ceil(threshold * n) of them in a partner. Class k tokens (k = 1
 rare, 2 frequent, 3 very frequent) are indexed as k-token combinations within small token groups, and the prefix is
-extended until the combinations cover t + 1 tokens: a group with p tokens of class k covers p - k + 1. Two texts above
-the threshold then share at least one signature, so the join loses no pair.
+extended until the combinations cover t + e tokens: a group with p tokens of class k covers p - k + 1. Two texts above
+the threshold then share at least e signatures (the smaller e of the two), so the join loses no pair, and texts that
+share fewer need no look. e grows with n.
 
 Work per link grows with texts, not with pairs of a group: equal token sets are one node; nodes that share a signature
 are compared with a few hubs first; only what stays in different components is compared pair by pair. A pair whose
@@ -54,6 +55,11 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(mix64(mix64(both[:1]) + both[1:] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
+def least_shared(n: int) -> int:
+    """How many signatures a text of n tokens shares with a similar one that isn't smaller."""
+    return 1 + n // 32
+
+
 def _level(n: int) -> int:
     return 0 if n < SMALL else 1 + (n // SMALL).bit_length() - 1
 
@@ -61,11 +67,14 @@ def _level(n: int) -> int:
 def signatures(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int = PERCENT, bounds: tuple[int, ...] = CLASS_BOUNDS) -> np.ndarray:
     """What a text is indexed by. frequent: sorted tokens known to be frequent, counts: in how many texts each was seen."""
     n = len(tokens)
-    need = n - (percent * n + 99) // 100 + 1
+    need = n - (percent * n + 99) // 100 + least_shared(n)
     df = np.zeros(n, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         df = np.where(frequent[at] == tokens, counts[at], 0)
+    rare = tokens[df == 0]
+    if len(rare) >= need:
+        return mix64(rare[:need])
     order = np.lexsort((tokens, df))
     kinds = 1 + np.searchsorted(bounds, df[order], side="right")
     ordered = tokens[order]
@@ -142,7 +151,7 @@ def frequent_tokens(docs: DataFrame, text_col: str, words: int = SHINGLE_WORDS,
         held: dict[int, np.ndarray] = {}
         for _, sets in _sets(batches, text_col, words):
             held |= _distinct(sets)
-            if sum(map(len, held.values())) > 4_000_000:
+            if sum(map(len, held.values())) > 2_000_000:
                 yield flush(held)
                 held = {}
         yield flush(held)
@@ -217,8 +226,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = materialize(fingerprints(docs, id_col, text_col, words))
     nodes = prints.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     index = _index(docs, text_col, words, percent)
-    shared = index.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("sig")
+    shared = index.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")  # a set that several tasks saw goes below
     buckets = materialize(index.join(shared, "sig").distinct().join(nodes, "fp").select("sig", F.col("rep").alias("id"), "n"))
+    for _ in range(3):  # who shares too few signatures goes, which may leave others with too few
+        several = buckets.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+        buckets = buckets.join(several, "sig")
+        enough = buckets.groupBy("id").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.expr(f"k >= 1 + floor(({percent}L * n + 99) div 100 / 32)")).select("id")
+        buckets = materialize(buckets.join(enough, "id"))
     buckets = buckets.withColumn("m", F.col("n"))
     links = tried = found = before = sets = None
     for turn in range(rounds + 1):
@@ -238,14 +252,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if last:  # whatever is still apart, pair by pair
             x, y = open_.alias("x"), open_.alias("y")
             pairs = x.join(y, F.expr(f"x.sig = y.sig and x.id < y.id and x.c <> y.c and {near.format('x', 'y')}"))
-            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("1 + floor(least(x.n, y.n) / 32)").alias("e"))
         else:  # each member with a hub of its signature: in turn any (four for a group at most), and one that shares most of its tokens
             rank = F.xxhash64("id", F.pmod(F.col("sig"), F.lit(4)), F.lit(turn))
             shared = F.when(F.lit(turn % 2 == 1), -F.floor(F.col("m") * 64 / F.col("n"))).otherwise(0)
             hubs = open_.groupBy("sig").agg(F.min(F.struct(shared.alias("s"), rank.alias("r"), F.col("id"), F.col("n"), F.col("m"), F.col("c"))).alias("h"))
             met = open_.alias("x").join(hubs, "sig").where(f"x.c <> h.c and {near.format('x', 'h')}")
             pairs = met.select(F.least("x.id", "h.id").alias("a"), F.greatest("x.id", "h.id").alias("b"))
-        pairs = pairs.distinct()
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("e").alias("e")).where("k >= e").select("a", "b") if last else pairs.distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         known = sets or _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), id_col, text_col, words)
