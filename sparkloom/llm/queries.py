@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm import mixing
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,15 +25,31 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing_sources_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.quality_rules import quality_verdicts
 
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sparkloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scans": op2_secret_scans,
+    "op4_mixing_sources_to_target_weights": op4_mixing_sources_to_target_weights,
     "op5_quality_rules": op5_quality_rules,
+    "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mixing_sources_to_target_weights": mixing.ORACLE}

@@ -148,14 +148,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
 
 
 def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every reported span of scan() replaced by mark; columns as in docs. Ids must be unique and not null.
-
-    Only the short span lists are joined to the texts.
+    """docs with every reported span of scan() replaced by mark; columns as in docs. Rows with a null id stay as they are;
+    rows that repeat an id must have the same text. Only the short span lists are joined to the texts.
     """
-    held = docs.join(scanned.where("spans <> ''").select(F.col(id_col).alias("_id"), "spans"), F.col(id_col) == F.col("_id"), "left")
-    parts = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("b"), F.split(s, ":")[2].cast("int").alias("e")))
+    listed = scanned.where("spans <> ''").select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
+    held = docs.join(listed, F.col(f"`{id_col}`") == F.col("_id"), "left")
+    parts = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("b"), F.split(s, ":")[2].cast("int").alias("e")))
     zero = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
     # overlapping spans count as one; what lies between them is copied
     step = lambda acc, s: F.struct(F.when(s["e"] <= acc["at"], acc["t"]).when(s["b"] < acc["at"], acc["t"]).otherwise(F.concat(acc["t"], F.substring(F.col(text_col), acc["at"] + 1, s["b"] - acc["at"]), F.lit(mark))).alias("t"), F.greatest(acc["at"], s["e"]).alias("at"))
     clean = F.aggregate(parts, zero, step, lambda acc: F.concat(acc["t"], F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col)))))
-    return held.select(*[(F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(clean).alias(text_col) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    return held.select(*[(F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(clean).alias(text_col) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
