@@ -1,12 +1,75 @@
-"""The corpus pipeline: STAGES in order, each on what its predecessor kept."""
+"""The corpus pipeline over documents: reject, de-duplicate, redact, mix and pack, each stage on what its predecessor kept.
 
+run() writes every stage as a table in the shared folder before the next one reads it. A stage takes (spark, docs,
+sf_dir) and returns a DataFrame; all but the last return the columns of documents. No stage needs ids to be unique or
+not null: rows are told apart by a hash of what they hold.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm.common import materialize
+from sparkloom.llm.mixing import mix
+from sparkloom.llm.ngram_join import similar_components
+from sparkloom.llm.packing import pack
+from sparkloom.llm.quality_rules import quality_verdicts
+from sparkloom.llm.secret_scan import redact, scan
+
+#: SQL can express neither the robust estimates nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def _content() -> Column:
+    """Equal for rows with equal id, text, language and source, which every stage treats alike."""
+    return F.xxhash64("doc_id", "text", "lang", "source").alias("_key")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that pass the quality rules."""
+    kept = quality_verdicts(docs.select("text", "lang", "source", _content()), keep=("_key",)).where("kept").select("_key")
+    return docs.withColumn("_key", _content()).join(kept, "_key", "left_semi").select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id; rows that repeat id and text count once."""
+    kept = similar_components(docs.select("doc_id", "text")).where("id <=> component_id").select(F.col("id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, reported secrets replaced by a mark and n_chars brought up to date."""
+    keyed = docs.withColumn("_key", _content())
+    clean = redact(keyed, scan(keyed, id_col="_key", repo_col="doc_id"), id_col="_key")
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the mixed order of their sources."""
+    return mix(docs).orderBy("mix_slot", "mix_position").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, in windows of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", deduplicate),
+    ("secret scans", secrets),
+    ("mixing sources to target weights", mixture),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs)
     return docs
