@@ -37,6 +37,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.vector_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.quality_model import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": op2_secret_scans,
     "op4_mixing_sources_to_target_weights": op4_mixing_sources_to_target_weights,
     "op5_quality_rules": op5_quality_rules,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {"op4_mixing_sources_to_target_weights": mixing.ORACLE}
