@@ -31,6 +31,8 @@ LABELLED = [
     (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (4, 0.8, 2, 1.0, 6, 0.7, 0, 0, 0, 0), (9, 1.0, 8, 1.0, 7, 1.0, 0, 0, 0, 0),
     (3, 0.0, 2, 0.0, 1, 1.0, 0, 1, 0, 1), (12, 0.0, 5, 0.0, 2, 1.0, 0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1), (2, 0.5, 3, 0.0, 1, 1.0, 0, 1, 0, 1),
     (4, 0.2, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (30, 0.4, 2, 1.0, 3, 0.9, 0, 1, 0, 1), (9, 0.8, 3, 0.5, 4, 0.6, 0, 1, 0, 1), (2, 0.0, 4, 0.9, 6, 0.8, 0, 1, 1, 1),
+    (20, 0.1, 2, 0.0, 17, 0.0, 0, 0, 0, 1), (17, 0.0, 20, 0.1, 13, 0.0, 0, 0, 0, 1), (15, 0.0, 18, 0.0, 2, 1.0, 0, 0, 0, 1), (16, 0.1, 2, 0.0, 15, 0.1, 0, 0, 0, 1),
+    (2, 0.0, 1, 1.0, 20, 0.1, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 16, 0.0, 0, 0, 1, 1), (14, 0.9, 16, 0.8, 15, 0.9, 0, 0, 0, 0), (18, 0.8, 2, 1.0, 17, 0.7, 0, 0, 0, 0),
     (8, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 0), (2, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.5, 2, 0.0, 5, 0.9, 0, 0, 0, 0),
     (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (6, 0.2, 4, 0.5, 0, 0.0, 0, 0, 0, 0), (25, 0.9, 20, 0.8, 18, 0.9, 0, 0, 0, 0),
 ]

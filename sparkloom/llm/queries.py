@@ -25,6 +25,12 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.suffix_dedup import passage_report
+
+    return passage_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_mixing_sources_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.mixing import mix
 
@@ -37,6 +43,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.html_text import extract
 
@@ -66,8 +78,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scans": op2_secret_scans,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_mixing_sources_to_target_weights": op4_mixing_sources_to_target_weights,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scans": op6_license_scans,
     "op7_html_extraction": op7_html_extraction,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
