@@ -139,8 +139,9 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
 
 def block_features(blocks: list[tuple[str, int, float, int, int, int]]) -> list[tuple[float, ...]]:
     """FEATURES of each block."""
-    none = ("", 0, 0.0, 0, 0, 0)
-    out = []
+    none, out = ("", 0, 0.0, 0, 0, 0), []
+    if not blocks:
+        return out
     for before, own, after in zip([none, *blocks[:-1]], blocks, [*blocks[1:], none], strict=True):
         out.append((own[1], own[2], before[1], before[2], after[1], after[2], own[3], own[4], own[5]))
     return out

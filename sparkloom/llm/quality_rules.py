@@ -1,8 +1,8 @@
 """Quality rules: fixed limits, then robust multivariate outliers per language and source. DataFrame functions only.
 
 Per group (language, source) a minimum-covariance-determinant estimate of the centre and spread of transformed text
-statistics is found by concentration steps: estimate from the current half, measure all rows by Mahalanobis distance,
-keep the closest share, repeat. Every step is one partial aggregate over a few numbers per text; no group is gathered.
+statistics is found by concentration steps: start from medians and quartiles, measure all rows by Mahalanobis distance,
+estimate from the closest share, repeat. Every step is one partial aggregate over a few numbers per text; no group is gathered.
 Sums are of fixed-point integers and the closest share is cut by a histogram of distances, so results don't depend on
 how rows are dealt out. Rows whose distance exceeds the cut-off are rejected. Groups with fewer than MIN_GROUP usable
 rows borrow the estimate of all groups together.
@@ -97,6 +97,14 @@ def _estimate(core: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "rows", *[f"m_{i}" for i in d], *[f"l_{i}_{j}" for i, j in pairs])
 
 
+def _first_estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The form of _estimate() from medians and quartiles, which outliers move little; exact, as the values are integers."""
+    d = range(len(STATS))
+    held = (rows.groupBy(*keys) if keys else rows.groupBy()).agg(F.count("*").alias("rows"), *[F.percentile(s, [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, s in enumerate(STATS)])
+    spread = [F.sqrt(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) + (FLOOR * SCALE) ** 2) for i in d]
+    return held.select(*keys, "rows", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in d], *[(spread[i] if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in d for j in d if j <= i])
+
+
 def _distance(rows: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance from the estimate in m_i and l_i_j."""
     parts = []
@@ -113,7 +121,7 @@ def robust_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     on = reduce(lambda a, b: a & b, group) if group else F.lit(True)
     core = rows
     for step in range(STEPS + 1):
-        found = materialize(_estimate(core, keys))
+        found = materialize(_estimate(core, keys) if step else _first_estimate(rows, keys))
         if step == STEPS:
             return found
         held = _distance(rows.join(found.select(*[F.col(k).alias(f"_e_{k}") for k in keys], *[c for c in found.columns if c not in keys]), on))

@@ -1,0 +1,334 @@
+"""Each corpus operator against brute force on a small table with the hard cases: nulls, empty and long texts, copies, extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.llm import html_text, license_scan, mixing, ngram_join, packing, quality_model, quality_rules, secret_scan, suffix_dedup, tokens, vector_join
+from sparkloom.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, sig string, row string, c int"
+EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _rows():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, base = say(70), say(200).split()
+    texts = [None, "", "  \n\t ", "One", "one", "two words", "a b c d", "A  b\nc d", say(5), say(9)]
+    texts += [say(rng.randint(20, 120)) for _ in range(25)]
+    for i in range(25):  # near copies
+        own = list(base)
+        for _ in range(i % 9):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join(own))
+    texts += [" ".join(base)] * 12  # exact copies
+    texts += [f"{say(30)} {passage} {say(40)}" for _ in range(12)]
+    texts += ["\n".join(["same line again and again here"] * 30), say(6000), "x" * 5000, "# $ % " * 40 + say(30)]
+    texts += ['token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b" é ' + say(10), "AKIA" + "A1" * 8 + " API_KEY: abcdefghijkl1 short secret=abc", 'pasſword = "abcdefghijklmnop"', "MIT License and mit-license; GNU General Public License", "Licensed under the Apache License, Version 2.0. " * 2]
+    return [(i, t, "en" if i % 3 else None, f"src{i % 4}" if i % 7 else None, len(t or ""), "x", "y", "z", 1) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return _rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], EMPTY)
+
+
+def _words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def _closure(ids, links):
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    return {i: top(i) for i in ids}
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
+    found = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
+
+
+def test_ngram_join_finds_every_link(docs, rows, none):
+    sets = {}
+    for i, text, *_ in rows:
+        w = _words(text)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and sets[b]]
+    want = _closure(sets, links)
+    found = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs).collect()}
+    assert found == {i: (len(sets[i]), want[i]) for i in sets}
+    assert ngram_join.similar_components(none).collect() == []
+
+
+def test_signatures_of_frequent_tokens_meet():
+    rng = np.random.default_rng(3)
+    for n in (2, 4, 20, 43, 57, 90, 400):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+            union = max(1, int(len(x) / 0.8))
+            drop = len(x) // 8
+            y = np.unique(np.concatenate((rng.permutation(x)[drop:], rng.integers(0, 1 << 60, max(0, union - len(x)) // 2).astype(np.uint64))))
+            o = len(np.intersect1d(x, y))
+            if 100 * o < 75 * (len(x) + len(y) - o):
+                continue
+            known = np.sort(rng.permutation(np.union1d(x, y))[: n * 3 // 4])
+            counts = rng.choice([9, 50, 5000], len(known))
+            met = np.intersect1d(ngram_join.signatures(x, known, counts), ngram_join.signatures(y, known, counts))
+            assert len(met) >= min(ngram_join.least_shared(len(x)), ngram_join.least_shared(len(y)))
+
+
+def test_secret_spans(docs, rows, none):
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    scanned = secret_scan.scan(docs)
+    found = {r["doc_id"]: r for r in scanned.collect()}
+    assert len(found) == len(rows)
+    for i, text, *_ in rows:
+        text = text or ""
+        spans = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in assign.finditer(text) if len(m[2]) >= 12]
+        spans += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        listed = [s for _, _, s in sorted(spans)]
+        assert found[i]["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(found[i]["spans"].split(","))
+        assert [found[i][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(s[1] == k for s in spans) for k in range(3)]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, scanned).collect()}
+    for i, text, *_ in rows:
+        want, at = "", 0
+        for _, b, e in sorted((s.split(":") for s in found[i]["spans"].split(",") if s), key=lambda s: int(s[1])):
+            if int(e) > at and int(b) >= at:
+                want += text[at : int(b)] + "[secret]"
+            at = max(at, int(e))
+        assert clean[i] == (text if not found[i]["spans"] else want + text[at:])
+    assert secret_scan.scan(none).collect() == []
+
+
+def test_widely_copied_secrets_are_examples(spark):
+    shared, own = "ghp_" + "a1B2" * 9, "ghp_" + "z9Y8" * 9
+    table = spark.createDataFrame([(i, f"use {shared} here", f"o{i}") for i in range(9)] + [(99, f"mine {own}", "o1"), (100, f"{shared}", None)], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in secret_scan.scan(table).collect()}
+    assert found[99]["n_live"] == 1 and found[99]["spans"].startswith("github:5:")
+    assert all(found[i]["n_examples"] == 1 and found[i]["spans"] == "" for i in (*range(9), 100))
+
+
+def test_suffix_dedup_covers_repeated_passages(docs, rows, none):
+    texts = {i: _words(t) for i, t, *_ in rows}
+    owners = defaultdict(set)
+    for i, w in texts.items():
+        for j in range(len(w) - 49):
+            owners[tuple(w[j : j + 50])].add(i)
+    want = {(i, k) for i, w in texts.items() for j in range(len(w) - 49) if len(owners[tuple(w[j : j + 50])]) > 1 for k in range(j, j + 50)}
+    found = suffix_dedup.repeated_passages(docs).collect()
+    got = {(r["id"], k) for r in found for k in range(r["start"], r["end"])}
+    assert got <= want and len(got) >= 0.999 * len(want) and len(want) > 2000
+    assert {i for i, _ in got} == {i for i, _ in want}
+    assert suffix_dedup.repeated_passages(none).collect() == []
+
+
+def test_pfair_stays_within_one_block():
+    for shares in ([1], [3, 2], [500, 250, 125, 60, 40, 20, 5], [7] * 13, [1, 999]):
+        period, total, done = mixing.pfair_period(shares), sum(shares), [0] * len(shares)
+        for t, (s, k) in enumerate(period, 1):
+            assert k == done[s]
+            done[s] += 1
+            assert all(abs(t * a - d * total) < total for a, d in zip(shares, done, strict=True))
+        assert done == shares
+
+
+def test_mixing_keeps_every_row(docs, rows, none):
+    found = mixing.mix(docs, block_rows=3).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
+    assert len({(r["mix_slot"], r["mix_position"]) for r in found}) == len(rows)
+    by_source = defaultdict(set)
+    for r in found:
+        by_source[r["source"]].add((r["mix_block"], r["mix_position"]))
+    for own in by_source.values():
+        assert sorted(b * 3 + p for b, p in own) == list(range(len(own)))
+    assert mixing.mix(none).collect() == []
+    uneven = mixing.mix(docs, weights={"src1": 0.9, "src2": 0.1}, block_rows=1).orderBy("mix_slot").limit(8).collect()
+    assert sum(r["source"] == "src1" for r in uneven) >= 4
+
+
+def test_quality_counts_and_verdicts(docs, rows, none):
+    found = {r["doc_id"]: r for r in quality_rules.quality_verdicts(docs).collect()}
+    for i, text, *_ in rows:
+        text = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(w[j : j + 8]) for j in range(len(w) - 7)]
+        twice, covered = Counter(windows), set()
+        for j, x in enumerate(windows):
+            if twice[x] > 1:
+                covered.update(range(j, j + 8))
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+        r = found[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+        assert not (r["base_failed"] and r["kept"])
+    symbols = next(i for i, t, *_ in rows if (t or "").startswith("# $ %"))
+    assert not found[symbols]["kept"]
+    plain = [r for i, r in found.items() if 10 <= i < 35 and not r["base_failed"]]
+    assert plain and all(r["kept"] for r in plain)
+    assert quality_rules.quality_verdicts(none).collect() == []
+
+
+def test_robust_estimate_is_a_determinant_minimum(spark):
+    """The estimate of a contaminated group is near that of its clean part."""
+    rng = np.random.default_rng(0)
+    clean, bad = rng.normal(0, 300, (400, 4)), rng.normal(6000, 50, (80, 4))
+    table = spark.createDataFrame([("g", *map(int, x)) for x in np.vstack((clean, bad))], "k string, " + ", ".join(f"{s} long" for s in quality_rules.STATS))
+    found = quality_rules.robust_estimates(table, ["k"]).first()
+    assert all(abs(found[f"m_{i}"]) < 60 for i in range(4)) and all(150 < found[f"l_{i}_{i}"] < 330 for i in range(4))
+
+
+def test_license_places(docs, rows, none):
+    phrases = [(p.split(), label) for p, label in license_scan.BASE.items()]
+    found = {r["id"]: r for r in license_scan.scan(docs).collect()}
+    for i, text, *_ in rows:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = [(j, label) for p, label in phrases for j in range(len(w)) if w[j : j + len(p)] == p]
+        r = found[i]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(at), ",".join(sorted({x for _, x in at})))
+        assert (r["first_word"], r["last_word"]) == ((min(at)[0], max(at)[0]) if at else (None, None))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert license_scan.scan(none).collect() == []
+
+
+def test_license_template_with_a_changed_word(spark):
+    text = "intro words this program comes with permission to use copy modify or distribute this software for any purpose with or without fee is hereby granted so there"
+    found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert found["labels"] == "isc" and 0.7 < found["score"] < 1
+
+
+PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
+<nav><ul><li><a href=x>Home</a></ul></nav><div id="cookie-notice"><p>We use cookies a lot on this web site for you</p></div>
+<div class=sidebar><h3>Popular</h3><ul><li><a>One</a></ul></div><article><h1>Title &amp; more</h1><p>First <b>bold</b>
+ paragraph<br>here &lt;ok&gt;.<p>Ti.</p><div class="comments"><p>Great article, I liked it very much indeed, thanks a lot.</p></div></article>
+<form><label>Name</label><input><button>Go</button></form><div class="ad">Buy now and save</div><footer>&copy; 2020</footer></body></html>"""
+
+
+def test_html_main_text(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "a"), (2, None, None, "b"), (3, "v", "", "c"), (4, "w", "<article><p>cut of", "d"), (1, "u", PAGE, "a")], "page_id long, url string, html string, text string")
+    found = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect())
+    text = "Title & more\n\nFirst bold paragraph here <ok>.\n\nTi."
+    assert found == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (4, "cut of", 6)]
+    assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_tree_learns_its_table(spark):
+    tree = html_text.train_tree(spark)
+    right = sum(html_text.classify(tree, row[:-1]) == row[-1] for row in html_text.LABELLED)
+    assert right >= 0.9 * len(html_text.LABELLED)
+
+
+def test_vector_links(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 16))
+    near = base[:20].repeat(6, 0) + rng.normal(scale=0.05, size=(120, 16))
+    rows = [(i, [float(v) for v in x], "x") for i, x in enumerate(np.vstack((base, near)))]
+    rows += [(1000 + i, rows[3][1], None) for i in range(5)]
+    rows += [(2000, None, "x"), (2001, [0.0] * 16, "x"), (2002, [float("nan")] * 16, "x"), (2003, [None] * 16, "x"), (2004, [1.0], "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = {r["id"]: r for r in vector_join.near_duplicates(table).collect()}
+    good = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows if i < 2000}
+    links = [(a, b) for a in good for b in good if a < b and good[a] @ good[b] >= 0.9]
+    degree = Counter(x for pair in links for x in pair)
+    assert sum(found[i]["n_links"] for i in good) >= 0.9 * 2 * len(links)
+    assert all(found[i]["n_links"] <= degree[i] for i in good)
+    want = _closure(good, links)
+    assert sum(found[i]["component_id"] == want[i] for i in good) >= 0.9 * len(good)
+    assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in range(2000, 2005))
+    assert vector_join.near_duplicates(table.limit(0)).collect() == []
+
+
+def test_quality_model_on_held_out_rows(spark, none):
+    rng = random.Random(2)
+    say = lambda n: " ".join("".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    junk = lambda n: " ".join(w + "$$$" for w in say(n).split())
+    rows = [(i, say(60) if i % 5 else junk(60), int(i % 5 > 0)) for i in range(600)] + [(1000, None, 1), (1001, "", 0)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 2], "doc_id long, quality int")
+    found = {r["id"]: r for r in quality_model.score_quality(docs, labels).collect()}
+    assert len(found) == len(rows)
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in found.items())
+    held = [(y, found[i]) for i, _, y in rows[:600] if found[i]["held_out"]]
+    assert sum(r["predicted"] == y for y, r in held) >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    assert quality_model.score_quality(none, labels).collect() == []
+
+
+def test_tokens_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, whole = tokens.WordTokenizer(path), Tokenizer.from_file(path)
+    for text in ("", "Hello, World's  don't\n100x2 über-naïve ß Ü ÿ", "x² ½ ª º µ _a_b__", "日本語 Σας İ", "á é z", "<|endoftext|> <| x", "a\x1cb\x85c", "“quoted” – dash… €5", "´'s 'S 'Ll"):
+        assert own.encode(text) == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = packing.pack(docs, path, window=64, spaces=4, with_ids=True).collect()
+    whole, by_doc, by_sequence = Tokenizer.from_file(path), defaultdict(list), defaultdict(list)
+    for r in found:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+        assert r["ids_crc32"] == zlib.crc32(r["ids"]) and len(r["ids"]) == 4 * r["length"]
+    for i, text, *_ in rows:
+        want = [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+        own = sorted(by_doc[i], key=lambda r: r["start"])
+        assert np.concatenate([np.frombuffer(r["ids"], "<u4") for r in own]).tolist() == want
+        assert all(r["doc_tokens"] == len(want) for r in own)
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64 and at & (at - 1) == 0
+    assert packing.pack(none, path).collect() == []
+
+
+def test_pipeline_stages(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([r[:5] for r in rows], EMPTY).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] > sizes[2] == sizes[3] == sizes[4] > 0
+    assert docs.where(F.col("text").contains("9233a8ecf7c5b09fe")).count() == 0
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == sizes[-1]
