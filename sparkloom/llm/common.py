@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Text handled at once inside a task; numpy needs a few dozen bytes of memory per byte of it.
 CHUNK_BYTES = 2 << 20
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_scratch: list[str] = []
 
 
@@ -34,8 +36,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, conf = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEAN_SHUFFLES, "false")
+    conf.set(CLEAN_SHUFFLES, "true")  # the table stands for its shuffle files
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEAN_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -227,8 +227,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = prints.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     index = _index(docs, text_col, words, percent)
     shared = index.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")  # a set that several tasks saw goes below
-    buckets = materialize(index.join(shared, "sig").distinct().join(nodes, "fp").select("sig", F.col("rep").alias("id"), "n"))
-    for _ in range(3):  # who shares too few signatures goes, which may leave others with too few
+    buckets = materialize(index.join(shared.hint("shuffle_hash"), "sig").distinct().join(nodes, "fp").select("sig", F.col("rep").alias("id"), "n"))
+    for _ in range(2):  # who shares too few signatures goes, which may leave others with too few
         several = buckets.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
         buckets = buckets.join(several, "sig")
         enough = buckets.groupBy("id").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.expr(f"k >= 1 + floor(({percent}L * n + 99) div 100 / 32)")).select("id")
