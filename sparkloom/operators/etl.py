@@ -39,11 +39,11 @@ def read_drop(spark: SparkSession, path: str) -> DataFrame:
 
 
 def coerce(records: DataFrame) -> DataFrame:
-    """records with typed columns beside the raw ones, and a type mask m_<reason> for each rule about types."""
+    """records with typed columns; the raw ones are kept as raw_<name>, as column names don't differ by case."""
     c = {x: clean(F.col(f"`{x}`")) for x in RAW}
     quantity, price, customer = number(c["Quantity"]), number(c["Price"]), number(c["Customer ID"])
     out = records.select(
-        "*",
+        *[F.col(f"`{x}`").alias(f"raw_{x}" if x in RAW else x) for x in records.columns],
         c["Invoice"].alias("invoice"), c["StockCode"].alias("stock_code_raw"), collapse(c["Description"]).alias("description"),
         F.when(quantity % 1 == 0, quantity).cast("long").alias("quantity"),
         F.try_to_timestamp(c["InvoiceDate"], F.lit("y-M-d H:m:s")).cast("timestamp_ntz").alias("invoiced_at"),
@@ -117,7 +117,7 @@ def validate(records: DataFrame, period: str, products: DataFrame, customers: Da
     """records with typed columns, reason (a reject reason, duplicate_line or null), severity, and warnings of accepted rows."""
     rows = with_references(coerce(records), products, customers).withColumn("reason", reject_reason(period))
     # equal raw rows have equal reasons, so the first of equal rows is the first of the accepted ones
-    rows = keep_first(rows, list(RAW), [order])
+    rows = keep_first(rows, [f"raw_{x}" for x in RAW], [order])
     reason = F.coalesce("reason", F.when(F.col("duplicate"), "duplicate_line"))
     severity = F.when(F.col("reason").isNotNull(), "reject").when(F.col("duplicate"), "dropped")
     rows = rows.withColumn("severity", severity).withColumn("reason", reason).drop("duplicate")

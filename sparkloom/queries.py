@@ -158,7 +158,7 @@ def _dq_score(spark, sf_dir):
  printf('%.3f', unit_price), strftime(invoiced_at, '%Y-%m-%d %H:%M:%S'), coalesce(customer_id::VARCHAR, ''), coalesce(country_raw, ''))), 1, 32) AS line_key, round(quantity * unit_price, 3) AS line_total
 FROM judged WHERE reason IS NULL AND description0 IS NOT NULL""")
 def _line_key(spark, sf_dir):
-    kept = _validated(spark, sf_dir).where("reason is null and trim(Description) <> ''")
+    kept = _validated(spark, sf_dir).where("reason is null and trim(raw_Description) <> ''")
     return etl.transform(kept).select("invoice", "stock_code_raw", "line_key", F.col("line_total").cast("double").alias("line_total"))
 
 
@@ -244,11 +244,11 @@ def _summary(spark, sf_dir):
     return t.groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.min("o_orderdate").alias("first_order"), F.max("o_orderdate").alias("last_order"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-_SHIP_SQL = """o AS (SELECT o_orderkey::VARCHAR AS invoice_no, o_orderdate AS at, CASE WHEN c_nationkey < 5 THEN 'home' WHEN c_nationkey < 15 THEN 'near' ELSE 'far' END AS region, o_totalprice, o_orderstatus,
+_SHIP_SQL = """o AS (SELECT o_orderkey::VARCHAR AS invoice_no, o_orderdate AS placed, CASE WHEN c_nationkey < 5 THEN 'home' WHEN c_nationkey < 15 THEN 'near' ELSE 'far' END AS region, o_totalprice, o_orderstatus,
   ('0x' || substr(sha256('shipment:' || o_orderkey::VARCHAR), 1, 12))::BIGINT AS h FROM orders JOIN customer ON o_custkey = c_custkey),
-d AS (SELECT *, at::DATE + CASE WHEN hour(at) < 15 THEN 1 ELSE 2 END AS s FROM o),
+d AS (SELECT *, placed::DATE + CASE WHEN hour(placed) < 15 THEN 1 ELSE 2 END AS s FROM o),
 e AS (SELECT *, s + CASE isodow(s) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS dispatched_on FROM d),
-f AS (SELECT *, dispatched_on + CASE region WHEN 'home' THEN 2 + h % 2 WHEN 'near' THEN 3 + h % 4 ELSE 6 + h % 6 END::INT AS estimated_delivery, (h >> 8) % 100 AS roll, (h >> 16) AS z FROM e),
+f AS (SELECT *, dispatched_on + CAST(CASE region WHEN 'home' THEN 2 + h % 2 WHEN 'near' THEN 3 + h % 4 ELSE 6 + h % 6 END AS INT) AS estimated_delivery, (h >> 8) % 100 AS roll, (h >> 16) AS z FROM e),
 g AS (SELECT *, CASE WHEN roll < 6 THEN NULL WHEN roll < 14 THEN estimated_delivery + (4 + z % 9)::INT ELSE estimated_delivery - (z % 2)::INT END AS due FROM f),
 ship AS (SELECT *, CASE WHEN roll < 4 AND DATE '1998-08-05' > estimated_delivery + 10 THEN 'lost' WHEN roll >= 4 AND roll < 6 AND DATE '1998-08-05' >= estimated_delivery + 6 THEN 'returned_to_sender'
   WHEN roll >= 6 AND roll < 14 AND DATE '1998-08-05' >= due THEN 'delivered_late' WHEN roll >= 14 AND DATE '1998-08-05' >= due THEN 'delivered' ELSE 'in_transit' END AS status FROM g),
@@ -268,12 +268,12 @@ def _shipments(spark, sf_dir):
 
 
 @_register("refund_decisions", f"""WITH {_SHIP_SQL}, claims AS (SELECT *, CASE invoice_no::BIGINT % 5 WHEN 0 THEN 'damaged' WHEN 1 THEN 'missing_items' WHEN 2 THEN 'late_delivery' WHEN 3 THEN 'lost_parcel' ELSE 'return_unused' END AS reason,
- o_orderstatus = 'P' AS credit, round(o_totalprice::DECIMAL(14,4), 2)::DECIMAL(14,2) AS goods, CASE WHEN invoice_no::BIGINT % 3 = 0 THEN 7.5 ELSE 0 END::DECIMAL(14,2) AS shipping, round((o_totalprice / 1000)::DECIMAL(14,4), 2)::DECIMAL(14,2) AS claimed FROM shipped),
+ o_orderstatus = 'P' AS credit, round(o_totalprice::DECIMAL(14,4), 2)::DECIMAL(14,2) AS goods, CAST(CASE WHEN invoice_no::BIGINT % 3 = 0 THEN 7.5 ELSE 0 END AS DECIMAL(14,2)) AS shipping, round((o_totalprice / 1000)::DECIMAL(14,4), 2)::DECIMAL(14,2) AS claimed FROM shipped),
 amounts AS (SELECT *, CASE WHEN credit THEN NULL WHEN reason IN ('damaged', 'missing_items') AND DATE '1998-08-05' - delivered_on <= 14 THEN claimed WHEN reason = 'return_unused' AND DATE '1998-08-05' - delivered_on <= 30 THEN claimed
  WHEN reason = 'late_delivery' AND status = 'delivered_late' THEN CASE WHEN shipping > 0 THEN shipping ELSE least(round((goods * 0.05)::DECIMAL(14,4), 2), 10) END WHEN reason = 'lost_parcel' AND status = 'lost' THEN goods END AS amount0 FROM claims),
 final AS (SELECT *, CASE WHEN reason = 'return_unused' THEN amount0 ELSE least(amount0, goods + shipping) END AS amount1 FROM amounts),
 ok AS (SELECT *, coalesce(amount1 > 0 OR (reason = 'return_unused' AND amount0 IS NOT NULL), false) AND amount1 IS NOT NULL AS eligible FROM final)
-SELECT invoice_no, reason, eligible, CASE WHEN eligible THEN amount1 ELSE 0 END::DOUBLE AS amount, CASE WHEN NOT eligible OR reason = 'return_unused' THEN 'none' WHEN amount1 <= 50 THEN 'agent' ELSE 'supervisor' END AS approval FROM ok""")
+SELECT invoice_no, reason, eligible, CAST(CASE WHEN eligible THEN amount1 ELSE 0 END AS DOUBLE) AS amount, CASE WHEN NOT eligible OR reason = 'return_unused' THEN 'none' WHEN amount1 <= 50 THEN 'agent' ELSE 'supervisor' END AS approval FROM ok""")
 def _refunds(spark, sf_dir):
     key = F.col("invoice_no").cast("long")
     reason = F.element_at(F.array(*map(F.lit, ("damaged", "missing_items", "late_delivery", "lost_parcel", "return_unused"))), (key % 5 + 1).cast("int"))
@@ -377,10 +377,13 @@ def _chunks(spark, sf_dir):
     return retrieval.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@_register("strip_running_lines")
+@_register("strip_running_lines", r"""WITH l AS (SELECT lang AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10)))))::INT AS line FROM documents),
+ m AS (SELECT *, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS t FROM l), p AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY 1),
+ r AS (SELECT m.doc, t FROM m JOIN p ON m.doc = p.doc GROUP BY m.doc, t, pages HAVING pages >= 3 AND count(DISTINCT page) >= 0.02 * pages)
+SELECT doc, page, line, text FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc = m.doc AND r.t = m.t)""")
 def _running(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumnRenamed("lang", "doc")
-    return retrieval.strip_running_lines(lines, 0.001)
+    return retrieval.strip_running_lines(lines, 0.02)
 
 
 @_register("accuracy_by_split_grouping_sets", """WITH r AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'held_out' ELSE 'dev' END AS split, lang AS variant, quality = 1 AS exact, toxic = 1 AS flagged FROM labels JOIN documents USING (doc_id))

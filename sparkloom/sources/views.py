@@ -36,7 +36,7 @@ DROP_SQL = """drop_rows AS (SELECT
  CASE WHEN l_suppkey % 53 = 0 THEN 'many' WHEN l_suppkey % 47 = 0 THEN '0' WHEN l_suppkey % 43 = 0 THEN '1.5' WHEN l_returnflag = 'R' AND l_linenumber <> 3
       THEN '-' || CAST(CAST(l_quantity AS INT) AS STRING) ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS quantity_raw,
  CASE WHEN l_orderkey % 79 = 0 THEN '31/12/1996' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 08:26:00' END AS date_raw,
- CASE WHEN l_partkey % 41 = 0 THEN 'free' WHEN l_partkey % 37 = 0 THEN '-1.50' WHEN l_partkey % 31 = 0 THEN '0' ELSE CAST(CAST(p_retailprice AS INT) AS STRING) || '.25' END AS price_raw,
+ CASE WHEN l_partkey % 41 = 0 THEN 'free' WHEN l_partkey % 37 = 0 THEN '-1.50' WHEN l_partkey % 31 = 0 THEN '0' ELSE CAST(CAST(floor(p_retailprice) AS INT) AS STRING) || '.25' END AS price_raw,
  CASE WHEN o_custkey % 7 = 0 THEN '' WHEN o_custkey % 29 = 0 THEN 'guest' ELSE CAST(o_custkey AS STRING) END AS customer_raw,
  n_name AS country_raw
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
