@@ -8,7 +8,8 @@ the threshold then share at least e signatures (the smaller e of the two), so th
 share fewer need no look. e grows with n.
 
 Work per link grows with texts, not with pairs of a group: equal token sets are one node; nodes that share a signature
-are compared with a few hubs first; only what stays in different components is compared pair by pair. A pair whose
+are compared with a few hubs first; only what stays in different components, and isn't too far apart by each one's
+distance from a hub, is compared pair by pair. A pair whose
 ends are already connected can't change a component, so leaving it out loses nothing.
 """
 
@@ -125,47 +126,48 @@ def _distinct(sets: list[np.ndarray]) -> dict[int, np.ndarray]:
     return {fingerprint(s): s for s in sets if len(s)}
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, n, fp): size and fingerprint of each text's token set; the empty set has n = 0."""
-
-    def run(batches):
-        for part, sets in _sets(batches, text_col, words):
-            yield pa.RecordBatch.from_arrays(
-                [part.column(id_col), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], ["id", "n", "fp"]
-            )
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, fp long")
-
-
-def frequent_tokens(docs: DataFrame, text_col: str, words: int = SHINGLE_WORDS, least: int = CLASS_BOUNDS[0], most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens seen in at least `least` texts and those counts, sorted by token; the `most` commonest where there are more.
-
-    A task counts a token where at least two of its texts have it, so the counts are a lower estimate over all texts.
+def survey(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, n, fp, counted), from one pass over the texts: size and fingerprint of each text's token set (the empty set
+    has n = 0); and, where counted, a token (fp) with the number of texts (n) of which a task saw it in two or more.
     """
+    kind = None
 
     def run(batches):
         def flush(sets):
             tokens, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([as_long(tokens[n > 1]), pa.array(n[n > 1])], ["token", "n"])
+            tokens, n = tokens[n > 1], n[n > 1]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), kind), pa.array(n, pa.int64()), as_long(tokens), pa.array(np.ones(len(n), bool))], ["id", "n", "fp", "counted"])
 
+        nonlocal kind
         held: dict[int, np.ndarray] = {}
-        for _, sets in _sets(batches, text_col, words):
-            held |= _distinct(sets)
+        for part, sets in _sets(batches, text_col, words):
+            kind, prints = part.column(id_col).type, [fingerprint(s) for s in sets]
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(id_col), sizes, pa.array(prints, pa.int64()), pa.array(np.zeros(len(sets), bool))], ["id", "n", "fp", "counted"])
+            held |= {fp: s for fp, s in zip(prints, sets, strict=True) if len(s)}
             if sum(map(len, held.values())) > 2_000_000:
                 yield flush(held)
                 held = {}
-        yield flush(held)
+        if held:
+            yield flush(held)
 
-    counted = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, fp long, counted boolean")
+
+
+def frequent_tokens(counts: DataFrame, least: int = CLASS_BOUNDS[0], most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (fp) of counts seen in at least `least` texts and those counts, sorted by token; the `most` commonest where there are more.
+
+    A task counts a token where at least two of its texts have it, so the counts are a lower estimate over all texts.
+    """
+    counted = counts.groupBy(F.col("fp").alias("token")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     rows = counted.orderBy(F.desc("n"), "token").limit(most).toPandas()
     tokens, counts = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
     return tokens[order], counts[order]
 
 
-def _index(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+def _index(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, text_col: str, words: int, percent: int) -> DataFrame:
     """(sig, fp): each distinct token set of a batch by its signatures."""
-    frequent, counts = frequent_tokens(docs, text_col, words)
     known = docs.sparkSession.sparkContext.broadcast((frequent, counts))  # at most MAX_FREQUENT tokens
 
     def run(batches):
@@ -210,6 +212,22 @@ def _shareable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members
 
 
+def _from_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, id, n, m, c, d, s): each of members (sig, id, n, m, c) once for each hub of its signatures, with d, in how
+    many tokens it differs from the hub, and s, how many of those another member may share.
+
+    Members that share a signature share its hub. Two members x and y differ in d_x + d_y tokens less twice the ones in
+    which both differ from the hub, which are min(s_x, s_y) at most. So most pairs that share much of a common core, but
+    have changes of their own, are known to be too different without a look at them.
+    """
+    own = F.floor((F.col("n") - F.col("m")) * 64 / F.col("n"))  # a hub with few changes of its own is near the core
+    hubs = members.groupBy("sig").agg(F.min(F.struct(own.alias("o"), F.xxhash64("id").alias("r"), "id")).alias("h")).select("sig", F.col("h.id").alias("hub"))
+    placed = materialize(members.join(hubs, "sig").select("hub", "id", "n", "m", "c").distinct())
+    met = placed.select("id", "hub").join(sets.select("id", F.col("tokens").alias("x")), "id").join(sets.select(F.col("id").alias("hub"), F.col("tokens").alias("y")), "hub")
+    apart = met.select("id", "hub", (F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))).cast("long").alias("d"))
+    return materialize(placed.join(apart, ["id", "hub"]).withColumn("s", F.greatest(F.lit(0), F.col("d") - F.col("n") + F.col("m"))))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs whose token sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
@@ -223,9 +241,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no tokens and link with nothing, so they are their own component; rows that repeat an id
     are repeated in the result. Ids are assumed not to be null; other columns are ignored. An empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, words))
+    seen = materialize(survey(docs, id_col, text_col, words))
+    prints, known = seen.where("not counted").drop("counted"), frequent_tokens(seen.where("counted"))
     nodes = prints.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    index = _index(docs, text_col, words, percent)
+    index = _index(docs, *known, text_col, words, percent).repartition("sig")  # one exchange for both uses
     shared = index.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")  # a set that several tasks saw goes below
     buckets = materialize(index.join(shared.hint("shuffle_hash"), "sig").distinct().join(nodes, "fp").select("sig", F.col("rep").alias("id"), "n"))
     for _ in range(2):  # who shares too few signatures goes, which may leave others with too few
@@ -250,16 +269,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         before = left if turn else None
         near = f"100L * least({{0}}.m, {{1}}.m) >= {percent}L * ({{0}}.n + {{1}}.n - least({{0}}.m, {{1}}.m))"
         if last:  # whatever is still apart, pair by pair
+            open_ = _from_hubs(open_, sets, percent)
             x, y = open_.alias("x"), open_.alias("y")
-            pairs = x.join(y, F.expr(f"x.sig = y.sig and x.id < y.id and x.c <> y.c and {near.format('x', 'y')}"))
-            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("1 + floor(least(x.n, y.n) / 32)").alias("e"))
+            alike = f"{100 + percent}L * (x.d + y.d - 2 * least(x.s, y.s)) <= {100 - percent}L * (x.n + y.n)"
+            pairs = x.join(y, F.expr(f"x.hub = y.hub and x.id < y.id and x.c <> y.c and {near.format('x', 'y')} and {alike}"))
+            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         else:  # each member with a hub of its signature: in turn any (four for a group at most), and one that shares most of its tokens
             rank = F.xxhash64("id", F.pmod(F.col("sig"), F.lit(4)), F.lit(turn))
             shared = F.when(F.lit(turn % 2 == 1), -F.floor(F.col("m") * 64 / F.col("n"))).otherwise(0)
             hubs = open_.groupBy("sig").agg(F.min(F.struct(shared.alias("s"), rank.alias("r"), F.col("id"), F.col("n"), F.col("m"), F.col("c"))).alias("h"))
             met = open_.alias("x").join(hubs, "sig").where(f"x.c <> h.c and {near.format('x', 'h')}")
             pairs = met.select(F.least("x.id", "h.id").alias("a"), F.greatest("x.id", "h.id").alias("b"))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("e").alias("e")).where("k >= e").select("a", "b") if last else pairs.distinct()
+        pairs = pairs.distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         known = sets or _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), id_col, text_col, words)
