@@ -244,8 +244,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = materialize(survey(docs, id_col, text_col, words))
     prints, known = seen.where("not counted").drop("counted"), frequent_tokens(seen.where("counted"))
     nodes = prints.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    index = _index(docs, *known, text_col, words, percent).repartition("sig")  # one exchange for both uses
-    shared = index.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")  # a set that several tasks saw goes below
+    # Both uses of the index read the same columns behind the same filter, or Spark would compute and shuffle it twice.
+    index = _index(docs, *known, text_col, words, percent).where("sig is not null and fp is not null").repartition("sig")
+    shared = index.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("sig")
     buckets = materialize(index.join(shared.hint("shuffle_hash"), "sig").distinct().join(nodes, "fp").select("sig", F.col("rep").alias("id"), "n"))
     for _ in range(2):  # who shares too few signatures goes, which may leave others with too few
         several = buckets.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
