@@ -2,8 +2,10 @@
 
 Two codebooks, one per half of the vector, form a product grid; every vector is listed in one cell. A vector visits
 cells by rising distance in multi-sequence order and is compared, in double precision, with the vectors listed there.
-How many cells are visited follows from brute force: a fixed number of sample queries against all rows gives the rank at
-which true partners' cells come, and the number of cells is the least that reaches the target recall.
+How many cells are visited is measured: probes are compared with all rows, and the number of cells is the least at which
+probes find the target share of their partners, each probe counting the same and each class of partner counts reaching
+the target by itself. If MOST_CELLS cells don't reach it, the grid is made coarser; its last form is one cell, which
+compares everything with everything.
 
 Equal vectors are one node with a multiplicity. Cells are split into blocks of bounded size on both sides; a block
 returns numbers and a spanning forest, never its pairs.
@@ -27,8 +29,13 @@ THRESHOLD = 0.9
 TARGET_RECALL = 0.99
 #: Codebooks are fitted on at most so many vectors, the first by hash of their content.
 FIT_VECTORS = 20_000
-#: Queries that the number of visited cells is measured with; all rows are searched for their partners.
+#: Probes of the first round and of a later round at most; a round has four times the probes of the one before.
 PROBE_VECTORS = 400
+ROUND_VECTORS = 6400
+#: Rounds go on until each class of partner counts that was met (by its least count) has so many probes, or all rows were probes.
+LEAST_PROBES = 100
+CLASSES = (1, 4, 32)
+#: Cells visited at most before the grid is made coarser.
 MOST_CELLS = 64
 #: Vectors that a cell holds on average, codewords at most per half, and rows of one side of a block.
 PER_CELL = 40
@@ -105,6 +112,82 @@ def _unit(column: pa.Array, dim: int) -> list[bytes | None]:
     return out
 
 
+def _rounds(nodes: DataFrame, edge: str, dim: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Hashes and vectors of all nodes in rounds: first those after edge, which the grid wasn't fitted on, then the others."""
+    size = PROBE_VECTORS
+    for side in (F.col("h") > edge, F.col("h") <= edge):
+        last = ""
+        while True:
+            taken = nodes.where(side & (F.col("h") > last)).orderBy("h").limit(size).select("h", "v").collect()  # ROUND_VECTORS rows at most
+            if taken:
+                yield [r["h"] for r in taken], np.frombuffer(b"".join(bytes(r["v"]) for r in taken), "<f8").reshape(-1, dim)
+                last = taken[-1]["h"]
+            if len(taken) < size:
+                break
+            size = min(4 * size, ROUND_VECTORS)
+
+
+def _found_by_rank(nodes: DataFrame, index: MultiIndex, hashes: list[str], probes: np.ndarray, threshold: float, most: int) -> list:
+    """(class, rank, probes, share): shares of their partners that probes of a class find at a rank, added up; rank `most` is any later one."""
+    dim = probes.shape[1]
+    shared = nodes.sparkSession.sparkContext.broadcast((index, hashes, probes))  # two codebooks and a round's probes
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, hashes, probes = shared.value
+        order, number = index.visits(probes, most), {h: i for i, h in enumerate(hashes)}
+        seen = np.zeros((len(probes), most + 1), np.int64)
+        for batch in batches:
+            all_x, own = _matrix(batch.column("v"), dim), batch.column("h").to_pylist()
+            all_cells = index.cells(all_x)
+            for start in range(0, len(all_x), 512):
+                x, cells = all_x[start : start + 512], all_cells[start : start + 512]
+                near = probes @ x.T >= threshold
+                for i, h in enumerate(own[start : start + 512]):
+                    if h in number:
+                        near[number[h], i] = False
+                every_q, every_i = np.nonzero(near)
+                for lo in range(0, len(every_q), 1 << 16):
+                    q, i = every_q[lo : lo + (1 << 16)], every_i[lo : lo + (1 << 16)]
+                    hit = order[q] == cells[i][:, None]
+                    np.add.at(seen, (q, np.where(hit.any(1), hit.argmax(1), most)), 1)
+        q, rank = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(rank), pa.array(seen[q, rank])], ["probe", "rank", "n"])
+
+    met = nodes.select("h", "v").mapInArrow(ranks, "probe long, rank long, n long").groupBy("probe", "rank").agg(F.sum("n").alias("n"))
+    per_probe = met.groupBy("probe").agg(F.sum("n").alias("partners"), F.collect_list(F.struct("rank", "n")).alias("at"))
+    kind = F.greatest(*[F.when(F.col("partners") >= c, c) for c in CLASSES])
+    # one row of the class carries the probe itself, so that probes add up over ranks
+    spread = per_probe.select(kind.alias("class"), "partners", F.posexplode("at").alias("k", "x")).select("class", "x.rank", (F.col("k") == 0).cast("long").alias("one"), (F.col("x.n") / F.col("partners")).alias("share"))
+    found = spread.groupBy("class", "rank").agg(F.sum("one").alias("probes"), F.sum("share").alias("share")).collect()  # at most len(CLASSES) * (most + 1) rows
+    shared.unpersist()
+    return found
+
+
+def fitted_grid(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, most: int = MOST_CELLS) -> tuple[MultiIndex, int, dict[int, tuple[int, float]]]:
+    """The grid over nodes (h, v), the number of cells to visit, and (probes, measured recall) by class of partner counts.
+
+    Without any partner in the whole table, which all rows were probed for, one cell is visited and the measure is empty.
+    """
+    total = nodes.count()
+    sample = nodes.orderBy("h").limit(min(FIT_VECTORS, (total + 1) // 2)).select("h", "v").toPandas()
+    fit, edge = np.frombuffer(b"".join(map(bytes, sample["v"])), "<f8").reshape(-1, dim), sample["h"].iloc[-1]
+    codes = min(MOST_CODES, max(1, math.ceil(math.sqrt(total / PER_CELL))))
+    while True:
+        index = MultiIndex(fit, codes)
+        probes, shares = dict.fromkeys(CLASSES, 0), {c: np.zeros(most + 1) for c in CLASSES}
+        for hashes, x in _rounds(nodes, edge, dim):
+            for r in _found_by_rank(nodes, index, hashes, x, threshold, most):
+                probes[r["class"]] += r["probes"]
+                shares[r["class"]][r["rank"]] += r["share"]
+            if any(probes.values()) and all(n >= LEAST_PROBES for n in probes.values() if n):
+                break
+        curves = {c: np.cumsum(shares[c][:most]) / probes[c] for c in CLASSES if probes[c]}
+        for visits in range(1, most + 1):
+            if codes == 1 or all(curve[visits - 1] >= recall for curve in curves.values()):
+                return index, visits, {c: (probes[c], round(float(curve[visits - 1]), 4)) for c, curve in curves.items()}
+        codes //= 2
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of vectors.
 
@@ -128,34 +211,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     total = nodes.count()
     if not total or dim < 2:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = nodes.orderBy("h").limit(FIT_VECTORS).select("v").toPandas()["v"]
-    fit = np.frombuffer(b"".join(map(bytes, sample)), "<f8").reshape(-1, dim)
-    index = MultiIndex(fit, min(MOST_CODES, max(1, math.ceil(math.sqrt(total / PER_CELL)))))
-    probes = fit[:PROBE_VECTORS]
-    shared = spark.sparkContext.broadcast((index, probes))  # two codebooks and the probes
-
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, probes = shared.value
-        order = index.visits(probes, MOST_CELLS)
-        seen = np.zeros(MOST_CELLS + 1, np.int64)
-        for batch in batches:
-            x = _matrix(batch.column("v"), dim)
-            cos = probes @ x.T
-            q, i = np.nonzero((cos >= threshold) & (cos < 1 - 1e-12))
-            hit = order[q] == index.cells(x)[i][:, None]
-            seen += np.bincount(np.where(hit.any(1), hit.argmax(1), MOST_CELLS), minlength=MOST_CELLS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(MOST_CELLS + 1)), pa.array(seen)], ["rank", "n"])
-
-    found = {r["rank"]: r["n"] for r in nodes.select("v").mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()}
-    partners, visits, reached = sum(found.values()), 1, 0
-    for rank in range(MOST_CELLS):
-        reached += found.get(rank, 0)
-        visits = rank + 1
-        if partners and reached >= recall * partners or not partners and visits == 8:
-            break
+    index, visits, _ = fitted_grid(nodes, dim, threshold, recall)
+    shared = spark.sparkContext.broadcast(index)  # two codebooks
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, _ = shared.value
+        index = shared.value
         for batch in batches:
             x = _matrix(batch.column("v"), dim)
             walk = index.visits(x, visits)

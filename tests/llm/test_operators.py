@@ -269,6 +269,36 @@ def test_vector_links(spark):
     assert vector_join.near_duplicates(table.limit(0)).collect() == []
 
 
+def _close_pairs(n, dim, cosine, rng):
+    """n pairs of unit vectors with about that cosine."""
+    a = rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=(n, dim))
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    return np.stack((a, cosine * a + np.sqrt(1 - cosine**2) * b), 1).reshape(2 * n, dim)
+
+
+def test_vector_links_of_pairs_beside_a_large_group(spark):
+    """A large group of near copies doesn't set the number of visited cells for the pairs."""
+    rng = np.random.default_rng(4)
+    group = rng.normal(size=16) + rng.normal(scale=0.01, size=(1000, 16))
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.vstack((_close_pairs(1000, 16, 0.91, rng), group)))]
+    found = {r["id"]: r for r in vector_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(found[i]["n_links"] > 0 and found[i + 1]["n_links"] > 0 for i in range(0, 2000, 2)) >= 0.98 * 1000
+    assert all(found[i]["n_links"] == 999 for i in range(2000, 3000))
+
+
+def test_vector_grid_gets_coarser_until_the_recall_is_reached(spark):
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(f"{i:05d}", x.tobytes()) for i, x in enumerate(_close_pairs(1000, 16, 0.91, rng))], "h string, v binary")
+    for most in (1, 4, 64):
+        index, visits, measured = vector_join.fitted_grid(table, 16, most=most)
+        assert visits <= most and all(recall >= vector_join.TARGET_RECALL for _, recall in measured.values()) and measured[1][0] >= vector_join.LEAST_PROBES
+    alone = spark.createDataFrame([(f"{i:05d}", x.tobytes()) for i, x in enumerate(np.eye(16))], "h string, v binary")
+    assert vector_join.fitted_grid(alone, 16)[1:] == (1, {})
+
+
 def test_quality_model_on_held_out_rows(spark, none):
     rng = random.Random(2)
     say = lambda n: " ".join("".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8))) for _ in range(n))
