@@ -47,13 +47,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the mixed order of their sources."""
+    """All documents in the mixed order of their sources; packing, which reads them from files, works out the order again."""
     return mix(docs).orderBy("mix_slot", "mix_position").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, in windows of 2048 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of the documents, in windows of 2048 tokens, packed in the mixed order.
+
+    Spark deals files to tasks by size, so an order over files is lost in reading. mix() gives the same places again;
+    tasks take consecutive ranges of them, and sequence ids rise with the task.
+    """
+    return pack(mix(docs).orderBy("mix_slot", "mix_position"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -362,3 +362,27 @@ def test_pipeline_stages(spark, rows, tmp_path):
     assert docs.where(F.col("text").contains("9233a8ecf7c5b09fe")).count() == 0
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.select("doc_id").distinct().count() == sizes[-1]
+
+
+def test_pipeline_packs_in_the_mixed_order(spark, tmp_path):
+    """Over many files and tasks: tasks take consecutive slots, and sequences follow the slots inside a task."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(60)), "en", "a" if i % 4 else "b", 0) for i in range(3000)]
+    spark.createDataFrame(rows, EMPTY).repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = corpus_pipeline.materialize(corpus_pipeline.mixture(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).repartition(12))
+        packed = corpus_pipeline.packing(spark, docs, str(tmp_path)).where("sequence_id < 1L << 62").collect()
+        slots = {r["doc_id"]: r["mix_slot"] for r in mixing.mix(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    tasks = defaultdict(list)
+    for r in packed:
+        tasks[r["sequence_id"] >> 32].append((r["sequence_id"], slots[r["doc_id"]]))
+    assert len(tasks) >= 3
+    for a, b in zip(sorted(tasks), sorted(tasks)[1:]):
+        assert max(s for _, s in tasks[a]) <= min(s for _, s in tasks[b])
+    assert all(np.corrcoef(*zip(*own))[0, 1] > 0.8 for own in tasks.values())
