@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,12 +21,15 @@ CHUNK_BYTES = 2 << 20
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_scratch: list[str] = []
+_written: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """A folder that driver and executors share: spark.checkpoint.dir; where it is unset, in local mode only (tests), a temporary one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _local_scratch:
             _local_scratch.append(tempfile.mkdtemp(prefix="llm-scratch-"))
             atexit.register(shutil.rmtree, _local_scratch[0], ignore_errors=True)
@@ -43,13 +46,49 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(CLEAN_SHUFFLES, before)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this application; results that still read them become unreadable."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def tables_written() -> int:
+    """A mark for drop_tables(): how many scratch tables there are."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int) -> None:
+    """Delete the scratch tables written since the mark, but for the last one; frames that still read them become unreadable."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written[since:-1]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    del _written[since:-1]
+
+
+def settled(df: DataFrame, since: int) -> DataFrame:
+    """df as a table of its own, and the tables that led to it deleted."""
+    out = materialize(df)
+    drop_tables(df.sparkSession, since)
+    return out
+
+
+#: A key with more rows than this, and more than one of MOST_HOT parts of all rows, is hot; so fewer than MOST_HOT keys are.
+HOT_ROWS = 20_000
+MOST_HOT = 50_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, spread: list[str]) -> DataFrame:
+    """left joined with right by key. right holds each key of left once, with the number of its rows in left in column `rows`.
+
+    The rows of a hot key are dealt over parts by a hash of the columns in spread. The list of hot keys has fewer than
+    MOST_HOT rows by its definition, so it is broadcast.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, total // MOST_HOT)
+    parts = F.ceil(F.col(rows) / least)
+    hot = F.broadcast(right.where(F.col(rows) > least).select(key, parts.alias("_parts")))
+    dealt = left.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
+    every = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col(rows) > least, parts).otherwise(1).cast("long") - 1))).drop(rows)
+    return dealt.join(every, [key, "_part"]).drop("_part")
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -7,15 +7,18 @@ extended until the combinations cover t + e tokens: a group with p tokens of cla
 the threshold then share at least e signatures (the smaller e of the two), so the join loses no pair, and texts that
 share fewer need no look. e grows with n.
 
-Work per link grows with texts, not with pairs of a group: equal token sets are one node; nodes that share a signature
-are compared with a few hubs first; only what stays in different components, and isn't too far apart by each one's
-distance from a hub, is compared pair by pair. A pair whose
-ends are already connected can't change a component, so leaving it out loses nothing.
+Equal token sets are one node, named by the set's fingerprint. Nodes that share a signature are compared with a few hubs
+first; only what stays in different components, and isn't too far apart by each one's distance from a hub, is compared
+pair by pair. A pair whose ends are already connected can't change a component, so leaving it out loses nothing.
+
+Links are counted afterwards, inside components, as every link lies in one: blocks of bounded size of a component's nodes
+are compared with each other and return numbers, never pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -23,17 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import as_long, hash_words, in_bitmap, key_bitmap, kgrams, materialize, mix64, text_chunks, utf8
+from sparkloom.llm.common import as_long, hash_words, in_bitmap, join_hot, key_bitmap, kgrams, materialize, mix64, settled, tables_written, text_chunks, utf8
 from sparkloom.llm.components import connected_components
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-#: Texts with fewer tokens use single tokens only, whatever their class.
-SMALL = 43
+#: Texts of [LEVEL << l, LEVEL << l + 1) tokens form level l + 1; two similar texts have a level in common.
+LEVEL = 5
 #: A token seen in this many texts, as far as is known, is of the next class.
 CLASS_BOUNDS = (8, 1024)
 #: At most so many frequent tokens are known to all tasks (16 bytes each); the others count as rare, which costs time, not results.
 MAX_FREQUENT = 1 << 19
+#: Nodes and tokens of one side of a block in which links are counted, and members of one side of a last comparison.
+BLOCK_NODES = 512
+BLOCK_TOKENS = 4_000_000
+HUB_BLOCK = 1024
 
 
 def token_sets(texts: list[bytes], words_per_token: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -62,13 +69,30 @@ def least_shared(n: int) -> int:
 
 
 def _level(n: int) -> int:
-    return 0 if n < SMALL else 1 + (n // SMALL).bit_length() - 1
+    return 0 if n < LEVEL else (n // LEVEL).bit_length()
+
+
+def _needed(n: int, percent: int) -> int:
+    """How many tokens the signatures of a text of n tokens must cover."""
+    return n - (percent * n + 99) // 100 + least_shared(n)
+
+
+@lru_cache(None)
+def combination_plan(level: int, percent: int) -> tuple[int, int]:
+    """How many token groups a level has, and the largest combinations that it uses.
+
+    A group loses k - 1 tokens of cover for each class k that it has. The combinations are the largest with which every
+    text that is indexed at the level has cover enough. A text so small that only an equal set is similar needs none.
+    """
+    groups = max(1, (LEVEL << level >> 1) // 10)
+    sizes = [n for n in range(1, (LEVEL << level) * 2) if _level(100 * n // percent) >= level >= _level((percent * n + 99) // 100) and 100 * n >= percent * (n + 1)]
+    return groups, next(k for k in (3, 2, 1) if all(n - groups * k * (k - 1) // 2 >= _needed(n, percent) for n in sizes[:200]))
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int = PERCENT, bounds: tuple[int, ...] = CLASS_BOUNDS) -> np.ndarray:
     """What a text is indexed by. frequent: sorted tokens known to be frequent, counts: in how many texts each was seen."""
     n = len(tokens)
-    need = n - (percent * n + 99) // 100 + least_shared(n)
+    need = _needed(n, percent)
     df = np.zeros(n, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -77,16 +101,14 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, per
     if len(rare) >= need:
         return mix64(rare[:need])
     order = np.lexsort((tokens, df))
-    kinds = 1 + np.searchsorted(bounds, df[order], side="right")
+    classes = 1 + np.searchsorted(bounds, df[order], side="right")
     ordered = tokens[order]
-    if n < need or (kinds[:need] == 1).all():
+    if (classes[:need] == 1).all():
         return mix64(ordered[:need])
     singles, combos = 0, []
     for level in range(_level((percent * n + 99) // 100), _level(100 * n // percent) + 1):
-        if level == 0:
-            singles = max(singles, need)
-            continue
-        groups = max(1, (SMALL << (level - 1)) // 10)
+        groups, most = combination_plan(level, percent)
+        kinds = np.minimum(classes, most)
         group_of = (mix64(ordered + np.uint64(level)) % np.uint64(groups)).astype(np.int64)
         covered, members = 0, {}
         for i in range(n):
@@ -105,8 +127,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, per
                 picked = ordered[np.array(list(combinations(own, k)))]
                 picked.sort(axis=1)
                 combos.append(mix64(kgrams_of_rows(picked) + np.uint64(level)))
-    head = ordered[kinds == 1][:singles] if _level((percent * n + 99) // 100) else ordered[:singles]
-    return np.unique(np.concatenate([mix64(head), *combos]))
+    return np.unique(np.concatenate([mix64(ordered[:singles]), *combos]))
 
 
 def kgrams_of_rows(rows: np.ndarray) -> np.ndarray:
@@ -127,23 +148,26 @@ def _distinct(sets: list[np.ndarray]) -> dict[int, np.ndarray]:
 
 
 def survey(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, n, fp, counted), from one pass over the texts: size and fingerprint of each text's token set (the empty set
-    has n = 0); and, where counted, a token (fp) with the number of texts (n) of which a task saw it in two or more.
+    """(id, n, fp, place, counted), from one pass over the texts: size and fingerprint of each text's token set (the empty
+    set has n = 0) and a hash of id and text; and, where counted, a token (fp) with the number of texts (n) of which a
+    task saw it in two or more.
     """
     kind = None
 
     def run(batches):
+        def rows(ids, n, fp, place, counted):
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), fp, place, pa.array(np.full(len(n), counted))], ["id", "n", "fp", "place", "counted"])
+
         def flush(sets):
             tokens, n = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
             tokens, n = tokens[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(n), kind), pa.array(n, pa.int64()), as_long(tokens), pa.array(np.ones(len(n), bool))], ["id", "n", "fp", "counted"])
+            return rows(pa.nulls(len(n), kind), n, as_long(tokens), pa.nulls(len(n), pa.int64()), True)
 
         nonlocal kind
         held: dict[int, np.ndarray] = {}
         for part, sets in _sets(batches, text_col, words):
-            kind, prints = part.column(id_col).type, [fingerprint(s) for s in sets]
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(id_col), sizes, pa.array(prints, pa.int64()), pa.array(np.zeros(len(sets), bool))], ["id", "n", "fp", "counted"])
+            kind, prints = part.column("id").type, [fingerprint(s) for s in sets]
+            yield rows(part.column("id"), [len(s) for s in sets], pa.array(prints, pa.int64()), part.column("place"), False)
             held |= {fp: s for fp, s in zip(prints, sets, strict=True) if len(s)}
             if sum(map(len, held.values())) > 2_000_000:
                 yield flush(held)
@@ -151,16 +175,28 @@ def survey(docs: DataFrame, id_col: str, text_col: str, words: int = SHINGLE_WOR
         if held:
             yield flush(held)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, fp long, counted boolean")
+    keyed = docs.select(F.col(id_col).alias("id"), text_col, F.xxhash64(id_col, text_col).alias("place"))
+    return keyed.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, fp long, place long, counted boolean")
 
 
 def frequent_tokens(counts: DataFrame, least: int = CLASS_BOUNDS[0], most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (fp) of counts seen in at least `least` texts and those counts, sorted by token; the `most` commonest where there are more.
+    """Tokens (fp) of counts seen in at least `least` texts and those counts, sorted by token; the commonest where there are more than `most`.
 
     A task counts a token where at least two of its texts have it, so the counts are a lower estimate over all texts.
     """
-    counted = counts.groupBy(F.col("fp").alias("token")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = counted.orderBy(F.desc("n"), "token").limit(most).toPandas()
+    counted = materialize(counts.groupBy(F.col("fp").alias("token")).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    # a histogram of the counts, to two digits, tells from which count on there are not more than `most`
+    digits = F.pow(F.lit(10), F.greatest(F.length(F.col("n").cast("string")) - 2, F.lit(0))).cast("long")
+    bins = counted.groupBy((F.floor(F.col("n") / digits) * digits).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()  # 90 rows a digit
+    room, cut = most, None
+    for row in bins:
+        room -= row["k"]
+        if room < 0:
+            break
+        cut = row["n"]
+    rows = counted.where(F.col("n") >= cut).toPandas() if cut is not None else None  # at most `most` rows
+    if rows is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     tokens, counts = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
     return tokens[order], counts[order]
@@ -181,20 +217,21 @@ def _index(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, text_col:
     return docs.select(text_col).mapInArrow(run, "sig long, fp long")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, tokens) of at least the given ids; a bitmap of fixed size keeps most other texts from being shipped."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(ids, "id"))
+def _sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, tokens) of at least the nodes in ids; a bitmap of fixed size keeps most other texts from being read as words."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(nodes.join(ids.distinct(), "id").select("place"), "place"))
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(bitmap.value, batch.column("h").to_numpy(zero_copy_only=False))))
-            for part, sets in _sets(iter([batch]), text_col, words):
+            for _, sets in _sets(iter([batch]), text_col, words):
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), as_long(flat))], ["id", "tokens"])
+                prints = pa.array([fingerprint(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([prints, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), as_long(flat))], ["id", "tokens"])
 
-    keyed = docs.select(id_col, text_col, F.xxhash64(id_col).alias("h"))
-    return materialize(keyed.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, tokens array<long>"))
+    keyed = docs.select(text_col, F.xxhash64(F.xxhash64(id_col, text_col)).alias("h"))
+    return materialize(keyed.mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"]))
 
 
 def _shareable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,6 +265,20 @@ def _from_hubs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(placed.join(apart, ["id", "hub"]).withColumn("s", F.greatest(F.lit(0), F.col("d") - F.col("n") + F.col("m"))))
 
 
+def _near_by_hub(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a hub and may be similar, by _from_hubs(); blocks of HUB_BLOCK members on either side."""
+    parts = placed.groupBy("hub").agg(F.ceil(F.count("*") / HUB_BLOCK).alias("parts"))
+    held = placed.join(parts, "hub").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    x, y = held.alias("x"), held.select(F.col("own").alias("other"), F.col("other").alias("own"), "hub", "id", "n", "m", "c", "d", "s").alias("y")
+    alike = f"{100 + percent}L * (x.d + y.d - 2 * least(x.s, y.s)) <= {100 - percent}L * (x.n + y.n)"
+    pairs = x.join(y, F.expr(f"x.hub = y.hub and x.own = y.own and x.other = y.other and x.id < y.id and x.c <> y.c and {_near('x', 'y', percent)} and {alike}"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _near(a: str, b: str, percent: int) -> str:
+    return f"100L * least({a}.m, {b}.m) >= {percent}L * ({a}.n + {b}.n - least({a}.m, {b}.m))"
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs whose token sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
@@ -235,19 +286,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("o"), (F.size("x") + F.size("y")).alias("s")).where(F.expr(f"100L * o >= {percent}L * (s - o)")).select("a", "b")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT, rounds: int = 8) -> DataFrame:
-    """(id, n_shingles, component_id): for each row of docs the size of its token set and the smallest id that links reach.
+def similar_sets(x: list[np.ndarray], y: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which sets of x (rows) and y (columns) are similar; sets are sorted arrays of distinct tokens."""
+    nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    tokens, flat, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(x) + len(y)), np.concatenate((nx, ny)))
+    useful = times[flat] > 1  # who else has it
+    number = np.cumsum(times > 1) - 1
+    rows, flat = rows[useful], number[flat[useful]]
+    shared = np.zeros((len(x), len(y)), np.int64)
+    order = np.argsort(flat, kind="stable")
+    rows, flat = rows[order], flat[order]
+    for lo in range(0, int((times > 1).sum()), 4096):
+        a, b = np.searchsorted(flat, (lo, lo + 4096))
+        held = np.zeros((len(x) + len(y), 4096), np.float32)
+        held[rows[a:b], flat[a:b] - lo] = 1
+        shared += np.rint(held[: len(x)] @ held[len(x) :].T).astype(np.int64)
+    return 100 * shared >= percent * (nx[:, None] + ny[None, :] - shared)
+
+
+def link_numbers(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, links) of members (id, n, c, copies): how many rows of other nodes each node links with, all in component c."""
+    size = members.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n") / BLOCK_TOKENS)).alias("parts"))
+    held = members.join(size, "c").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # small components share a block, so that there are not too many; a block of a large one holds one or two of its parts
+    k, tokens = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shelves = max(1, -(-k // BLOCK_NODES), -(-tokens // BLOCK_TOKENS))
+    shelf = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("c"), F.lit(shelves))).otherwise(F.col("c"))
+    dealt = held.select(shelf.alias("shelf"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("parts") > 1).alias("large"), "c", "own", "id", "copies").join(sets, "id")
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        component, own, copies = (table[c].to_numpy() for c in ("c", "own", "copies"))
+        lists = table["tokens"].combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        sets_, links = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], np.zeros(len(own), np.int64)
+        order = np.argsort(component, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
+            x, y = rows[own[rows] == key[1].as_py()], rows[own[rows] == key[2].as_py()]
+            near = similar_sets([sets_[i] for i in x], [sets_[i] for i in y], percent)
+            if key[1].as_py() == key[2].as_py():
+                np.fill_diagonal(near, False)
+            else:
+                links[y] += copies[x] @ near
+            links[x] += near @ copies[y]
+        return pa.table({"id": table["id"], "links": pa.array(links, pa.int64())})
 
-    Null and empty texts have no tokens and link with nothing, so they are their own component; rows that repeat an id
-    are repeated in the result. Ids are assumed not to be null; other columns are ignored. An empty table gives an empty result.
-    """
-    seen = materialize(survey(docs, id_col, text_col, words))
-    prints, known = seen.where("not counted").drop("counted"), frequent_tokens(seen.where("counted"))
-    nodes = prints.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    return dealt.groupBy("shelf", "lo", "hi", "large").applyInArrow(lambda key, t: count(key, t), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def _components(docs: DataFrame, nodes: DataFrame, known: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str, words: int, percent: int, rounds: int) -> DataFrame | None:
+    """(id, component) of the nodes that link with another one; None without any."""
     # Both uses of the index read the same columns behind the same filter, or Spark would compute and shuffle it twice.
     index = _index(docs, *known, text_col, words, percent).where("sig is not null and fp is not null").repartition("sig")
     shared = index.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("sig")
-    buckets = materialize(index.join(shared.hint("shuffle_hash"), "sig").distinct().join(nodes, "fp").select("sig", F.col("rep").alias("id"), "n"))
+    buckets = materialize(index.join(shared.hint("shuffle_hash"), "sig").distinct().withColumnRenamed("fp", "id").join(nodes.select("id", "n"), "id").select("sig", "id", "n"))
     for _ in range(2):  # who shares too few signatures goes, which may leave others with too few
         several = buckets.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
         buckets = buckets.join(several, "sig")
@@ -260,7 +353,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         split = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
         open_ = materialize(placed.join(split, "sig"))
         if turn == 1:  # few texts are left by now: see which tokens nobody else has
-            sets = _sets_of(docs, open_.select("id"), id_col, text_col, words)
+            sets = _sets_of(docs, open_.select("id"), nodes, id_col, text_col, words)
             buckets = open_ = _shareable(open_, sets, percent)
         sizes = open_.groupBy("sig", "c").agg(F.count("*").alias("k")).groupBy("sig").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("p"), F.sum("k").alias("k"))
         left, members = sizes.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
@@ -268,27 +361,71 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         last = turn == rounds or (turn > 0 and left <= members) or (before is not None and 10 * left > 9 * before)
         before = left if turn else None
-        near = f"100L * least({{0}}.m, {{1}}.m) >= {percent}L * ({{0}}.n + {{1}}.n - least({{0}}.m, {{1}}.m))"
         if last:  # whatever is still apart, pair by pair
-            open_ = _from_hubs(open_, sets, percent)
-            x, y = open_.alias("x"), open_.alias("y")
-            alike = f"{100 + percent}L * (x.d + y.d - 2 * least(x.s, y.s)) <= {100 - percent}L * (x.n + y.n)"
-            pairs = x.join(y, F.expr(f"x.hub = y.hub and x.id < y.id and x.c <> y.c and {near.format('x', 'y')} and {alike}"))
-            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            pairs = _near_by_hub(_from_hubs(open_, sets, percent), percent)
         else:  # each member with a hub of its signature: in turn any (four for a group at most), and one that shares most of its tokens
             rank = F.xxhash64("id", F.pmod(F.col("sig"), F.lit(4)), F.lit(turn))
             shared = F.when(F.lit(turn % 2 == 1), -F.floor(F.col("m") * 64 / F.col("n"))).otherwise(0)
             hubs = open_.groupBy("sig").agg(F.min(F.struct(shared.alias("s"), rank.alias("r"), F.col("id"), F.col("n"), F.col("m"), F.col("c"))).alias("h"))
-            met = open_.alias("x").join(hubs, "sig").where(f"x.c <> h.c and {near.format('x', 'h')}")
+            met = open_.alias("x").join(hubs, "sig").where(f"x.c <> h.c and {_near('x', 'h', percent)}")
             pairs = met.select(F.least("x.id", "h.id").alias("a"), F.greatest("x.id", "h.id").alias("b"))
         pairs = pairs.distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        known = sets or _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), id_col, text_col, words)
-        more = _verified(pairs, known, percent)
+        known_sets = sets or _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), nodes, id_col, text_col, words)
+        more = _verified(pairs, known_sets, percent)
         links = materialize(more if links is None else links.unionByName(more))
         found = materialize(connected_components(links))
         if last:
             break
-    placed = nodes.select("fp", "rep") if found is None else nodes.join(found, nodes["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("rep"))
-    return prints.join(placed, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("component_id"))
+    return found
+
+
+def _by_rows(rows: DataFrame) -> DataFrame:
+    """(root, component_id) for rows (id, root): the smallest id of each root, where roots that hold the same id are one."""
+    owned = rows.where("id is not null").select("id", "root").distinct()
+    several = owned.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("id", "lo")
+    bound = materialize(owned.join(several, "id").where("root <> lo").select(F.col("root").alias("a"), F.col("lo").alias("b")).distinct())
+    least = owned.groupBy("root").agg(F.min("id").alias("component_id"))
+    if bound.isEmpty():
+        return least
+    one = connected_components(bound).select(F.col("id").alias("root"), "component")
+    placed = least.join(one, "root", "left").withColumn("component", F.coalesce("component", "root"))
+    return placed.select("root", "component").join(placed.groupBy("component").agg(F.min("component_id").alias("component_id")), "component").select("root", "component_id")
+
+
+def similar_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT, rounds: int = 8, count_links: bool = True
+) -> DataFrame:
+    """(id, n_shingles, component_id, n_links): for each row of docs the size of its token set, the smallest id that links
+    reach, and, with count_links, with how many other rows it links directly.
+
+    Null and empty texts have no tokens and link with nothing, so they are their own component. Rows that repeat an id
+    are rows of one document: they are repeated in the result, each with the links of its own text, and their components
+    are one. A row with a null id links like any other; component_id is the smallest id that isn't null, or null where
+    there is none. Other columns are ignored. An empty table gives an empty result.
+    """
+    mark = tables_written()
+    seen = materialize(survey(docs, id_col, text_col, words))
+    prints, known = seen.where("not counted").select("id", "n", "fp", "place"), frequent_tokens(seen.where("counted"))
+    nodes = materialize(prints.where("n > 0").groupBy(F.col("fp").alias("id")).agg(F.min("place").alias("place"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    found = _components(docs, nodes, known, id_col, text_col, words, percent, rounds)
+    if found is None:
+        placed = nodes.select("id", F.col("id").alias("root"), "copies", F.lit(0).cast("long").alias("links"))
+    else:
+        placed = nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("root"), "n", "copies", F.col("component").isNotNull().alias("linked"))
+        if count_links:
+            members = materialize(placed.where("linked").select("id", "n", F.col("root").alias("c"), "copies"))
+            sets = _sets_of(docs, members.select("id"), nodes, id_col, text_col, words)
+            placed = placed.join(link_numbers(members, sets, percent), "id", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+        else:
+            placed = placed.withColumn("links", F.lit(None).cast("long"))
+    placed = materialize(placed.select(F.col("id").alias("fp"), "root", "copies", "links"))
+    rows = materialize(join_hot(prints.where("n > 0"), placed.withColumn("rows", F.col("copies")), "fp", "rows", ["place", "id"]).select("id", "n", "fp", "root", "copies", "links"))
+    names = _by_rows(rows)
+    names = names.join(rows.groupBy("root").agg(F.count("*").alias("rows")), "root", "right")
+    named = join_hot(rows, names, "root", "rows", ["id", "fp"])
+    out = named.select("id", F.col("n").alias("n_shingles"), "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    alone = prints.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0 if count_links else None).cast("long").alias("n_links"))
+    out = out.unionByName(alone)
+    return settled(out if count_links else out.drop("n_links"), mark)

@@ -83,14 +83,42 @@ def test_ngram_join_finds_every_link(docs, rows, none):
         sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and sets[b]]
     want = _closure(sets, links)
-    found = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs).collect()}
-    assert found == {i: (len(sets[i]), want[i]) for i in sets}
+    degree = Counter(x for pair in links for x in pair)
+    found = {r["id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.similar_components(docs).collect()}
+    assert found == {i: (len(sets[i]), want[i], degree[i]) for i in sets}
     assert ngram_join.similar_components(none).collect() == []
 
 
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    rng = random.Random(1)
+    a, b, c = (" ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (2, b + " zz"), (5, a + " qq"), (5, b), (5, b), (None, c), (None, c + " x"), (7, c), (8, None), (8, ""), (None, None), (None, "alone here")]
+    found = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["id"], r["component_id"], r["n_links"]) for r in found) == Counter(
+        [(1, 1, 1), (2, 1, 2), (5, 1, 1), (5, 1, 2), (5, 1, 2), (None, 7, 2), (None, 7, 2), (7, 7, 2), (8, 8, 0), (8, 8, 0), (None, None, 0), (None, None, 0)]
+    )
+
+
+def test_links_are_counted_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 5)
+    monkeypatch.setattr(ngram_join, "HUB_BLOCK", 4)
+    rng = random.Random(3)
+    base, texts = [str(rng.random()) for _ in range(80)], []
+    for i in range(60):
+        own = list(base)
+        for _ in range(i % 4):
+            own[rng.randrange(80)] = str(rng.random())
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(76)} for t in texts]
+    links = [(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    degree = Counter(x for pair in links for x in pair)
+    found = ngram_join.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["id"]: r["n_links"] for r in found} == {i: degree[i] for i in range(60)} and len(set(degree.values())) > 3
+
+
 def test_signatures_of_frequent_tokens_meet():
     rng = np.random.default_rng(3)
-    for n in (2, 4, 20, 43, 57, 90, 400):
+    for n in (3, 4, 5, 7, 9, 12, 20, 43, 57, 90, 400):
         for _ in range(30):
             x = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
             union = max(1, int(len(x) / 0.8))
