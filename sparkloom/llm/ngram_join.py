@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import as_long, hash_words, in_bitmap, join_hot, key_bitmap, kgrams, materialize, mix64, settled, tables_written, text_chunks, utf8
-from sparkloom.llm.components import connected_components
+from sparkloom.llm.components import connected_components, smallest_ids
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -381,19 +381,6 @@ def _components(docs: DataFrame, nodes: DataFrame, known: tuple[np.ndarray, np.n
     return found
 
 
-def _by_rows(rows: DataFrame) -> DataFrame:
-    """(root, component_id) for rows (id, root): the smallest id of each root, where roots that hold the same id are one."""
-    owned = rows.where("id is not null").select("id", "root").distinct()
-    several = owned.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("id", "lo")
-    bound = materialize(owned.join(several, "id").where("root <> lo").select(F.col("root").alias("a"), F.col("lo").alias("b")).distinct())
-    least = owned.groupBy("root").agg(F.min("id").alias("component_id"))
-    if bound.isEmpty():
-        return least
-    one = connected_components(bound).select(F.col("id").alias("root"), "component")
-    placed = least.join(one, "root", "left").withColumn("component", F.coalesce("component", "root"))
-    return placed.select("root", "component").join(placed.groupBy("component").agg(F.min("component_id").alias("component_id")), "component").select("root", "component_id")
-
-
 def similar_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT, rounds: int = 8, count_links: bool = True
 ) -> DataFrame:
@@ -422,7 +409,7 @@ def similar_components(
             placed = placed.withColumn("links", F.lit(None).cast("long"))
     placed = materialize(placed.select(F.col("id").alias("fp"), "root", "copies", "links"))
     rows = materialize(join_hot(prints.where("n > 0"), placed.withColumn("rows", F.col("copies")), "fp", "rows", ["place", "id"]).select("id", "n", "fp", "root", "copies", "links"))
-    names = _by_rows(rows)
+    names = smallest_ids(rows)
     names = names.join(rows.groupBy("root").agg(F.count("*").alias("rows")), "root", "right")
     named = join_hot(rows, names, "root", "rows", ["id", "fp"])
     out = named.select("id", F.col("n").alias("n_shingles"), "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
