@@ -1,26 +1,29 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Each source's rows form blocks. Block k of a source with share a of Q slots may run from slot floor(k * Q / a) and must
-run before slot ceil((k + 1) * Q / a); the earliest deadline runs first. As the shares add up to Q, every deadline holds
-and after any number of slots each source is less than one block from its weight. The schedule repeats every Q slots, so
-one period (at most a few thousand slots, whatever the data) is worked out and joined to the numbered blocks. Where
-a source has run out, its slots stay empty and the others keep their order and proportions.
+Weights are whole numbers of parts, taken exactly. With Q parts in all, block k of a source with a parts may run from
+slot floor(k * Q / a) and must run before slot ceil((k + 1) * Q / a); the earliest deadline runs first. Every deadline
+holds, and after any number of slots each source is less than one block from its weight. The schedule repeats every Q
+slots. Only how many sources have which number of parts is needed to work out one period; its table of Q rows is joined
+to the numbered blocks. Where a source has run out, its slots stay empty and the others keep their order and proportions.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK_ROWS = 16
-#: Weights are rounded up to multiples of about one over this.
-RESOLUTION = 1000
-#: So many sources at most, the largest, have a weight of their own; the others are mixed as one.
-MAX_SOURCES = 500
+#: Default weights are whole thousandths of their sum, at least one.
+DEFAULT_PARTS = 1000
+#: Parts in all at most, for given weights; more raise an error, as the period is worked out on the driver.
+MOST_PARTS = 1 << 22
+#: A table of sources, or of a period, with fewer bytes than this is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def pfair_period(shares: list[int]) -> list[tuple[int, int]]:
@@ -39,54 +42,72 @@ def pfair_period(shares: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def whole_parts(weights: dict[str, float | int | str | Fraction]) -> dict[str, int]:
+    """The given weights as whole numbers in the same proportions; a float counts as its shortest decimal."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be positive")
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    parts = {s: int(w * unit) for s, w in exact.items()}
+    common = math.gcd(*parts.values())
+    return {s: a // common for s, a in parts.items()}
+
+
+def _small(df: DataFrame, rows: int, size: int) -> DataFrame:
+    """df marked for a broadcast where its size was found to be small."""
+    return F.broadcast(df) if rows * 48 + size < BROADCAST_BYTES else df
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float | int | str | Fraction] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs with mix_block, mix_slot and mix_position; the mixed order is by mix_slot, then mix_position.
 
-    weights: target weight per source; by default the square root of its row count, so large sources are damped and
-    small ones lifted. Sources without a given weight share the smallest one; a null source is a source like any other.
-    Within a source rows are ordered by md5 of the id; rows that repeat an id each have a place of their own. No row is
-    dropped. Columns of docs with the new names are replaced. An empty table gives an empty result.
+    weights: target weight per source, kept exactly, in a common unit of which there are MOST_PARTS at most in all
+    (ValueError beyond). Sources without a given weight have the smallest one; a null source is a source like any other.
+    By default the square root of a source's row count in thousandths of the sum, at least one, so large sources are
+    damped and small ones lifted. There may be any number of sources. Within a source rows are ordered by md5 of the id;
+    rows that repeat an id each have a place of their own, and rows equal in id and source are interchangeable. No row
+    is dropped. Columns of docs with the new names are replaced. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
-    sizes = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.count("*").alias("n"))
-    sizes = sizes.orderBy(F.desc("n"), F.asc_nulls_last("source")).limit(MAX_SOURCES + 1).collect()  # at most MAX_SOURCES + 1 rows
-    total_rows = docs.count() if len(sizes) > MAX_SOURCES else sum(r["n"] for r in sizes)
-    own = sizes[:MAX_SOURCES]
-    pooled = total_rows - sum(r["n"] for r in own)
+    source = F.col(f"`{source_col}`").cast("string")
+    sizes = docs.groupBy(source.alias("_mix_source")).agg(F.count("*").alias("n"))
     if weights:
-        targets = [weights.get(r["source"], min(weights.values())) for r in own]
+        parts = whole_parts(weights)
+        given = F.broadcast(spark.createDataFrame(list(parts.items()), "_mix_source string, a long"))  # the caller's own
+        shares = sizes.join(given, "_mix_source", "left").withColumn("a", F.coalesce("a", F.lit(min(parts.values()))))
     else:
-        targets = [math.sqrt(r["n"]) for r in own]
-    names = [r["source"] for r in own]
-    if pooled:
-        targets.append(min(targets) if weights else math.sqrt(pooled))
-    if not targets:
+        whole = sizes.agg(F.round(F.sum(F.sqrt("n")), 6)).first()[0]
+        shares = sizes.withColumn("a", F.greatest(F.lit(1), F.round(DEFAULT_PARTS * F.sqrt("n") / F.lit(whole or 1.0))).cast("long"))
+    kinds = shares.groupBy("a").agg(F.count("*").alias("sources"), F.sum("n").alias("rows"), F.sum(F.coalesce(F.length("_mix_source"), F.lit(0))).alias("letters")).orderBy(F.desc("a")).collect()  # one row for each number of parts
+    total, rows = sum(r["a"] * r["sources"] for r in kinds), sum(r["rows"] for r in kinds)
+    if weights and total > MOST_PARTS + sum(r["sources"] for r in kinds):
+        raise ValueError(f"the weights need {total} parts, more than {MOST_PARTS}; give them in whole numbers of a larger unit")
+    if not kinds:
         return docs.select(*[f"`{c}`" for c in columns], *[F.lit(0).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_position")])
-    shares = [max(1, math.ceil(RESOLUTION * t / sum(targets))) for t in targets]
-    period = pfair_period(shares)
-    offsets = [[0] * a for a in shares]
-    for slot, (s, k) in enumerate(period):
-        offsets[s][k] = slot
-    number = F.lit(len(names))
-    for i in reversed(range(len(names))):
-        number = F.when(F.col(f"`{source_col}`").cast("string").eqNullSafe(F.lit(names[i])), i).otherwise(number)
-    if len(names) > 50:
-        found = F.create_map(*[x for i, n in enumerate(names) if n is not None for x in (F.lit(n), F.lit(i))])[F.col(f"`{source_col}`").cast("string")]
-        number = F.coalesce(found, F.lit(names.index(None) if None in names else len(names)))
+    before, first = 0, {}
+    for r in kinds:
+        first[r["a"]] = before
+        before += r["sources"]
+    base = F.broadcast(spark.createDataFrame(list(first.items()), "a long, _mix_first long"))  # as many rows as kinds
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), F.asc_nulls_last("_mix_source"))) - 1
+    numbered = shares.join(base, "a").select("_mix_source", "a", (F.col("_mix_first") + rank).alias("_mix_s"))
+    named = _small(numbered, before, 4 * sum(r["letters"] for r in kinds))
+    period = [(s, k, slot) for slot, (s, k) in enumerate(pfair_period([r["a"] for r in kinds for _ in range(r["sources"])]))]
+    places = _small(spark.createDataFrame(period, "_mix_s long, _mix_k long, _mix_at long"), total, 0)
     # numbers within a source: counts of hash buckets are added up, rows are numbered inside a bucket; a large source is many buckets
-    digits = min(5, max(2, math.ceil(math.log(max(total_rows, 1) / 20_000, 16)))) if total_rows > 20_000 else 2
+    digits = min(5, max(2, math.ceil(math.log(max(rows, 1) / 20_000, 16)))) if rows > 20_000 else 2
     key = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary"))
-    held = docs.select(*[F.col(f"`{c}`") for c in columns], number.alias("_mix_s"), key.alias("_mix_h")).withColumn("_mix_b", F.substring("_mix_h", 1, digits))
-    bucket_sizes = docs.select(number.alias("_mix_s"), F.substring(key, 1, digits).alias("_mix_b")).groupBy("_mix_s", "_mix_b").agg(F.count("*").alias("_mix_n"))
-    before = Window.partitionBy("_mix_s").orderBy("_mix_b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = bucket_sizes.select("_mix_s", "_mix_b", F.coalesce(F.sum("_mix_n").over(before), F.lit(0)).alias("_mix_base"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], source.alias("_mix_name"), key.alias("_mix_h"))
+    keyed = keyed.join(named, F.col("_mix_name").eqNullSafe(F.col("_mix_source"))).drop("_mix_name", "_mix_source").withColumn("_mix_b", F.substring("_mix_h", 1, digits))
+    bucket_sizes = keyed.groupBy("_mix_s", "_mix_b").agg(F.count("*").alias("_mix_n"))
+    earlier = Window.partitionBy("_mix_s").orderBy("_mix_b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = bucket_sizes.select("_mix_s", "_mix_b", F.coalesce(F.sum("_mix_n").over(earlier), F.lit(0)).alias("_mix_base"))
     inside = Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", F.col(f"`{id_col}`"))
-    held = held.withColumn("_mix_i", F.row_number().over(inside) - 1).join(bases, ["_mix_s", "_mix_b"]).withColumn("_mix_i", F.col("_mix_i") + F.col("_mix_base"))
-    block = F.floor(F.col("_mix_i") / block_rows)
-    place = F.array(*[F.array(*map(F.lit, o)) for o in offsets])[F.col("_mix_s")]
-    share = F.size(place)
-    slot = F.floor(block / share) * len(period) + place[(block % share).cast("int")]
-    return held.select(*[F.col(f"`{c}`") for c in columns], block.alias("mix_block"), slot.cast("long").alias("mix_slot"), (F.col("_mix_i") % block_rows).cast("long").alias("mix_position"))
+    held = keyed.withColumn("_mix_i", F.row_number().over(inside) - 1).join(bases, ["_mix_s", "_mix_b"]).withColumn("_mix_i", F.col("_mix_i") + F.col("_mix_base"))
+    held = held.withColumn("_mix_block", F.floor(F.col("_mix_i") / block_rows)).withColumn("_mix_k", F.col("_mix_block") % F.col("a")).join(places, ["_mix_s", "_mix_k"])
+    slot = F.floor(F.col("_mix_block") / F.col("a")) * total + F.col("_mix_at")
+    return held.select(*[F.col(f"`{c}`") for c in columns], F.col("_mix_block").alias("mix_block"), slot.cast("long").alias("mix_slot"), (F.col("_mix_i") % block_rows).cast("long").alias("mix_position"))
 
 
 #: DuckDB SQL for mix(documents) with the default weights, columns doc_id, source and the three that it adds.
@@ -94,7 +115,7 @@ ORACLE = f"""
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 shares AS (
   SELECT source, row_number() OVER (ORDER BY n DESC, source) AS i,
-         greatest(1, ceil({RESOLUTION} * sqrt(n) / (SELECT sum(sqrt(n)) FROM sizes)))::BIGINT AS a
+         greatest(1, round({DEFAULT_PARTS} * sqrt(n) / (SELECT round(sum(sqrt(n)), 6) FROM sizes)))::BIGINT AS a
   FROM sizes
 ),
 every AS (SELECT list(a ORDER BY i) AS a, sum(a)::BIGINT AS q FROM shares),
