@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import join_hot, materialize
 
 #: A value held by more owners, or by more repositories, than this is a copied example.
 MAX_OWNERS = 3
@@ -65,21 +66,37 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 def shaped_spans(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Further candidates that overlap no span in taken: known shapes first, then strings that look random."""
-    used, found = [(s, e) for s, e, _, _ in taken], []
+    # merged spans, apart and in order, so that one search tells whether another overlaps any
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e, _, _ in taken:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    found = []
+
+    def free(start, end):
+        i = bisect_left(starts, end)
+        return i == 0 or ends[i - 1] <= start
 
     def add(start, end, kind, value):
-        if all(end <= s or e <= start for s, e in used):
-            used.append((start, end))
+        if free(start, end):
+            i = bisect_left(starts, start)
+            starts.insert(i, start)
+            ends.insert(i, end)
             found.append((start, end, kind, value))
 
     for kind, pattern in SHAPES.items():
         if HINTS[kind] in text:
             for m in pattern.finditer(text):
                 add(m.start(), m.end(), kind, m[0])
+    # these come in order and apart from each other, so they needn't be put among the others
     for m in OPAQUE.finditer(text):
         v = m[0]
-        if any(c.isdigit() for c in v) and any(c.isupper() for c in v) and any(c.islower() for c in v) and entropy(v) >= MIN_ENTROPY:
-            add(m.start(), m.end(), "opaque", v)
+        if any(c.isdigit() for c in v) and any(c.isupper() for c in v) and any(c.islower() for c in v) and entropy(v) >= MIN_ENTROPY and free(m.start(), m.end()):
+            found.append((m.start(), m.end(), "opaque", v))
     return found
 
 
@@ -106,13 +123,13 @@ def candidates(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 
 def ownership(found: DataFrame, repo: Column, owner: Column) -> DataFrame:
-    """(hash, repos, owners): in how many distinct repositories and owners each candidate value occurs.
+    """(hash, rows, repos, owners): how often, and in how many distinct repositories and owners, each candidate value occurs.
 
     Counted in two partial steps, so a value copied everywhere is combined in every task before it is shuffled.
     """
-    each = found.select(F.explode("found").alias("c"), repo.alias("repo"), owner.alias("owner")).select(F.col("c.hash").alias("hash"), "repo", "owner").distinct()
-    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
+    each = found.select(F.explode("found").alias("c"), repo.alias("repo"), owner.alias("owner")).select(F.col("c.hash").alias("hash"), "repo", "owner").groupBy("hash", "repo", "owner").agg(F.count("*").alias("rows"))
+    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("rows").alias("rows"))
+    return by_owner.groupBy("hash").agg(F.sum("rows").alias("rows"), F.sum("repos").alias("repos"), F.count("*").alias("owners"))
 
 
 def _listed(spans: Column) -> Column:
@@ -129,8 +146,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     keep = list(dict.fromkeys([id_col, owner_col, *([repo_col] if repo_col else [])]))
     found = materialize(candidates(docs, text_col, keep).withColumn("_row", F.monotonically_increasing_id()))
     counts = ownership(found, F.col(f"`{repo_col or id_col}`"), F.col(f"`{owner_col}`"))
-    live = counts.select("hash", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
-    verdicts = found.select("_row", F.explode("found").alias("c")).select("_row", "c", F.col("c.hash").alias("hash")).join(live, "hash")
+    live = counts.select("hash", "rows", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
+    verdicts = found.select("_row", F.explode("found").alias("c")).select("_row", "c", F.col("c.hash").alias("hash"))
+    verdicts = join_hot(verdicts, materialize(live), "hash", "rows", ["_row", "c"])
     spans = verdicts.groupBy("_row").agg(F.collect_list(F.struct(F.col("c.start").alias("start"), F.array_position(F.array(*map(F.lit, BASE)), F.col("c.kind")).alias("at"), F.col("c.end").alias("end"), F.col("c.kind").alias("kind"), F.col("c.base").alias("base"), "live")).alias("s"))  # a text's own spans
     ordered = F.array_sort(F.transform("s", lambda s: F.struct(s["start"].alias("start"), F.when(s["at"] == 0, 9).otherwise(s["at"]).alias("at"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"), s["live"].alias("live"))))
     judged = found.select("_row", f"`{id_col}`").join(spans.select("_row", ordered.alias("s")), "_row", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start:int,at:bigint,kind:string,`end`:int,base:boolean,live:boolean>>")))
@@ -152,10 +170,23 @@ def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col
     rows that repeat an id must have the same text. Only the short span lists are joined to the texts.
     """
     listed = scanned.where("spans <> ''").select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
-    held = docs.join(listed, F.col(f"`{id_col}`") == F.col("_id"), "left")
-    parts = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("b"), F.split(s, ":")[2].cast("int").alias("e")))
-    zero = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
-    # overlapping spans count as one; what lies between them is copied
-    step = lambda acc, s: F.struct(F.when(s["e"] <= acc["at"], acc["t"]).when(s["b"] < acc["at"], acc["t"]).otherwise(F.concat(acc["t"], F.substring(F.col(text_col), acc["at"] + 1, s["b"] - acc["at"]), F.lit(mark))).alias("t"), F.greatest(acc["at"], s["e"]).alias("at"))
-    clean = F.aggregate(parts, zero, step, lambda acc: F.concat(acc["t"], F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col)))))
-    return held.select(*[(F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(clean).alias(text_col) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    held = docs.join(listed, F.col(f"`{id_col}`") == F.col("_id"), "left").drop("_id")
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if s is None else masked(t, s, mark) for t, s in zip(batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names)
+
+    return held.mapInArrow(run, docs.schema)
+
+
+def masked(text: str | None, spans: str, mark: str) -> str | None:
+    """The text with its spans, listed as kind:start:end by start, replaced by mark; spans that overlap are one."""
+    parts, at = [], 0
+    for span in spans.split(","):
+        start, end = map(int, span.rsplit(":", 2)[1:])
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
