@@ -1,9 +1,9 @@
 """License scans by diagonal voting.
 
 All rolling word k-gram hashes of all texts are joined to the positions of the templates' k-grams, a table of fixed
-size. A hit votes for the diagonal (word position in the text minus position in the template); votes are counted per
-text, template and diagonal, neighbouring diagonals of longer templates are merged, and a span counts if enough of the
-template's k-grams stand in it, in a stretch not much longer than the template. A base phrase needs all of them.
+size. A hit votes for the diagonal (word position in the text minus position in the template). For a base phrase all votes
+must be on one diagonal. For other templates, of any length, neighbouring diagonals are merged and their spans verified:
+enough of the template's k-grams must stand in a stretch of at most twice its length.
 """
 
 from __future__ import annotations
@@ -27,19 +27,34 @@ LEAST_COVERED = 0.75
 
 # The base phrases with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Further notices with their labels, at most 60 words each.
+# Further notices and license texts with their labels; words only, a line may be any length.
 TEMPLATES = [
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "mit"),
     ("licensed under the apache license version 2 0", "apache-2.0"),
     ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2.0"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "apache-2.0"),
+    ("subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form", "apache-2.0"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
     ("either version 3 of the license or at your option any later version", "gpl-3.0"),
     ("either version 2 of the license or at your option any later version", "gpl-2.0"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gpl"),
     ("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
     ("under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3-clause"),
+    ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2.0"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", "isc"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "zlib"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", "bsl-1.0"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "unlicense"),
+    ("the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law", "cc0"),
     ("licensed under cc by 4 0", "cc-by"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
@@ -88,17 +103,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shorts = F.greatest(F.col("n_words") - PHRASE_K + 1, F.lit(0))
     at = F.when(F.col("i") > shorts, F.col("i") - 1 - shorts).otherwise(F.col("i") - 1)
     hits = met.select("row", "id", "n_words", F.when(F.col("i") > 0, F.col("t")).alias("t"), F.when(F.col("i") > 0, F.col("q")).alias("q"), at.alias("p"))
-    votes = hits.groupBy("row", "id", "n_words", "t", (F.col("p") - F.col("q")).alias("d")).agg(F.bit_or(F.expr("shiftleft(1L, q)")).alias("mask"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    hits = hits.withColumn("d", F.col("p") - F.col("q"))
     sizes = [len(p.split()) - PHRASE_K + 1 for p in BASE] + [len(p.split()) - TEMPLATE_K + 1 for p, _ in TEMPLATES]
     names = [*BASE.values(), *(label for _, label in TEMPLATES)]
-    n_base = len(BASE)
+    size, n_base, whose = F.get(F.array(*map(F.lit, sizes)), F.col("t")), len(BASE), ["row", "id", "n_words", "t"]
+    # a base phrase: its few k-grams on one diagonal, one place; a text without hits passes here, too, with t null
+    places = hits.where(F.col("t").isNull() | (F.col("t") < n_base)).groupBy(*whose, "d").agg(F.bit_or(F.expr("shiftleft(1L, q)")).alias("mask"), F.min("p").alias("lo"))
+    places = places.select(*whose, "lo", (F.bit_count("mask") / size).alias("share"))
+    # others: islands of neighbouring diagonals, then stretches of twice the template's length, each overlapped by half by the next
     order = Window.partitionBy("row", "t").orderBy("d")
-    fresh = (F.col("t") < n_base) | F.coalesce(F.col("d") - F.lag("d").over(order) > SHIFT, F.lit(True))
-    islands = votes.withColumn("island", F.sum(fresh.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("row", "id", "n_words", "t", "island").agg(F.bit_or("mask").alias("mask"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    size = F.get(F.array(*map(F.lit, sizes)), F.col("t"))
-    share = F.when(F.col("hi") - F.col("lo") < 2 * size, F.bit_count("mask") / size).otherwise(F.lit(0.0))
-    judged = spans.withColumn("share", share).withColumn("label", F.get(F.array(*map(F.lit, names)), F.col("t")))
+    fresh = F.coalesce(F.col("d") - F.lag("d").over(order) > SHIFT, F.lit(True)).cast("long")
+    islands = hits.where(F.col("t") >= n_base).withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lo = F.min("p").over(Window.partitionBy("row", "t", "island"))
+    stretches = islands.withColumn("w", F.floor((F.col("p") - lo) / size)).select(*whose, "island", "q", "p", F.explode(F.sequence(F.greatest(F.col("w") - 1, F.lit(0)), F.col("w"))).alias("w"))
+    spans = stretches.groupBy(*whose, "island", "w").agg(F.size(F.collect_set("q")).alias("found"), F.min("p").alias("lo")).select(*whose, "lo", (F.col("found") / size).alias("share"))
+    judged = places.unionByName(spans).withColumn("label", F.get(F.array(*map(F.lit, names)), F.col("t")))
     is_base = (F.col("t") < n_base) & (F.col("share") == 1)
     counted = (F.col("t") >= n_base) & (F.col("share") >= LEAST_COVERED)
     out = judged.groupBy("row", "id", "n_words").agg(
