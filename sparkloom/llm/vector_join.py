@@ -22,14 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize
-from sparkloom.llm.components import connected_components
+from sparkloom.llm.common import join_hot, materialize, settled, tables_written
+from sparkloom.llm.components import connected_components, smallest_ids
 
 THRESHOLD = 0.9
 TARGET_RECALL = 0.99
-#: Codebooks are fitted on at most so many vectors, the first by hash of their content.
+#: Codebooks are fitted on about so many vectors at most, the first by hash of their content.
 FIT_VECTORS = 20_000
-#: Probes of the first round and of a later round at most; a round has four times the probes of the one before.
+#: Probes of the first round and of a later round at most, about; a round has four times the probes of the one before.
 PROBE_VECTORS = 400
 ROUND_VECTORS = 6400
 #: Rounds go on until each class of partner counts that was met (by its least count) has so many probes, or all rows were probes.
@@ -112,19 +112,26 @@ def _unit(column: pa.Array, dim: int) -> list[bytes | None]:
     return out
 
 
-def _rounds(nodes: DataFrame, edge: str, dim: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Hashes and vectors of all nodes in rounds: first those after edge, which the grid wasn't fitted on, then the others."""
+def _hash_at(share: float) -> str:
+    """The hash (in hexadecimal digits) below which that share of all hashes lies."""
+    return "g" if share >= 1 else f"{int(share * 16**13):013x}"
+
+
+def _vectors(rows: list, dim: int) -> tuple[list[str], np.ndarray]:
+    return [r["h"] for r in rows], np.frombuffer(b"".join(bytes(r["v"]) for r in rows), "<f8").reshape(-1, dim)
+
+
+def _rounds(nodes: DataFrame, edge: float, total: int, dim: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Hashes and vectors of all nodes in rounds: first those after edge, which the grid wasn't fitted on, then the others.
+
+    Hashes are spread evenly, so a range of them holds about as many rows as its share; nothing else is sent to the driver.
+    """
     size = PROBE_VECTORS
-    for side in (F.col("h") > edge, F.col("h") <= edge):
-        last = ""
-        while True:
-            taken = nodes.where(side & (F.col("h") > last)).orderBy("h").limit(size).select("h", "v").collect()  # ROUND_VECTORS rows at most
-            if taken:
-                yield [r["h"] for r in taken], np.frombuffer(b"".join(bytes(r["v"]) for r in taken), "<f8").reshape(-1, dim)
-                last = taken[-1]["h"]
-            if len(taken) < size:
-                break
-            size = min(4 * size, ROUND_VECTORS)
+    for at, end in ((edge, 1.0), (0.0, edge)):
+        while at < end:
+            upto = min(end, at + size / total)
+            yield _vectors(nodes.where((F.col("h") >= _hash_at(at)) & (F.col("h") < _hash_at(upto))).select("h", "v").collect(), dim)
+            at, size = upto, min(4 * size, ROUND_VECTORS)
 
 
 def _found_by_rank(nodes: DataFrame, index: MultiIndex, hashes: list[str], probes: np.ndarray, threshold: float, most: int) -> list:
@@ -169,13 +176,15 @@ def fitted_grid(nodes: DataFrame, dim: int, threshold: float = THRESHOLD, recall
     Without any partner in the whole table, which all rows were probed for, one cell is visited and the measure is empty.
     """
     total = nodes.count()
-    sample = nodes.orderBy("h").limit(min(FIT_VECTORS, (total + 1) // 2)).select("h", "v").toPandas()
-    fit, edge = np.frombuffer(b"".join(map(bytes, sample["v"])), "<f8").reshape(-1, dim), sample["h"].iloc[-1]
+    edge = min(0.5, FIT_VECTORS / total)
+    fit = _vectors(nodes.where(F.col("h") < _hash_at(edge)).select("h", "v").collect() or nodes.orderBy("h").limit(1).collect(), dim)[1]
     codes = min(MOST_CODES, max(1, math.ceil(math.sqrt(total / PER_CELL))))
     while True:
         index = MultiIndex(fit, codes)
         probes, shares = dict.fromkeys(CLASSES, 0), {c: np.zeros(most + 1) for c in CLASSES}
-        for hashes, x in _rounds(nodes, edge, dim):
+        for hashes, x in _rounds(nodes, edge, total, dim):
+            if not hashes:
+                continue
             for r in _found_by_rank(nodes, index, hashes, x, threshold, most):
                 probes[r["class"]] += r["probes"]
                 shares[r["class"]][r["rank"]] += r["share"]
@@ -193,10 +202,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     n_links counts the other rows found with cosine >= threshold, component_id is the smallest id that links reach,
     kept tells whether it is the row's own. Vectors that are null, zero, of another length than most or hold null or
-    non-finite components link with nothing. Ids must not be null; a repeated id is a row of its own with the same
-    component. An empty table gives an empty result. Other columns are ignored.
+    non-finite components link with nothing. A repeated id is a row of its own; rows of one id are in one component. A row
+    with a null id links like any other; component_id is null only where no row of the component has an id. An empty
+    table gives an empty result. Other columns are ignored.
     """
-    spark = vectors.sparkSession
+    spark, mark = vectors.sparkSession, tables_written()
     id_kind = vectors.schema[id_col].dataType.simpleString()
     lengths = vectors.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     dim = lengths[0]["d"] if lengths else 0
@@ -206,10 +216,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(_unit(batch.column(vector_col), dim), pa.binary())], [id_col, "v"])
 
     rows = vectors.select(id_col, vector_col).mapInArrow(units, f"`{id_col}` {id_kind}, v binary").withColumnRenamed(id_col, "id")
-    rows = materialize(rows.withColumn("h", F.sha2("v", 256)))
-    nodes = materialize(rows.where("v is not null").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("v").alias("v")))
-    total = nodes.count()
-    if not total or dim < 2:
+    rows = materialize(rows.withColumn("h", F.sha2("v", 256)).withColumn("r", F.monotonically_increasing_id()))
+    # a node is named by half of its vector's hash
+    nodes = materialize(rows.where("v is not null").groupBy("h").agg(F.unhex(F.substring("h", 1, 32)).alias("id"), F.count("*").alias("n"), F.min("v").alias("v")))
+    if not dim or nodes.isEmpty():
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     index, visits, _ = fitted_grid(nodes, dim, threshold, recall)
     shared = spark.sparkContext.broadcast(index)  # two codebooks
@@ -222,7 +232,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * walk.shape[1], pa.int32()), pa.array(walk.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), batch.column("v"), pa.array(index.cells(x), pa.int64()), flat], ["id", "n", "v", "cell", "walk"])
 
-    placed = materialize(nodes.select("id", "n", "v").mapInArrow(listed, f"id {id_kind}, n long, v binary, cell long, walk array<long>"))
+    placed = materialize(nodes.select("id", "n", "v").mapInArrow(listed, "id binary, n long, v binary, cell long, walk array<long>"))
     members = placed.select("cell", F.lit(False).alias("visitor"), "id", "n", "v", F.col("cell").alias("home"), "walk")
     visitors = placed.select(F.explode("walk").alias("cell"), F.lit(True).alias("visitor"), "id", "n", "v", F.col("cell").alias("home"), F.expr("cast(array() as array<bigint>)").alias("walk"))
     sizes = members.groupBy("cell").agg(F.count("*").alias("m")).join(visitors.groupBy("cell").agg(F.count("*").alias("w")), "cell")
@@ -255,11 +265,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 break
         return pa.table({"id": ids, "links": pa.array(links, pa.int64()), "root": ids.take(pa.array(label))})
 
-    parts = materialize(dealt.select("cell", "mb", "wb", "visitor", "id", "n", "v", "home", "walk").groupBy("cell", "mb", "wb").applyInArrow(block, f"id {id_kind}, links long, root {id_kind}"))
+    parts = materialize(dealt.select("cell", "mb", "wb", "visitor", "id", "n", "v", "home", "walk").groupBy("cell", "mb", "wb").applyInArrow(block, "id binary, links long, root binary"))
     degree = parts.groupBy("id").agg(F.sum("links").alias("links"))
     joined = connected_components(parts.where("id <> root"), "id", "root")
     known = nodes.select("h", F.col("id").alias("node"), F.col("n")).join(degree, F.col("node") == degree["id"], "left").select("h", "node", "n", F.coalesce("links", F.lit(0)).alias("links"))
-    known = known.join(joined, known["node"] == joined["id"], "left").select("h", "n", "links", F.coalesce("component", "node").alias("c"))
-    out = rows.select("id", "h").join(known, "h", "left")
-    component = F.coalesce("c", "id")
-    return out.select("id", F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    known = known.join(joined, known["node"] == joined["id"], "left").select("h", F.col("n").alias("rows"), F.coalesce("component", "node").alias("root"), (F.col("links") + F.col("n") - 1).alias("n_links"))
+    placed = materialize(join_hot(rows.where("h is not null").select("id", "h", "r"), materialize(known), "h", "rows", ["r"]).select("id", "r", "root", "n_links"))
+    names = smallest_ids(placed).join(placed.groupBy("root").agg(F.count("*").alias("rows")), "root", "right")
+    linked = join_hot(placed, materialize(names), "root", "rows", ["r"]).select("id", "n_links", "component_id")
+    alone = rows.where("h is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return settled(linked.unionByName(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("id"))), mark)
