@@ -2,13 +2,12 @@
 
 run() writes every stage as a table in the shared folder before the next one reads it. A stage takes (spark, docs,
 sf_dir) and returns a DataFrame; all but the last return the columns of documents. No stage needs ids to be unique or
-not null: rows are told apart by a hash of what they hold.
+not null: rows are told apart by what they hold. Each stage of an empty table is empty; texts are read whole, however long.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import materialize
@@ -22,26 +21,31 @@ from sparkloom.llm.secret_scan import redact, scan
 ORACLE_SQL = None
 
 
-def _content() -> Column:
-    """Equal for rows with equal id, text, language and source, which every stage treats alike."""
-    return F.xxhash64("doc_id", "text", "lang", "source").alias("_key")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, the id and a hash of all that a row holds: rows that are equal throughout have the same."""
+    content = F.xxhash64("doc_id", "text", "lang", "source", "n_chars")
+    return docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", content.alias("content")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the quality rules."""
-    kept = quality_verdicts(docs.select("text", "lang", "source", _content()), keep=("_key",)).where("kept").select("_key")
-    return docs.withColumn("_key", _content()).join(kept, "_key", "left_semi").select(*docs.columns)
+    """The documents that pass the quality rules; null and empty texts don't, each repeated row is judged for itself."""
+    return quality_verdicts(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows that repeat id and text count once."""
-    kept = similar_components(docs.select("doc_id", "text")).where("id <=> component_id").select(F.col("id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of near-duplicates one row, that with the smallest id.
+
+    Rows count, not ids: of several texts under one id each is judged for itself. Rows that are equal throughout are
+    one; texts without words stay.
+    """
+    keyed = _keyed(docs)
+    kept = similar_components(keyed.select("_row", "text"), id_col="_row", count_links=False).where("id = component_id").select(F.col("id").alias("_row")).distinct()
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, reported secrets replaced by a mark and n_chars brought up to date."""
-    keyed = docs.withColumn("_key", _content())
+    """All documents, reported secrets replaced by a mark and n_chars brought up to date; null texts stay null."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang", "source"))
     clean = redact(keyed, scan(keyed, id_col="_key", repo_col="doc_id"), id_col="_key")
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -57,6 +61,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Spark deals files to tasks by size, so an order over files is lost in reading. mix() gives the same places again;
     tasks take consecutive ranges of them, and sequence ids rise with the task.
     """
+    import public_tokenizers
+
     return pack(mix(docs).orderBy("mix_slot", "mix_position"), public_tokenizers.path("word_bpe_49k.json"))
 
 
