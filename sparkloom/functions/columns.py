@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,13 +38,17 @@ def mask_digits(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"\d+", "#")
 
 
+_AMOUNT = r"^([-−–])?£?(?:GBP)?([-−–])?((?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2})$"
+
+
 def money(c: Column) -> Column:
     """Pounds with two decimals as decimal(14,2); brackets and minus signs are negative; null for anything else."""
-    bare = F.regexp_replace(F.trim(c), r"(?i)£|GBP|\s|,", "")
-    negative = bare.rlike(r"^\(.*\)$") | bare.rlike("^[-−–]")
-    digits = F.regexp_replace(bare, "^[-−–(]+|\\)$", "")
-    value = F.when(digits.rlike(r"^\d+\.\d{2}$"), digits.try_cast("decimal(14,2)"))
-    return F.when(negative, -value).otherwise(value)
+    bare = F.regexp_replace(c, " ", "")
+    bracketed = bare.rlike(r"^\(.*\)$")
+    inner = F.regexp_replace(bare, r"^\((.*)\)$", "$1")
+    part = lambda i: F.regexp_extract(inner, _AMOUNT, i)
+    value = F.when(inner.rlike(_AMOUNT), F.regexp_replace(part(3), ",", "").try_cast("decimal(14,2)"))
+    return F.when(bracketed | (part(1) != "") | (part(2) != ""), -value).otherwise(value)
 
 
 def row_key(*columns: Column) -> Column:
@@ -63,41 +69,148 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest_rank(c: Column, q: float) -> Column:
-    """Aggregate: the value at rank round(q * (n - 1)), halves to even. Sorts a group's values, so groups must be bounded."""
-    v = F.sort_array(F.collect_list(c))
-    return F.get(v, F.least(F.size(v) - 1, F.bround(F.lit(q) * (F.size(v) - 1)).cast("int")))
+def nearest_rank(q: float) -> Callable[[Column], Column]:
+    """The rank round(q * (n - 1)), halves to even, among n values counted from 0."""
+    return lambda n: F.bround(F.lit(q) * (n - 1)).cast("long")
 
 
-def floor_rank(c: Column, q: float) -> Column:
-    """Aggregate: the value at rank floor(q * n), the last at most."""
-    v = F.sort_array(F.collect_list(c))
-    return F.get(v, F.least(F.size(v) - 1, F.floor(F.lit(q) * F.size(v)).cast("int")))
+def floor_rank(q: float) -> Callable[[Column], Column]:
+    """The rank floor(q * n), the last at most."""
+    return lambda n: F.least(n - 1, F.floor(F.lit(q) * n)).cast("long")
 
 
-def upper_median(c: Column) -> Column:
-    """Aggregate: the value at rank n div 2."""
-    return floor_rank(c, 0.5)
+def upper_median() -> Callable[[Column], Column]:
+    """The rank n div 2."""
+    return floor_rank(0.5)
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log1p(n / (df + 1))
 
 
+#: Suffixes in the order in which they are tried, what takes their place, and the least length of a word.
+SUFFIXES = (("ies", "y", 5), ("sses", "ss", 6), ("ing", "", 6), ("ed", "", 5), ("es", "e", 5), ("s", "", 4))
+
+
 def stem(c: Column) -> Column:
-    """A light English suffix stemmer: ies, sses, ing, ed, es and s."""
-    return (
-        F.when(c.rlike("^.{2,}ies$"), F.regexp_replace(c, "ies$", "y"))
-        .when(c.rlike("sses$"), F.regexp_replace(c, "es$", ""))
-        .when(c.rlike("^.{3,}ing$"), F.regexp_replace(c, "ing$", ""))
-        .when(c.rlike("^.{3,}ed$"), F.regexp_replace(c, "ed$", ""))
-        .when(c.rlike("^.{3,}es$"), F.regexp_replace(c, "es$", "e"))
-        .when(c.rlike("^.{3,}[^s]s$"), F.regexp_replace(c, "s$", ""))
-        .otherwise(c)
-    )
+    """A light English suffix stemmer; possessive 's goes first, a word in ss stays."""
+    w = F.regexp_replace(F.translate(F.lower(c), "’", "'"), "'s$", "")
+    out = None
+    for suffix, instead, least in SUFFIXES:
+        fits, cut = w.endswith(suffix) & (F.length(w) >= least), F.concat(F.substring(w, F.lit(1), F.length(w) - len(suffix)), F.lit(instead))
+        out = F.when(fits, cut) if out is None else out.when(fits, cut)
+    return F.when(w.endswith("ss"), w).otherwise(out.otherwise(w))
 
 
 def citations(c: Column) -> Column:
     """Numbers in [1], [2, 3] ... in order of first appearance."""
     groups = F.regexp_extract_all(c, F.lit(r"\[(\d+(?:\s*,\s*\d+)*)\]"), F.lit(1))
     return F.array_distinct(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*"))), lambda x: x.cast("int")))
+
+
+def checked_citations(c: Column, sources: Column) -> Column:
+    """struct(valid, invented): the cited numbers from 1 to sources, and the others."""
+    known = lambda n: (n >= 1) & (n <= sources)
+    return F.struct(F.filter(citations(c), known).alias("valid"), F.filter(citations(c), lambda n: ~known(n)).alias("invented"))
+
+
+def cut_passage(c: Column, most: int) -> Column:
+    """A text of at most `most` characters as it is, a longer one cut at its last space within them, with a mark."""
+    head = F.substring(c, 1, most)
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(head, r" [^ ]*$", ""), F.lit(" …")))
+
+
+def code_text(c: Column) -> Column:
+    """A code that a spreadsheet turned into a number, without its .0."""
+    return F.regexp_replace(F.trim(c), r"\.0$", "")
+
+
+def whole_number(c: Column) -> Column:
+    """A printed quantity as long: thousands separators, brackets or a minus sign for negative ones; null for anything else."""
+    bare = F.regexp_replace(c, " ", "")
+    negative = bare.rlike(r"^\(.*\)$") | bare.rlike(r"^\(?[-−–]")
+    digits = F.regexp_replace(F.regexp_replace(bare, r"^\((.*)\)$", "$1"), "^[-−–]", "")
+    value = F.when(digits.rlike(r"^(\d{1,3}(,\d{3})+|\d+)$"), F.regexp_replace(digits, ",", "").try_cast("long"))
+    return F.when(negative, -value).otherwise(value)
+
+
+#: How printed dates may look, each with or without a time.
+DATE_FORMATS = ("d/M/yyyy", "yyyy-M-d", "d MMMM yyyy", "d MMM yyyy", "d.M.yyyy", "d-MMM-yyyy")
+
+
+def printed_date(c: Column) -> Column:
+    """A printed date as timestamp without time zone; null for anything else."""
+    text = F.regexp_replace(F.trim(c), r"\s+", " ")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for d in DATE_FORMATS for f in (d, f"{d} H:m")])
+
+
+def us_date(c: Column) -> Column:
+    """A timestamp as month/day/year with a twelve-hour clock."""
+    return F.date_format(c, "MM/dd/yyyy h:mm a")
+
+
+def month_end(month: Column) -> Column:
+    """The last day of a month given as yyyy-MM."""
+    return F.last_day(F.to_date(F.concat(month, F.lit("-01"))))
+
+
+def next_month(month: Column) -> Column:
+    """The month after one given as yyyy-MM."""
+    return F.date_format(F.add_months(F.to_date(F.concat(month, F.lit("-01"))), 1), "yyyy-MM")
+
+
+def plain_text(c: Column) -> Column:
+    """Ligatures spelled out, control characters gone, runs of leader dots as a space."""
+    out = c
+    for one, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = F.replace(out, F.lit(one), F.lit(letters))
+    return F.regexp_replace(F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"\s*\.(\s?\.){3,}\s*", " ")
+
+
+def comparable(c: Column) -> Column:
+    """Lower case with plain quotes and hyphens and single spaces, to look facts up in."""
+    return F.regexp_replace(F.translate(F.lower(c), "’“”‐", "'\"\"-"), r"\s+", " ")
+
+
+def facts_present(answer: Column, facts: Column) -> Column:
+    """Whether of each fact (an array of ways to put it) one stands in the answer."""
+    text = comparable(answer)
+    return F.forall(facts, lambda ways: F.exists(ways, lambda way: F.contains(text, comparable(way))))
+
+
+def highlights(c: Column, words: Column) -> Column:
+    """array<struct<start, end>>: where whole words of the array stand in the text, letters in either case; end exclusive.
+
+    The text is taken apart into words and what lies between; starts are the lengths of what came before.
+    """
+    pieces = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+    kind = "struct<at: int, found: array<struct<start: int, end: int>>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("found")).cast(kind)
+
+    def step(acc, piece):
+        end = acc["at"] + F.length(piece)
+        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(words, F.lower(piece)), F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found")).cast(kind)
+
+    return F.aggregate(pieces, zero, step, lambda acc: acc["found"])
+
+
+def raw_json(columns: list[str]) -> Column:
+    """Columns as a JSON object of texts, nulls kept."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"})
+
+
+def checked_vector(v: Column, size: int) -> Column:
+    """The vector; an error where it isn't null and has another length."""
+    return F.when(v.isNull() | (F.size(v) == size), v).otherwise(F.raise_error(F.concat(F.lit(f"a vector of {size} numbers is needed, not of "), F.size(v).cast("string"))).cast("array<float>"))
+
+
+def corrupted(rows: DataFrame, keys: list[str], seed: int, quantity: str, date: str, price: str) -> DataFrame:
+    """rows with seeded faults for tests, by a hash of the keys: 4 % bad quantities, 2 % dates in another order, 1 % missing
+    prices, 0.5 % cut lines (column cut)."""
+    bucket = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary")), 1, 8), 16, 10).cast("long") % 1000
+    out = rows.withColumn("_b", bucket)
+    return out.withColumns({
+        quantity: F.when(F.col("_b") < 40, "five").otherwise(F.col(quantity)), date: F.when((F.col("_b") >= 40) & (F.col("_b") < 60), us_date(F.col(date).try_cast("timestamp_ntz"))).otherwise(F.col(date)),
+        price: F.when((F.col("_b") >= 60) & (F.col("_b") < 70), "").otherwise(F.col(price)), "cut": (F.col("_b") >= 70) & (F.col("_b") < 75),
+    }).drop("_b")

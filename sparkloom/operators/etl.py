@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,23 +21,6 @@ LINE_TYPES = {"POST": "postage", "DOT": "postage", "C2": "postage", "M": "manual
 WEIGHTS = {"gate": 3, "warn": 2, "info": 1}
 
 
-def read_drop(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of plain or gzip CSV files with line_number (the header is line 1), issue and the contract's columns.
-
-    Files are read one by one as a whole, as line numbers need their order; lines are then parsed apart. A blank line is
-    skipped, an undecodable one is an encoding_error, one with a wrong number of fields a malformed_row.
-    """
-    files = spark.read.text(path, wholetext=False)
-    numbered = files.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value"))
-    # a text split is read in order, and gzip files are never split: numbers inside a file follow the ids
-    order = Window.partitionBy("file").orderBy("at")
-    lines = numbered.withColumn("line_number", F.row_number().over(order)).where(F.col("line_number") > 1).where(F.trim("value") != "")
-    schema = ", ".join(f"`{c}` string" for c in RAW) + ", _bad string"
-    parsed = lines.withColumn("r", F.from_csv("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    issue = F.when(F.col("value").contains("�"), "encoding_error").when(F.col("r._bad").isNotNull(), "malformed_row")
-    return parsed.select("file", "line_number", issue.alias("issue"), F.col("value").alias("line"), *[F.col(f"r.`{c}`").alias(c) for c in RAW])
-
-
 def coerce(records: DataFrame) -> DataFrame:
     """records with typed columns; the raw ones are kept as raw_<name>, as column names don't differ by case."""
     c = {x: clean(F.col(f"`{x}`")) for x in RAW}
@@ -53,7 +36,7 @@ def coerce(records: DataFrame) -> DataFrame:
     return out.withColumn("stock_code", stock_code(F.coalesce("stock_code_raw", F.lit(""))))
 
 
-def reject_reason(period: str, known_products: DataFrame | None = None, known_customers: DataFrame | None = None) -> Column:
+def reject_reason(period: str | Column, known_products: DataFrame | None = None, known_customers: DataFrame | None = None) -> Column:
     """The first reason by precedence that applies to a coerced row; null for a row to keep.
 
     Membership in the dictionaries is looked up beforehand as the flags product_known and customer_known.
@@ -69,7 +52,7 @@ def reject_reason(period: str, known_products: DataFrame | None = None, known_cu
         "bad_price": F.col("unit_price").isNull(),
         "missing_stock_code": F.col("stock_code_raw").isNull(),
         "bad_customer_id": F.col("_customer_given") & F.col("customer_id").isNull(),
-        "outside_drop_period": F.date_format("invoiced_at", "yyyy-MM") != period,
+        "outside_drop_period": F.date_format("invoiced_at", "yyyy-MM") != (F.lit(period) if isinstance(period, str) else period),
         "test_record": F.upper("stock_code").startswith("TEST"),
         "accounting_adjustment": invoice.startswith("A"),
         "stock_adjustment": (F.col("unit_price") == 0) & F.col("customer_id").isNull(),
@@ -108,16 +91,25 @@ def warnings() -> Column:
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """rows with duplicate: whether an earlier row in the given order has equal keys (nulls are equal)."""
-    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order)
-    return rows.withColumn("duplicate", F.row_number().over(w) > 1)
+    """rows with duplicate: whether an earlier row in the given order has equal keys (nulls are equal).
+
+    Rows are dealt and sorted by a 128-bit hash of the keys, not by the keys themselves.
+    """
+    text = F.to_json(F.struct(*[F.col(f"`{k}`").cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
+    hashed = rows.withColumn("_k1", F.xxhash64(text)).withColumn("_k2", F.xxhash64(text, F.lit(1)))
+    w = Window.partitionBy("_k1", "_k2").orderBy(*order)
+    return hashed.withColumn("duplicate", F.row_number().over(w) > 1).drop("_k1", "_k2")
+
 
+def validate(records: DataFrame, period: str | Column, products: DataFrame, customers: DataFrame, order: str = "line_number", within: tuple[str, ...] = ()) -> DataFrame:
+    """records with typed columns, reason (a reject reason, duplicate_line or null), severity, and warnings of accepted rows.
 
-def validate(records: DataFrame, period: str, products: DataFrame, customers: DataFrame, order: str = "line_number") -> DataFrame:
-    """records with typed columns, reason (a reject reason, duplicate_line or null), severity, and warnings of accepted rows."""
+    period: the drop's month, or a column of it where records holds several drops; within names columns that tell drops
+    apart, as lines repeat only inside one.
+    """
     rows = with_references(coerce(records), products, customers).withColumn("reason", reject_reason(period))
     # equal raw rows have equal reasons, so the first of equal rows is the first of the accepted ones
-    rows = keep_first(rows, [f"raw_{x}" for x in RAW], [order])
+    rows = keep_first(rows, [*within, *[f"raw_{x}" for x in RAW]], [order])
     reason = F.coalesce("reason", F.when(F.col("duplicate"), "duplicate_line"))
     severity = F.when(F.col("reason").isNotNull(), "reject").when(F.col("duplicate"), "dropped")
     rows = rows.withColumn("severity", severity).withColumn("reason", reason).drop("duplicate")
@@ -126,6 +118,13 @@ def validate(records: DataFrame, period: str, products: DataFrame, customers: Da
     return rows.withColumn("warnings", F.when(accepted, warnings())).withColumn("line_type", F.when(accepted, line_type(F.col("stock_code"))))
 
 
+def quarantined(rows: DataFrame, broken: DataFrame) -> DataFrame:
+    """(line_number, reason, raw): rejected and dropped rows of validate(), and the lines that could not be read at all (line_number, issue, line)."""
+    raw = F.to_json(F.struct(*[F.coalesce(F.col(f"`raw_{x}`"), F.lit("")).alias(x) for x in RAW]))
+    own = rows.where("reason is not null").select("line_number", "reason", raw.alias("raw"))
+    return own.unionByName(broken.where("issue is not null").select("line_number", F.col("issue").alias("reason"), F.substring("line", 1, 500).alias("raw")))
+
+
 def transform(accepted: DataFrame) -> DataFrame:
     """Accepted rows with line_key and line_total, one row per key (the first by line_number)."""
     price = F.format_string("%.3f", F.col("unit_price"))
@@ -140,12 +139,12 @@ def first_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("invoice").agg(head).select("invoice", "h.*", F.when(F.col("invoice").startswith("C"), "cancellation").otherwise("sale").alias("kind"))
 
 
-def batch_checks(rows: DataFrame, reject_gate: float = 0.05, duplicate_warn: float = 0.1, completeness_min: float = 0.6) -> DataFrame:
-    """(name, dimension, severity, passed, value) of a validated batch, from one aggregate over it."""
+def batch_checks(rows: DataFrame, reject_gate: float = 0.05, duplicate_warn: float = 0.1, completeness_min: float = 0.6, by: tuple[str, ...] = ()) -> DataFrame:
+    """(name, dimension, severity, passed, value) of a validated batch, or of each one that the columns in by tell apart, from one aggregate."""
     kept = F.col("reason").isNull()
     sale = kept & (F.col("line_type") == "product") & ~F.col("invoice").startswith("C")
     rejected = F.col("severity") == "reject"
-    c = rows.agg(
+    c = rows.groupBy(*by).agg(
         F.count("*").alias("read"), F.count_if(rejected).alias("rejected"), F.count_if(F.col("severity") == "dropped").alias("dropped"),
         F.avg(F.when(sale, F.col("customer_id").isNotNull().cast("double"))).alias("complete"),
         F.count_if(F.col("reason").isin("unknown_product", "unknown_customer")).alias("orphans"),
@@ -160,32 +159,36 @@ def batch_checks(rows: DataFrame, reject_gate: float = 0.05, duplicate_warn: flo
         ("reference_integrity", "integrity", "warn", F.col("orphans") / read, lambda v: v <= 0.001),
     ]
     entries = [F.struct(F.lit(n).alias("name"), F.lit(d).alias("dimension"), F.lit(s).alias("severity"), test(v).alias("passed"), F.round(v, 6).alias("value")) for n, d, s, v, test in checks]
-    return c.select(F.inline(F.array(*entries)))
+    return c.select(*by, F.inline(F.array(*entries)))
 
 
-def dq_score(checks: DataFrame) -> DataFrame:
-    """score: the weighted share of passed checks in percent, one decimal."""
+def dq_score(checks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """score, by the columns in by: the weighted share of passed checks in percent, one decimal."""
     weight = reduce(lambda acc, kv: acc.when(F.col("severity") == kv[0], kv[1]), list(WEIGHTS.items())[1:], F.when(F.col("severity") == "gate", WEIGHTS["gate"]))
-    return checks.agg(F.round(100.0 * F.sum(F.when(F.col("passed"), weight).otherwise(0)) / F.sum(weight), 1).alias("score"))
+    return checks.groupBy(*by).agg(F.round(100.0 * F.sum(F.when(F.col("passed"), weight).otherwise(0)) / F.sum(weight), 1).alias("score"))
 
 
 def publish(lines: DataFrame, path: str, key: str = "line_key", partition: str = "drop_key") -> DataFrame:
     """Append the rows whose key the table lacks, partitioned; returns what was added. A replay adds nothing.
 
-    Only partitions that the batch touches are compared. Writing is Spark's committed append: a failed job leaves no rows.
+    Only partitions that the batch touches are read of the table (their number is small: a batch is a few drops). A key
+    belongs to one partition. Writing is Spark's committed append: a failed job leaves no rows.
     """
     spark = lines.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fresh = lines.dropDuplicates([key])
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        old = spark.read.parquet(path).select(F.col(key).alias("_key"), F.col(partition).alias("_partition"))
-        fresh = fresh.join(old, (F.col(key) == F.col("_key")) & (F.col(partition) == F.col("_partition")), "left_anti")
-    fresh = fresh.persist()
+    added = fresh = lines.dropDuplicates([key]).persist()
     try:
-        fresh.write.mode("append").partitionBy(partition).parquet(path)
-        return spark.createDataFrame([(fresh.count(),)], "added long")
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            touched = [r[0] for r in fresh.select(partition).distinct().collect()]
+            old = spark.read.schema(lines.schema).parquet(path).where(F.col(partition).isin(touched) | F.lit(None in touched) & F.col(partition).isNull()).select(F.col(key).alias("_key"))
+            added = fresh.join(old, F.col(key) == F.col("_key"), "left_anti").persist()
+        n = added.count()
+        if n:
+            added.write.mode("append").partitionBy(partition).parquet(path)
+        return spark.createDataFrame([(n,)], "added long")
     finally:
         fresh.unpersist()
+        added.unpersist()
 
 
 def merge_customers(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
 from sparkloom.operators import etl, profile, retrieval, rules
 from sparkloom.plans import plan
+from sparkloom.registry import ORACLES, QUERIES  # noqa: F401
+from sparkloom.registry import register as _register
 from sparkloom.session import table
 from sparkloom.sources.views import DROP_SQL, SALES_SQL, drop_rows, sales
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles to two decimals, so sums in another order compare equal."""
     return df.select(*[F.round(f.name, 2).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f"`{f.name}`") for f in df.schema.fields])
@@ -52,28 +37,29 @@ _plan("revenue_by_quarter_nation", {"metrics": [_m("avg", "revenue"), _m("max",
       "SELECT date_trunc('quarter', invoiced_at)::DATE AS quarter, country, round(avg(revenue), 2) AS avg_revenue, max(quantity) AS max_quantity FROM sales GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 100")
 _plan("global_metrics", {"metrics": [_m("count", "priority"), _m("min", "invoiced_at"), _m("avg", "unit_price")]},
       "SELECT count(priority) AS count_priority, min(invoiced_at) AS min_invoiced_at, round(avg(unit_price), 2) AS avg_unit_price FROM sales")
-_plan("filter_ne_notin", {"metrics": [_m("count")], "group_by": ["priority"], "filters": [{"column": "priority", "op": "ne", "value": "1-URGENT"}, {"column": "country", "op": "not_in", "value": ["FRANCE", "CHINA"]}]},
-      "SELECT priority, count(*) AS rows FROM sales WHERE priority <> '1-URGENT' AND country NOT IN ('FRANCE', 'CHINA') GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 20")
-_plan("filter_contains_escaped", {"metrics": [_m("count")], "group_by": ["description"], "filters": [{"column": "description", "op": "contains", "value": "R"}, {"column": "country", "op": "contains", "value": "an"}], "limit": 30},
-      "SELECT description, count(*) AS rows FROM sales WHERE contains(lower(description), 'r') AND contains(lower(country), 'an') GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 30")
+_plan("filter_ne_notin", {"metrics": [_m("count")], "group_by": ["priority"], "filters": [{"column": "priority", "op": "ne", "value": "1-URGENT"}, {"column": "country", "op": "not_in", "value": ["NATION_3", "NATION_11"]}]},
+      "SELECT priority, count(*) AS rows FROM sales WHERE priority <> '1-URGENT' AND country NOT IN ('NATION_3', 'NATION_11') GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 20")
+_plan("filter_contains_escaped", {"metrics": [_m("count")], "group_by": ["description"], "filters": [{"column": "description", "op": "contains", "value": "R"}, {"column": "country", "op": "contains", "value": "tion_1"}], "limit": 30},
+      "SELECT description, count(*) AS rows FROM sales WHERE contains(lower(description), 'r') AND contains(lower(country), 'tion_1') GROUP BY 1 ORDER BY 2 DESC NULLS LAST, 1 LIMIT 30")
 _plan("filter_between_dates", {"metrics": [_m("sum", "quantity")], "group_by": ["country"], "filters": [{"column": "invoiced_at", "op": "between", "value": ["1996", "1997-03"]}, {"column": "quantity", "op": "between", "value": [5, 30]}]},
       "SELECT country, round(sum(quantity), 2) AS sum_quantity FROM sales WHERE invoiced_at >= TIMESTAMP '1996-01-01' AND invoiced_at < TIMESTAMP '1997-04-01' AND quantity BETWEEN 5 AND 30 GROUP BY 1 ORDER BY sum(quantity) DESC NULLS LAST, 1 LIMIT 20")
 _plan("filter_date_gt_lte", {"metrics": [_m("count")], "time_bucket": {"column": "invoiced_at", "grain": "day"}, "filters": [{"column": "invoiced_at", "op": "gt", "value": "1996-02"}, {"column": "invoiced_at", "op": "lte", "value": "1996-04-10"}], "limit": 50},
       "SELECT date_trunc('day', invoiced_at)::DATE AS day, count(*) AS rows FROM sales WHERE invoiced_at >= TIMESTAMP '1996-03-01' AND invoiced_at < TIMESTAMP '1996-04-11' GROUP BY 1 ORDER BY 1 LIMIT 50")
 _plan("filter_null_checks", {"metrics": [_m("count"), _m("count_distinct", "customer_id")], "group_by": ["country", "priority"], "filters": [{"column": "priority", "op": "is_null"}, {"column": "customer_id", "op": "not_null"}], "sort": "metric_asc", "limit": 15},
       "SELECT country, priority, count(*) AS rows, count(DISTINCT customer_id) AS distinct_customer_id FROM sales WHERE priority IS NULL AND customer_id IS NOT NULL GROUP BY 1, 2 ORDER BY 3 NULLS LAST, 1, 2 LIMIT 15")
-_plan("filter_in_comparisons", {"metrics": [_m("min", "revenue"), _m("max", "revenue")], "group_by": ["is_cancellation"], "filters": [{"column": "country", "op": "in", "value": ["GERMANY", "KENYA"]}, {"column": "unit_price", "op": "gte", "value": "£1,000"}, {"column": "quantity", "op": "lt", "value": 40}]},
-      "SELECT is_cancellation, round(min(revenue), 2) AS min_revenue, round(max(revenue), 2) AS max_revenue FROM sales WHERE country IN ('GERMANY', 'KENYA') AND unit_price >= 1000 AND quantity < 40 GROUP BY 1 ORDER BY min(revenue) DESC NULLS LAST, 1 LIMIT 20")
+_plan("filter_in_comparisons", {"metrics": [_m("min", "revenue"), _m("max", "revenue")], "group_by": ["is_cancellation"], "filters": [{"column": "country", "op": "in", "value": ["NATION_7", "NATION_21"]}, {"column": "unit_price", "op": "gte", "value": "£905.50"}, {"column": "quantity", "op": "lt", "value": 40}]},
+      "SELECT is_cancellation, round(min(revenue), 2) AS min_revenue, round(max(revenue), 2) AS max_revenue FROM sales WHERE country IN ('NATION_7', 'NATION_21') AND unit_price >= 905.5 AND quantity < 40 GROUP BY 1 ORDER BY min(revenue) DESC NULLS LAST, 1 LIMIT 20")
 _plan("rows_by_year", {"metrics": [_m("count")], "time_bucket": {"column": "invoiced_at", "grain": "year"}, "filters": [{"column": "invoiced_at", "op": "gte", "value": "1997"}]},
       "SELECT date_trunc('year', invoiced_at)::DATE AS year, count(*) AS rows FROM sales WHERE invoiced_at >= TIMESTAMP '1997-01-01' GROUP BY 1 ORDER BY 1 LIMIT 20")
 
 
 @_register("profile_columns", """
 SELECT 'c_custkey' AS column_name, 'integer' AS kind, count(c_custkey) AS non_null, count(DISTINCT c_custkey) AS distinct_values, min(c_custkey)::VARCHAR AS min_value, max(c_custkey)::VARCHAR AS max_value, round(avg(c_custkey), 4) AS mean, 0::BIGINT AS negatives, count(*) AS n_rows FROM customer
-UNION ALL SELECT 'c_acctbal', 'number', count(c_acctbal), count(DISTINCT c_acctbal), NULL, NULL, round(avg(c_acctbal), 4), count(*) FILTER (c_acctbal < 0), count(*) FROM customer
-UNION ALL SELECT 'c_mktsegment', 'text', count(c_mktsegment), count(DISTINCT c_mktsegment), min(c_mktsegment), max(c_mktsegment), NULL, 0, count(*) FROM customer""")
+UNION ALL SELECT 'c_acctbal', 'number', count(c_acctbal), count(DISTINCT c_acctbal), min(c_acctbal)::VARCHAR, max(c_acctbal)::VARCHAR, round(avg(c_acctbal), 4), count(*) FILTER (c_acctbal < 0), count(*) FROM customer
+UNION ALL SELECT 'c_mktsegment', 'text', count(c_mktsegment), count(DISTINCT c_mktsegment), min(c_mktsegment), max(c_mktsegment), NULL, 0, count(*) FROM customer
+UNION ALL SELECT 'opened', 'date', count(*), count(DISTINCT c_custkey % 28), min(DATE '1996-02-01' + (c_custkey % 28)::INT)::VARCHAR, max(DATE '1996-02-01' + (c_custkey % 28)::INT)::VARCHAR, NULL, 0, count(*) FROM customer""")
 def _profile_columns(spark, sf_dir):
-    p = profile.profile(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"))
+    p = profile.profile(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", F.date_add(F.lit("1996-02-01").cast("date"), (F.col("c_custkey") % 28).cast("int")).alias("opened")))
     return p.select("column_name", "kind", "non_null", "distinct_values", "min_value", "max_value", "mean", "negatives", "n_rows")
 
 
@@ -101,16 +87,16 @@ cleaned AS (SELECT *, nullif(trim(invoice_raw), '') AS invoice, nullif(trim(stoc
   TRY_CAST(quantity_raw AS DOUBLE) AS q, try_strptime(date_raw, '%Y-%m-%d %H:%M:%S') AS invoiced_at, TRY_CAST(price_raw AS DOUBLE) AS unit_price, TRY_CAST(nullif(customer_raw, '') AS DOUBLE) AS c FROM drop_rows),
 typed AS (SELECT *, CASE WHEN q % 1 = 0 THEN q::BIGINT END AS quantity, CASE WHEN c % 1 = 0 THEN c::BIGINT END AS customer_id,
   CASE WHEN regexp_matches(stock_code_raw, '^[0-9]{{5}}[a-z]+$') OR stock_code_raw = 'm' THEN upper(stock_code_raw) ELSE coalesce(stock_code_raw, '') END AS stock_code FROM cleaned),
-products AS (SELECT DISTINCT CASE WHEN p_partkey % 61 = 0 THEN 'POST' WHEN p_partkey % 2 = 0 THEN lpad((p_partkey % 100000)::VARCHAR, 5, '0') || 'A' ELSE lpad((p_partkey % 100000)::VARCHAR, 5, '0') END AS code FROM part),
+products AS (SELECT CASE WHEN p_partkey % 61 = 0 THEN 'POST' WHEN p_partkey % 2 = 0 THEN lpad((p_partkey % 100000)::VARCHAR, 5, '0') || 'A' ELSE lpad((p_partkey % 100000)::VARCHAR, 5, '0') END AS code, min(p_name) AS canonical FROM part GROUP BY 1),
 known AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 11 <> 0),
-flagged AS (SELECT t.*, p.code IS NOT NULL AS product_known, k.id IS NOT NULL AS customer_known FROM typed t LEFT JOIN products p ON p.code = t.stock_code LEFT JOIN known k ON k.id = t.customer_id),
+flagged AS (SELECT t.*, p.code IS NOT NULL AS product_known, canonical, coalesce(description0, canonical) AS description, k.id IS NOT NULL AS customer_known FROM typed t LEFT JOIN products p ON p.code = t.stock_code LEFT JOIN known k ON k.id = t.customer_id),
 reasoned AS (SELECT *, CASE WHEN invoice IS NULL THEN 'missing_invoice' WHEN NOT regexp_full_match(invoice, '[CA]?[0-9]{{6}}') THEN 'bad_invoice_format' WHEN invoiced_at IS NULL THEN 'bad_date'
   WHEN quantity IS NULL THEN 'bad_quantity' WHEN quantity = 0 THEN 'zero_quantity' WHEN unit_price IS NULL THEN 'bad_price' WHEN stock_code_raw IS NULL THEN 'missing_stock_code'
-  WHEN customer_raw <> '' AND customer_id IS NULL THEN 'bad_customer_id' WHEN strftime(invoiced_at, '%Y-%m') <> '1996-12' THEN 'outside_drop_period' WHEN upper(stock_code) LIKE 'TEST%' THEN 'test_record'
+  WHEN customer_raw <> '' AND customer_id IS NULL THEN 'bad_customer_id' WHEN strftime(invoiced_at, '%Y-%m') <> period THEN 'outside_drop_period' WHEN upper(stock_code) LIKE 'TEST%' THEN 'test_record'
   WHEN invoice LIKE 'A%' THEN 'accounting_adjustment' WHEN unit_price = 0 AND customer_id IS NULL THEN 'stock_adjustment' WHEN unit_price < 0 THEN 'negative_price'
   WHEN (invoice LIKE 'C%' AND quantity > 0) OR (invoice NOT LIKE 'C%' AND quantity < 0) THEN 'cancellation_sign_mismatch' WHEN NOT product_known THEN 'unknown_product'
   WHEN customer_id IS NOT NULL AND NOT customer_known THEN 'unknown_customer' END AS reject,
-  row_number() OVER (PARTITION BY invoice_raw, stock_raw, description_raw, quantity_raw, date_raw, price_raw, customer_raw, country_raw) AS copy FROM flagged),
+  row_number() OVER (PARTITION BY period, invoice_raw, stock_raw, description_raw, quantity_raw, date_raw, price_raw, customer_raw, country_raw) AS copy FROM flagged),
 judged AS (SELECT *, coalesce(reject, CASE WHEN copy > 1 THEN 'duplicate_line' END) AS reason, CASE WHEN reject IS NOT NULL THEN 'reject' WHEN copy > 1 THEN 'dropped' END AS severity FROM reasoned)"""
 _DROP_ORACLE = _TYPED.replace("AS STRING", "AS VARCHAR")
 
@@ -122,44 +108,48 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = part.groupBy(code.alias("stock_code")).agg(F.min("p_name").alias("description"))
     customers = customer.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("customer_id"))
     rows = drop_rows(spark, sf_dir).withColumn("line_number", F.monotonically_increasing_id() + 2)
-    return etl.validate(rows, "1996-12", products, customers)
+    return etl.validate(rows, F.col("period"), products, customers, within=("period",))
 
 
-@_register("first_reject_reason", f"WITH {_DROP_ORACLE} SELECT coalesce(reason, 'accepted') AS reason, coalesce(severity, '') AS severity, count(*) AS n FROM judged GROUP BY 1, 2")
+@_register("first_reject_reason", f"WITH {_DROP_ORACLE} SELECT period, coalesce(reason, 'accepted') AS reason, coalesce(severity, '') AS severity, count(*) AS n FROM judged GROUP BY 1, 2, 3")
 def _first_reject_reason(spark, sf_dir):
-    return _validated(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason"), F.coalesce("severity", F.lit("")).alias("severity")).agg(F.count("*").alias("n"))
+    return _validated(spark, sf_dir).groupBy("period", F.coalesce("reason", F.lit("accepted")).alias("reason"), F.coalesce("severity", F.lit("")).alias("severity")).agg(F.count("*").alias("n"))
 
 
 @_register("warning_counts", f"""WITH {_DROP_ORACLE}, ok AS (SELECT * FROM judged WHERE reason IS NULL)
-SELECT 'missing_customer_id' AS warning, count(*) AS n FROM ok WHERE customer_id IS NULL HAVING count(*) > 0 UNION ALL SELECT 'zero_price_line', count(*) FROM ok WHERE unit_price = 0 HAVING count(*) > 0
-UNION ALL SELECT 'stock_code_normalised', count(*) FROM ok WHERE stock_code <> stock_code_raw HAVING count(*) > 0""")
+SELECT warning, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN customer_id IS NULL THEN 'missing_customer_id' END, CASE WHEN unit_price = 0 THEN 'zero_price_line' END, CASE WHEN abs(quantity) >= 10000 THEN 'extreme_quantity' END,
+ CASE WHEN stock_code <> stock_code_raw THEN 'stock_code_normalised' END, CASE WHEN upper(description) <> upper(canonical) THEN 'description_variant' END], lambda x: x IS NOT NULL)) AS warning FROM ok) GROUP BY 1""")
 def _warning_counts(spark, sf_dir):
-    return _validated(spark, sf_dir).select(F.explode("warnings").alias("warning")).where("warning <> 'description_variant'").groupBy("warning").agg(F.count("*").alias("n"))
+    return _validated(spark, sf_dir).select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
 
 
-@_register("quality_checks", f"""WITH {_DROP_ORACLE}, c AS (SELECT count(*) AS n, count(*) FILTER (severity = 'reject') AS rejected, count(*) FILTER (severity = 'dropped') AS dropped,
+_CHECKS = f"""{_DROP_ORACLE}, c AS (SELECT period, count(*) AS n, count(*) FILTER (severity = 'reject') AS rejected, count(*) FILTER (severity = 'dropped') AS dropped,
  avg((customer_id IS NOT NULL)::INT::DOUBLE) FILTER (reason IS NULL AND stock_code <> 'POST' AND invoice NOT LIKE 'C%') AS complete, count(*) FILTER (reason IN ('unknown_product', 'unknown_customer')) AS orphans,
- count(invoiced_at) AS dated, count(*) FILTER (reason = 'outside_drop_period') AS outside FROM judged)
-SELECT 'reject_ratio' AS name, 'gate' AS severity, rejected / n <= 0.05 AS passed, round(rejected / n, 6) AS value FROM c UNION ALL SELECT 'duplicate_ratio', 'warn', dropped / n <= 0.1, round(dropped / n, 6) FROM c
-UNION ALL SELECT 'customer_completeness', 'warn', coalesce(complete, 1) >= 0.6, round(coalesce(complete, 1), 6) FROM c UNION ALL SELECT 'period_consistency', 'warn', 1 - outside / dated >= 0.99, round(1 - outside / dated, 6) FROM c
-UNION ALL SELECT 'reference_integrity', 'warn', orphans / n <= 0.001, round(orphans / n, 6) FROM c""")
+ greatest(count(invoiced_at), 1) AS dated, count(*) FILTER (reason = 'outside_drop_period') AS outside FROM judged GROUP BY 1),
+checks AS (SELECT period, 'reject_ratio' AS name, 'gate' AS severity, rejected / n <= 0.3 AS passed, round(rejected / n, 6) AS value FROM c UNION ALL SELECT period, 'duplicate_ratio', 'warn', dropped / n <= 0.1, round(dropped / n, 6) FROM c
+ UNION ALL SELECT period, 'customer_completeness', 'warn', coalesce(complete, 1) >= 0.85, round(coalesce(complete, 1), 6) FROM c UNION ALL SELECT period, 'period_consistency', 'warn', 1 - outside / dated >= 0.99, round(1 - outside / dated, 6) FROM c
+ UNION ALL SELECT period, 'reference_integrity', 'warn', orphans / n <= 0.001, round(orphans / n, 6) FROM c)"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.batch_checks(_validated(spark, sf_dir), reject_gate=0.3, completeness_min=0.85, by=("period",))
+
+
+@_register("quality_checks", f"WITH {_CHECKS} SELECT period, name, severity, passed, value FROM checks")
 def _quality_checks(spark, sf_dir):
-    return etl.batch_checks(_validated(spark, sf_dir)).select("name", "severity", "passed", "value")
+    return _checked(spark, sf_dir).select("period", "name", "severity", "passed", "value")
 
 
-@_register("dq_score", "SELECT round(100.0 * 7 / 11, 1) AS score FROM (SELECT count(*) FROM region)")
+@_register("dq_score", f"WITH {_CHECKS}, w AS (SELECT *, CASE severity WHEN 'gate' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END AS w FROM checks) SELECT period, round(100.0 * sum(CASE WHEN passed THEN w ELSE 0 END) / sum(w), 1)::DOUBLE AS score FROM w GROUP BY 1")
 def _dq_score(spark, sf_dir):
-    checks = table(spark, sf_dir, "region").select(F.inline(F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(p).alias("passed")) for s, p in (("gate", True), ("warn", True), ("warn", True), ("warn", False), ("warn", False))]))).distinct()
-    more = checks.sparkSession.createDataFrame([("gate", True), ("warn", True), ("warn", True), ("warn", False), ("warn", False)], "severity string, passed boolean")
-    return etl.dq_score(more)
+    return etl.dq_score(_checked(spark, sf_dir), by=("period",))
 
 
-@_register("line_key", f"""WITH {_DROP_ORACLE} SELECT invoice, stock_code_raw, substr(sha256(concat_ws(chr(31), coalesce(invoice, ''), coalesce(stock_code_raw, ''), coalesce(description0, ''), coalesce(quantity::VARCHAR, ''),
- printf('%.3f', unit_price), strftime(invoiced_at, '%Y-%m-%d %H:%M:%S'), coalesce(customer_id::VARCHAR, ''), coalesce(country_raw, ''))), 1, 32) AS line_key, round(quantity * unit_price, 3) AS line_total
-FROM judged WHERE reason IS NULL AND description0 IS NOT NULL""")
+@_register("line_key", f"""WITH {_DROP_ORACLE}, k AS (SELECT *, substr(sha256(concat_ws(chr(31), coalesce(invoice, ''), coalesce(stock_code_raw, ''), coalesce(description, ''), coalesce(quantity::VARCHAR, ''),
+ printf('%.3f', unit_price), strftime(invoiced_at, '%Y-%m-%d %H:%M:%S'), coalesce(customer_id::VARCHAR, ''), coalesce(country_raw, ''))), 1, 32) AS line_key FROM judged WHERE reason IS NULL)
+SELECT line_key, min(invoice) AS invoice, min(stock_code_raw) AS stock_code_raw, min(round(quantity * unit_price, 3)) AS line_total FROM k GROUP BY 1""")
 def _line_key(spark, sf_dir):
-    kept = _validated(spark, sf_dir).where("reason is null and trim(raw_Description) <> ''")
-    return etl.transform(kept).select("invoice", "stock_code_raw", "line_key", F.col("line_total").cast("double").alias("line_total"))
+    return etl.transform(_validated(spark, sf_dir).where("reason is null")).select("invoice", "stock_code_raw", "line_key", F.col("line_total").cast("double").alias("line_total"))
 
 
 @_register("dedup_keep_first", "SELECT l_orderkey, l_linenumber, count(*) AS copies, min(l_partkey) AS first_part FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -187,9 +177,10 @@ def _date_span(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_seen"), F.max("o_orderdate").alias("last_seen"))
 
 
-@_register("orphans_left_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@_register("orphans_left_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def _orphans(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @_register("reconcile_counts", "SELECT o_orderstatus, count(DISTINCT o_orderkey) AS orders, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -290,12 +281,12 @@ _RANKED = "r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event
 
 @_register("nearest_rank_percentiles", f"WITH {_RANKED} SELECT event_type, min(value) FILTER (i = round_even(0.5 * (n - 1), 0)) AS p50, min(value) FILTER (i = round_even(0.95 * (n - 1), 0)) AS p95 FROM r GROUP BY 1")
 def _nearest(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(C.nearest_rank(F.col("value"), 0.5).alias("p50"), C.nearest_rank(F.col("value"), 0.95).alias("p95"))
+    return profile.ranked_values(table(spark, sf_dir, "events"), "event_type", "value", {"p50": C.nearest_rank(0.5), "p95": C.nearest_rank(0.95)})
 
 
 @_register("floor_rank_percentiles", f"WITH {_RANKED} SELECT event_type, min(value) FILTER (i = least(n - 1, floor(0.95 * n))) AS p95, min(value) FILTER (i = n // 2) AS upper_median FROM r GROUP BY 1")
 def _floor(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(C.floor_rank(F.col("value"), 0.95).alias("p95"), C.upper_median(F.col("value")).alias("upper_median"))
+    return profile.ranked_values(table(spark, sf_dir, "events"), "event_type", "value", {"p95": C.floor_rank(0.95), "upper_median": C.upper_median()})
 
 
 @_register("median_latency", "SELECT event_type, round(median(value), 6) AS median_value FROM events GROUP BY 1")
@@ -327,27 +318,50 @@ def _usage(spark, sf_dir):
     return t.groupBy("event_type", (F.col("user_id") % 3).alias("provider")).agg(F.count("*").alias("calls"), F.sum(F.floor("value")).cast("long").alias("tokens"), F.count_if(F.col("value") > 50).alias("slow"))
 
 
-_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+#: Every row whose id is divisible by 100 is a query, against all rows.
+_NEAR = """c AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+ near AS (SELECT query, id, s, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, id) AS rank FROM c QUALIFY rank <= 20)"""
 
 
-def _probe(spark: SparkSession, sf_dir: str):
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return vectors, F.array(*[F.lit(float(x)) for x in vectors.where("vec_id = 0").first()["embedding"]])
+    return retrieval.nearest(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 20)
 
 
-@_register("vector_topk", f"SELECT e.vec_id AS id, round({_COS}, 4) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, 1 LIMIT 20")
+@_register("vector_topk", f"WITH {_NEAR} SELECT query, id, round(s, 4) AS similarity, rank FROM near")
 def _vector(spark, sf_dir):
-    return retrieval.vector_search(*_probe(spark, sf_dir), "vec_id", "embedding").select("id", "similarity")
+    return _nearest(spark, sf_dir).select("query", "id", F.round("similarity", 4).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@_register("rrf_hybrid", f"""WITH v AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY rank <= 20),
- k AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 20)
-SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM k) GROUP BY 1""")
+#: A query's words are the first three of its document that are no stop words; a document with more of them comes first.
+_KEYWORDS = """words AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), own AS (SELECT doc_id, w, list_filter(w, lambda x: NOT list_contains(STOP, x)) AS o FROM words),
+ kept AS (SELECT doc_id, CASE WHEN len(o) > 0 THEN o ELSE w END AS w FROM own), tt AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(w) AS term FROM kept) GROUP BY 1, 2),
+ firsts AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS i FROM kept WHERE doc_id % 100 = 0), seen AS (SELECT doc_id, term, min(i) AS i FROM firsts GROUP BY 1, 2),
+ asked AS (SELECT doc_id AS query, term FROM seen QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 3),
+ hits AS (SELECT query, id, count(*) AS matched, sum(ln(1 + tf)) AS s FROM asked JOIN tt USING (term) GROUP BY 1, 2),
+ fits AS (SELECT h.* FROM hits h JOIN (SELECT query, max(matched) AS best FROM hits GROUP BY 1) USING (query) JOIN (SELECT query, count(*) AS n FROM asked GROUP BY 1) USING (query) WHERE matched = n OR best < n),
+ keyword AS (SELECT query, id, round(s / (s + 1), 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round(s / (s + 1), 9) DESC, id) AS rank FROM fits QUALIFY rank <= 20)""".replace("STOP", str(retrieval.STOP_WORDS))
+
+
+def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = retrieval.terms(F.col("text"))
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.explode(F.slice(F.array_distinct(words), 1, 3)).alias("term"))
+    return retrieval.keyword_rankings(docs, "doc_id", "text", asked, 20)
+
+
+@_register("keyword_rankings", f"WITH {_KEYWORDS} SELECT query, id, score, rank FROM keyword")
+def _keyword_rankings(spark, sf_dir):
+    return _keyword(spark, sf_dir).select("query", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@_register("rrf_hybrid", f"""WITH {_NEAR}, {_KEYWORDS}, fused AS (SELECT query, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query, id, rank FROM near UNION ALL SELECT query, id, rank FROM keyword) GROUP BY 1, 2),
+ top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM fused QUALIFY place <= 6)
+SELECT top.query, top.id, top.score, round(c.s, 4) AS similarity FROM top LEFT JOIN c ON c.query = top.query AND c.id = top.id""")
 def _rrf(spark, sf_dir):
-    vectors, query = _probe(spark, sf_dir)
-    nearest = retrieval.ranked(retrieval.vector_search(vectors, query, "vec_id", "embedding"), "c")
-    labelled = retrieval.ranked(vectors.orderBy(F.desc("label"), "vec_id").limit(20).select(F.col("vec_id").alias("id"), "label"), "label")
-    return retrieval.fuse([nearest, labelled])
+    vectors = table(spark, sf_dir, "embeddings")
+    top = retrieval.fuse_top([_nearest(spark, sf_dir), _keyword(spark, sf_dir)], 6)
+    return retrieval.with_similarity(top, vectors, "vec_id", "embedding").select("query", "id", "score", "similarity")
 
 
 _TERMS = """w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
@@ -356,7 +370,8 @@ _TERMS = """w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[
 
 @_register("term_all_any_match", f"WITH {_TERMS} SELECT id, matched, round(s / (s + 1), 9) AS score FROM h WHERE matched = 3 OR (SELECT max(matched) FROM h) < 3 ORDER BY 3 DESC, 1 LIMIT 20")
 def _terms(spark, sf_dir):
-    return retrieval.keyword_search(retrieval.term_table(table(spark, sf_dir, "documents"), "doc_id", "text"), ["tion", "license", "ered"])
+    query = ["tion", "license", "ered"]
+    return retrieval.keyword_search(retrieval.term_table(table(spark, sf_dir, "documents"), "doc_id", "text", only=query), query)
 
 
 @_register("idf_overlap", f"WITH {_TERMS}, d AS (SELECT term, ln(1 + (SELECT count(*) FROM documents) / (1.0 + count(*))) AS w FROM tt GROUP BY 1) SELECT id, round(sum(w) / (SELECT sum(w) FROM d), 6) AS overlap FROM tt JOIN d USING (term) GROUP BY 1")
@@ -365,11 +380,17 @@ def _overlap(spark, sf_dir):
     return retrieval.overlap_scores(docs.select(F.col("doc_id").alias("id"), retrieval.terms(F.col("text")).alias("words")), ["tion", "license", "ered"], docs.count())
 
 
-@_register("model_agreement")
+@_register("model_agreement", """WITH h AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: abs(x::DOUBLE)) AS a, list_transform(embedding[17:32], lambda x: abs(x::DOUBLE)) AS b FROM embeddings),
+ p AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS a, list_transform(b, lambda x: x / list_sum(b)) AS b FROM h),
+ u AS (SELECT vec_id, unnest(range(16)) AS i, unnest(a) AS x, unnest(b) AS y FROM p),
+ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS ra, row_number() OVER (PARTITION BY vec_id ORDER BY y DESC, i) AS rb FROM u),
+ v AS (SELECT vec_id, max((ra = 1 AND rb = 1)::INT) AS t, sum((ra <= 5 AND rb <= 5)::INT) / 5 AS o, max(abs(x - y)) AS m, avg(abs(x - y)) AS d, sum(CASE WHEN x > 0 THEN x * ln(x / greatest(y, 1e-12)) ELSE 0 END) AS k,
+  max(x) >= 0.2 AS confident, max((ra = 1 AND rb <= 5)::INT) AS f FROM r GROUP BY 1)
+SELECT round(avg(t), 6) AS top1, round(avg(t) FILTER (confident), 6) AS confident_top1, round(avg(o), 6) AS top5_overlap, round(avg(f), 6) AS top1_in_top5, round(max(m), 6) AS max_diff, round(avg(d), 6) AS mean_diff, round(avg(k), 6) AS kl FROM v""")
 def _agreement(spark, sf_dir):
     norm = lambda c: F.transform(c, lambda x: F.abs(x.cast("double")) / F.aggregate(c, F.lit(0.0), lambda s, y: s + F.abs(y.cast("double"))))
     t = table(spark, sf_dir, "embeddings").select(norm(F.slice("embedding", 1, 16)).alias("a"), norm(F.slice("embedding", 17, 16)).alias("b"))
-    return retrieval.agreement(t, "a", "b")
+    return retrieval.agreement(t, "a", "b", confident=0.2)
 
 
 @_register("chunks")
@@ -414,6 +435,11 @@ def _page_of(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", retrieval.page_of(starts, F.floor(F.length("html") / 2)).cast("long").alias("page"))
 
 
-@_register("content_fingerprint")
+@_register("content_fingerprint", """WITH h AS (SELECT sha256(concat_ws(chr(31), c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR, c_mktsegment)) AS h FROM customer),
+ p AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 12))::BIGINT) AS a, sum(('0x' || substr(h, 13, 12))::BIGINT) AS b, sum(('0x' || substr(h, 25, 12))::BIGINT) AS c FROM h)
+SELECT n AS n_rows, sha256(concat_ws(':', n::VARCHAR, a::VARCHAR, b::VARCHAR, c::VARCHAR)) AS digest FROM p""")
 def _fingerprint(spark, sf_dir):
-    return profile.content_fingerprint(table(spark, sf_dir, "customer"))
+    return profile.content_fingerprint(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
+from sparkloom import query_sets  # noqa: E402, F401  (registers the others)

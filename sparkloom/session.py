@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -25,3 +31,47 @@ def build_session(app: str = "sparkloom", master: str | None = None, **conf: str
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _filesystem(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it, wherever it lies."""
+    folder, fs = _filesystem(spark, path)
+    fs.delete(folder, True)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; OSError where the file system refuses."""
+    folder, fs = _filesystem(spark, source)
+    if not fs.rename(folder, _filesystem(spark, target)[0]):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file."""
+    folder, fs = _filesystem(spark, path)
+    out = fs.create(folder, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+_local: list[str] = []
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new name under the folder that driver and executors share; a temporary one in local mode where none is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="sparkloom-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        base = f"file://{_local[0]}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

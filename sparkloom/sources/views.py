@@ -26,7 +26,7 @@ SALES_SQL = """sales AS (SELECT l_orderkey AS invoice_no, o_orderdate AS invoice
  nullif(o_orderpriority, '5-LOW') AS priority
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"""
 
-#: A monthly drop as text, made from the order lines with defects at fixed keys; the same SQL runs in both engines.
+#: Monthly drops as text, made from all order lines with defects at fixed keys (some lines in the drop after theirs); the same SQL runs in both engines.
 DROP_SQL = """drop_rows AS (SELECT
  CASE WHEN l_orderkey % 97 = 0 THEN ' ' WHEN l_orderkey % 89 = 0 THEN 'X12' WHEN l_orderkey % 83 = 0 THEN 'A' || lpad(CAST(l_orderkey % 1000000 AS STRING), 6, '0')
       WHEN l_returnflag = 'R' THEN 'C' || lpad(CAST(l_orderkey % 1000000 AS STRING), 6, '0') ELSE lpad(CAST(l_orderkey % 1000000 AS STRING), 6, '0') END AS invoice_raw,
@@ -34,13 +34,13 @@ DROP_SQL = """drop_rows AS (SELECT
       WHEN l_partkey % 2 = 0 THEN lpad(CAST(l_partkey % 100000 AS STRING), 5, '0') || 'a' ELSE lpad(CAST(l_partkey % 100000 AS STRING), 5, '0') END AS stock_raw,
  CASE WHEN l_partkey % 13 = 0 THEN '' ELSE ' ' || p_name || '  x ' END AS description_raw,
  CASE WHEN l_suppkey % 53 = 0 THEN 'many' WHEN l_suppkey % 47 = 0 THEN '0' WHEN l_suppkey % 43 = 0 THEN '1.5' WHEN l_returnflag = 'R' AND l_linenumber <> 3
-      THEN '-' || CAST(CAST(l_quantity AS INT) AS STRING) ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS quantity_raw,
+      THEN '-' || CAST(CAST(l_quantity AS INT) AS STRING) WHEN l_suppkey % 41 = 0 AND l_returnflag <> 'R' THEN '12000' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS quantity_raw,
  CASE WHEN l_orderkey % 79 = 0 THEN '31/12/1996' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 08:26:00' END AS date_raw,
  CASE WHEN l_partkey % 41 = 0 THEN 'free' WHEN l_partkey % 37 = 0 THEN '-1.50' WHEN l_partkey % 31 = 0 THEN '0' ELSE CAST(CAST(floor(p_retailprice) AS INT) AS STRING) || '.25' END AS price_raw,
  CASE WHEN o_custkey % 7 = 0 THEN '' WHEN o_custkey % 29 = 0 THEN 'guest' ELSE CAST(o_custkey AS STRING) END AS customer_raw,
- n_name AS country_raw
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
- WHERE o_orderdate >= TIMESTAMP '1996-12-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-08 00:00:00')"""
+ n_name AS country_raw,
+ CASE WHEN l_linenumber = 7 AND l_partkey % 5 = 0 THEN substr(CAST(CAST(date_trunc('month', o_orderdate) AS DATE) + INTERVAL 1 MONTH AS STRING), 1, 7) ELSE substr(CAST(o_orderdate AS STRING), 1, 7) END AS period
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"""
 
 
 def drop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
