@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,6 +117,11 @@ def file_label(name: str | None) -> str:
     return own or "upload.csv"
 
 
+def _from_windows(content: pd.Series) -> pd.Series:
+    """Bytes as Windows-1252 text, which Spark's own decoder doesn't offer."""
+    return content.map(lambda b: bytes(b).decode("cp1252", errors="replace"))
+
+
 def read_upload(spark: SparkSession, path: str, limits: UploadLimits = UploadLimits()) -> DataFrame:
     """A CSV file of unknown shape as a table: delimiter and types found from all of its rows, short rows filled with nulls.
 
@@ -126,10 +132,13 @@ def read_upload(spark: SparkSession, path: str, limits: UploadLimits = UploadLim
     for row in seen:
         if row["refusal"]:
             raise Rejected(row["refusal"])
-    utf8 = file.select(F.is_valid_utf8(F.col("content").cast("string"))).first()[0]
-    head = spark.read.option("lineSep", "\n").text(path).limit(50).collect() if utf8 else spark.read.option("encoding", "windows-1252").option("header", False).option("sep", "\x00").csv(path).limit(50).collect()
+    if not file.select(F.is_valid_utf8(F.col("content").cast("string"))).first()[0]:
+        decoded = new_path(spark)
+        file.select(F.pandas_udf(_from_windows, "string")("content")).write.text(decoded)  # max_bytes at most
+        path = decoded
+    head = spark.read.option("lineSep", "\n").text(path).limit(50).collect()
     delimiter = sniff_delimiter([(r[0] or "").lstrip("﻿") for r in head])
-    reader = spark.read.option("header", True).option("inferSchema", True).option("sep", delimiter).option("escape", '"').option("mode", "PERMISSIVE").option("encoding", "UTF-8" if utf8 else "windows-1252")
+    reader = spark.read.option("header", True).option("inferSchema", True).option("sep", delimiter).option("escape", '"').option("mode", "PERMISSIVE")
     rows = reader.csv(path)
     names = [re.sub(r"^_c\d+$", "", n.lstrip("﻿")) for n in rows.columns]
     if len(names) > limits.max_columns:
