@@ -56,6 +56,12 @@ def row_key(*columns: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]).cast("binary"), 256), 1, 32)
 
 
+def row_hashes(columns: list[Column]) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a row's values and of where it has nulls: equal rows have equal ones."""
+    parts = [*columns, *[c.isNull() for c in columns]]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
 def working_day(c: Column) -> Column:
     """The date itself, or the Monday after it at a weekend."""
     return F.when(F.weekday(c) >= 5, F.date_add(c, F.lit(7) - F.weekday(c))).otherwise(c)

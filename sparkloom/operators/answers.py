@@ -7,6 +7,7 @@ import hmac
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -210,18 +211,21 @@ def aligned_lines(read: DataFrame, truth: DataFrame) -> DataFrame:
     """
     from difflib import SequenceMatcher
 
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("i"), b.sort_values("j")
-        left, right = a["code"].fillna("?").tolist(), b["code"].tolist()
-        rows = []
-        for tag, i1, i2, j1, j2 in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-            if tag in ("equal", "replace"):
-                rows += [(i1 + k, j1 + k) for k in range(min(i2 - i1, j2 - j1))]
-        doc = (a if len(a) else b)["doc"].iloc[0]
-        return pd.DataFrame({"doc": [doc] * len(rows), "i": [int(a["i"].iloc[i]) for i, _ in rows], "j": [int(b["j"].iloc[j]) for _, j in rows]})
+    def listed(rows: DataFrame, place: str, name: str) -> DataFrame:
+        return rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col(place).cast("long").alias("at"), "code"))).alias(name))  # one document's lines
+
+    def pair(left: list, right: list) -> list[tuple[int, int]]:
+        ops = SequenceMatcher(None, [x["code"] or "?" for x in left], [x["code"] for x in right], autojunk=False).get_opcodes()
+        return [(left[i1 + k]["at"], right[j1 + k]["at"]) for tag, i1, i2, j1, j2 in ops if tag in ("equal", "replace") for k in range(min(i2 - i1, j2 - j1))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"i": i, "j": j} for i, j in pair(a, b)] for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found, pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64())])))], ["doc", "pairs"])
 
     kind = truth.schema["doc"].dataType.simpleString()
-    return read.groupBy("doc").cogroup(truth.groupBy("doc")).applyInPandas(pair, f"doc {kind}, i long, j long")
+    both = listed(read, "i", "a").join(listed(truth, "j", "b"), "doc")
+    return both.mapInArrow(run, f"doc {kind}, pairs array<struct<i: long, j: long>>").select("doc", F.inline("pairs"))
 
 
 def document_measures(results: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.functions.columns import clean, collapse, number, row_key, stock_code
+from sparkloom.functions.columns import clean, collapse, number, row_hashes, row_key, stock_code
 
 #: The contract's header, and reject reasons by precedence.
 RAW = ("Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country")
@@ -95,8 +95,8 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
     Rows are dealt and sorted by a 128-bit hash of the keys, not by the keys themselves.
     """
-    text = F.to_json(F.struct(*[F.col(f"`{k}`").cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
-    hashed = rows.withColumn("_k1", F.xxhash64(text)).withColumn("_k2", F.xxhash64(text, F.lit(1)))
+    one, other = row_hashes([F.col(f"`{k}`") for k in keys])
+    hashed = rows.withColumn("_k1", one).withColumn("_k2", other)
     w = Window.partitionBy("_k1", "_k2").orderBy(*order)
     return hashed.withColumn("duplicate", F.row_number().over(w) > 1).drop("_k1", "_k2")
 

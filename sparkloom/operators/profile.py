@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.functions.columns import formula_like, number
+from sparkloom.functions.columns import formula_like, number, row_hashes
 from sparkloom.plans.catalog import NUMERIC, kind_of
 
 
@@ -86,8 +86,7 @@ def findings(df: DataFrame) -> DataFrame:
         ("formula_like_text", F.col("formula_like") > 0, F.col("formula_like")),
     ]
     found = p.select(F.inline(F.filter(F.array(*[F.struct(F.when(test, code).alias("code"), F.col("column_name"), n.alias("affected")) for code, test, n in rules]), lambda x: x["code"].isNotNull())))
-    row = F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in df.columns])
-    again = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])).cast("binary"), 256)
+    row, again = row_hashes([F.col(f"`{c}`") for c in df.columns])
     repeated = df.groupBy(row.alias("a"), again.alias("b")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("affected")).where("affected > 0")
     return found.unionByName(repeated.select(F.lit("duplicate_rows").alias("code"), F.lit(None).cast("string").alias("column_name"), "affected"))
 
