@@ -203,6 +203,40 @@ def _roles(spark, sf_dir):
     return layout.column_roles(_cells(spark, sf_dir))
 
 
+def _invoice_boxes(spark, sf_dir):
+    """The tables of _boxes() under a header row, items wrapped over a second row, and a total below."""
+    from functools import reduce
+
+    items = _boxes(spark, sf_dir).withColumn("y", F.col("r") * 30.0)
+    tops = items.groupBy("doc").agg(F.max("y").alias("y"), F.sum(F.when(F.col("c") == 3, F.col("text").cast("decimal(14,2)"))).alias("total"))
+    parts = [
+        items.select("doc", "text", "x0", "x1", "y"), items.where("c = 0 and r % 2 = 0").select("doc", F.lit("in a box").alias("text"), "x0", "x1", (F.col("y") + 13).alias("y")),
+        tops.select("doc", F.inline(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(100.0 * i).alias("x0"), F.lit(100.0 * i + 30).alias("x1"), F.lit(10.0).alias("y")) for i, t in enumerate(("Description", "Qty", "Price", "Amount"))]))),
+        tops.select("doc", F.inline(F.array(F.struct(F.lit("Total due:").alias("text"), F.lit(200.0).alias("x0"), F.lit(240.0).alias("x1"), (F.col("y") + 40).alias("y")), F.struct(F.col("total").cast("string").alias("text"), F.lit(300.0).alias("x0"), F.lit(330.0).alias("x1"), (F.col("y") + 40).alias("y"))))),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("doc", F.lit(1).alias("page"), "text", "x0", "x1", F.col("y").alias("top"), (F.col("y") + 10).alias("bottom"))
+
+
+@register("extracted_invoices", f"WITH {_BOXES} SELECT doc, count(*) FILTER (c = 0) AS items, (sum(TRY_CAST(text AS BIGINT)) FILTER (c = 1))::BIGINT AS quantity, (sum(TRY_CAST(text AS DECIMAL(14, 2))) FILTER (c = 3))::DOUBLE AS amount, (sum(TRY_CAST(text AS DECIMAL(14, 2))) FILTER (c = 3))::DOUBLE AS total, true AS consistent FROM bx GROUP BY 1")
+def _extracted(spark, sf_dir):
+    return layout.extracted_invoices(_invoice_boxes(spark, sf_dir)).withColumns({c: F.col(c).cast("double") for c in ("amount", "total")})
+
+
+@register("weighted_scores", """WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(substr(text, 1, 80)), '[a-z0-9]+') AS h, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+ s AS (SELECT id, 1.0 * (ln(1 + len(list_filter(h, lambda x: x = 'tion'))) + ln(1 + len(list_filter(h, lambda x: x = 'license')))) + 0.4 * (ln(1 + len(list_filter(t, lambda x: x = 'tion'))) + ln(1 + len(list_filter(t, lambda x: x = 'license')))) AS s FROM d) SELECT id, round(s / (s + 1), 9) AS score FROM s WHERE s > 0""")
+def _weighted(spark, sf_dir):
+    from sparkloom.operators import retrieval
+
+    return retrieval.weighted_scores(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("heading"), "text"), ["tion", "license"])
+
+
+@register("web_search", r"""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS w FROM documents) SELECT doc_id FROM d WHERE (contains(w, ' license ') OR contains(w, ' licensed under ')) AND NOT contains(w, ' gpl ') AND (contains(w, ' the ') OR contains(w, ' der '))""")
+def _web(spark, sf_dir):
+    from sparkloom.operators import retrieval
+
+    return table(spark, sf_dir, "documents").where(retrieval.matches(F.col("text"), 'license or "licensed under" -gpl the or der')).select("doc_id")
+
+
 @register("extracted_answers")
 def _answers(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

@@ -75,3 +75,10 @@ def new_path(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
         base = f"file://{_local[0]}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df):
+    """df as a table in the shared folder, so that what is built on it doesn't work it out again."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -249,3 +249,18 @@ def test_products_need_a_unique_best(spark):
     clauses = spark.createDataFrame([(1, 0, ["red", "mug"], 9), (1, 1, ["mug"], None), (1, 2, ["lamp"], None)], "text_id long, clause long, words array<string>, quantity long")
     products = spark.createDataFrame([(1, "m1", ["red", "mug"], 4), (1, "m2", ["blue", "mug"], 2), (1, "l", ["desk", "lamp"], 1)], "text_id long, product_id string, words array<string>, held long")
     assert sorted(tuple(r) for r in orders.matched_products(clauses, products).collect()) == [(1, 0, "m1", 4), (1, 2, "l", None)]
+
+
+def test_searches_and_snippets(spark):
+    texts = ["red tea pot", "green tea", "pot of red, red tea", None, "Coffee"]
+    found = {q: [t for t, m in zip(texts, _values(spark, lambda c, q=q: retrieval.matches(c, q), texts), strict=True) if m] for q in ("tea red", '"red tea"', "tea -green", "green or coffee", "-tea", "", "tea or")}
+    assert found == {"tea red": [texts[0], texts[2]], '"red tea"': [texts[0], texts[2]], "tea -green": [texts[0], texts[2]], "green or coffee": [texts[1], texts[4]], "-tea": [texts[4]], "": [], "tea or": texts[:3]}
+    words = F.array(F.lit("tea"), F.lit("pot"))
+    long = "a b Tea, c d e f g h pot tea i j k tea l"
+    assert _values(spark, lambda c: retrieval.snippets(c, words, 4, 2), [long, "none here"]) == ["a b Tea, c … h pot tea i", ""]
+
+
+def test_aligned_blocks(spark):
+    boxes = spark.createDataFrame([(1, 1, t, x, y, y + 10) for t, x, y in [("a", 10.0, 0.0), ("b", 11.0, 12.0), ("c", 10.0, 24.0), ("d", 10.0, 80.0), ("e", 60.0, 12.0)]], "doc long, page int, text string, x0 double, top double, bottom double")
+    runs = {r["text"]: (r["_lane"], r["block"]) for r in layout.aligned_blocks(boxes, 8.0).collect()}
+    assert runs["a"] == runs["b"] == runs["c"] != runs["d"] and runs["e"] not in (runs["a"], runs["d"])
