@@ -564,6 +564,54 @@ def test_packing_round_trip(docs, rows, none):
     assert packing.pack(none, path).collect() == []
 
 
+def test_packing_of_repeated_rows_and_ties(spark):
+    """Rows that repeat an id are packed each for itself; texts of one length, which tie for a window, each lie in exactly one."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, "one two three four five six")] * 30 + [(2, None), (None, "x"), (2, "")], "doc_id long, text string").repartition(3)
+    found = packing.pack(docs, path, window=16, spaces=2).collect()
+    tokens = Counter()
+    for r in found:
+        tokens[r["doc_id"]] += r["length"]
+    size = next(r["doc_tokens"] for r in found if r["doc_id"] == 1)
+    assert tokens[1] == 30 * size and tokens[2] == 2 and tokens[None] == 2
+    places = [(r["sequence_id"], r["offset"] + k) for r in found for k in range(r["length"])]
+    assert len(places) == len(set(places))
+
+
+def test_row_operators_on_repeated_and_null_ids(spark):
+    """Each row gets a result of its own, whatever its id; equal rows get equal ones."""
+    text = "MIT License here and token=abcdefghijkl1 there, " + " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "a"), (1, text, "a"), (1, "short", None), (None, text, "b"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    licenses = license_scan.scan(docs).collect()
+    assert Counter((r["id"], r["n_base"]) for r in licenses) == Counter([(1, 1), (1, 1), (1, 0), (None, 1), (None, 0)])
+    assert Counter((r["doc_id"], r["n_assign"]) for r in secret_scan.scan(docs).collect()) == Counter([(1, 1), (1, 1), (1, 0), (None, 1), (None, 0)])
+    assert Counter((r["doc_id"], r["n_words"], r["base_failed"]) for r in quality_rules.quality_verdicts(docs).collect()) == Counter([(1, 46, False), (1, 46, False), (1, 1, True), (None, 46, False), (None, 0, True)])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, quality int")
+    scores = quality_model.score_quality(docs, labels).collect()
+    assert len(scores) == 5 and len({r["score"] for r in scores if r["id"] == 1}) == 2
+
+
+def test_pipeline_stages_keep_rows_apart(spark, tmp_path):
+    """Repeated and null ids, equal and near-equal rows, empty texts: rows are judged by what they hold."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    good = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(60))
+    a, b = good(), good()
+    rows = [(5, a, "en", "s", 1), (5, a + " qq", "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (None, a + " zz", None, None, None), (7, None, "en", "s", 1), (8, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, EMPTY)
+    kept = corpus_pipeline.deduplicate(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) in ([(5, x), (5, b), (7, ""), (8, "")] if x < b else [(5, b), (5, x), (7, ""), (8, "")] for x in (a, a + " qq"))
+    assert sorted(r["text"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()) == sorted([a, a + " qq", b, b, a + " zz"])
+    for stage in (corpus_pipeline.secrets, corpus_pipeline.mixture):
+        assert Counter(r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()) == Counter(r[0] for r in rows)
+    nothing = spark.createDataFrame([], EMPTY)
+    for _, stage in corpus_pipeline.STAGES:
+        nothing_left = stage(spark, nothing, str(tmp_path))
+        assert nothing_left.collect() == []
+
+
 def test_pipeline_stages(spark, rows, tmp_path):
     import corpus_pipeline
 
