@@ -11,7 +11,7 @@ from sparkloom.plans import plan
 from sparkloom.registry import ORACLES, QUERIES  # noqa: F401
 from sparkloom.registry import register as _register
 from sparkloom.session import table
-from sparkloom.sources.views import DROP_SQL, SALES_SQL, drop_rows, sales
+from sparkloom.sources.views import DROP_SQL, SALES_SQL, bundled, derived, drop_rows
 
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles to two decimals, so sums in another order compare equal."""
@@ -20,7 +20,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def _plan(name: str, data: dict, sql: str) -> None:
     """A plan over sales; sql selects from sales and groups, sorts and limits likewise."""
-    _register(name, f"WITH {SALES_SQL} {sql}")(lambda spark, sf_dir: _rounded(plan.run(data, sales(spark, sf_dir))))
+    _register(name, f"WITH {SALES_SQL} {sql}")(lambda spark, sf_dir: _rounded(plan.run(data, bundled(spark, sf_dir))))
 
 
 def _m(agg: str, column: str | None = None) -> dict:
@@ -111,6 +111,11 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.validate(rows, F.col("period"), products, customers, within=("period",))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validated drops as a table, which the steps after validation share."""
+    return derived("validated", _validated, spark, sf_dir)
+
+
 @_register("first_reject_reason", f"WITH {_DROP_ORACLE} SELECT period, coalesce(reason, 'accepted') AS reason, coalesce(severity, '') AS severity, count(*) AS n FROM judged GROUP BY 1, 2, 3")
 def _first_reject_reason(spark, sf_dir):
     return _validated(spark, sf_dir).groupBy("period", F.coalesce("reason", F.lit("accepted")).alias("reason"), F.coalesce("severity", F.lit("")).alias("severity")).agg(F.count("*").alias("n"))
@@ -120,7 +125,7 @@ def _first_reject_reason(spark, sf_dir):
 SELECT warning, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN customer_id IS NULL THEN 'missing_customer_id' END, CASE WHEN unit_price = 0 THEN 'zero_price_line' END, CASE WHEN abs(quantity) >= 10000 THEN 'extreme_quantity' END,
  CASE WHEN stock_code <> stock_code_raw THEN 'stock_code_normalised' END, CASE WHEN upper(description) <> upper(canonical) THEN 'description_variant' END], lambda x: x IS NOT NULL)) AS warning FROM ok) GROUP BY 1""")
 def _warning_counts(spark, sf_dir):
-    return _validated(spark, sf_dir).select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+    return _judged(spark, sf_dir).select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
 
 
 _CHECKS = f"""{_DROP_ORACLE}, c AS (SELECT period, count(*) AS n, count(*) FILTER (severity = 'reject') AS rejected, count(*) FILTER (severity = 'dropped') AS dropped,
@@ -132,7 +137,7 @@ checks AS (SELECT period, 'reject_ratio' AS name, 'gate' AS severity, rejected /
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.batch_checks(_validated(spark, sf_dir), reject_gate=0.3, completeness_min=0.85, by=("period",))
+    return etl.batch_checks(_judged(spark, sf_dir), reject_gate=0.3, completeness_min=0.85, by=("period",))
 
 
 @_register("quality_checks", f"WITH {_CHECKS} SELECT period, name, severity, passed, value FROM checks")
@@ -149,7 +154,7 @@ def _dq_score(spark, sf_dir):
  printf('%.3f', unit_price), strftime(invoiced_at, '%Y-%m-%d %H:%M:%S'), coalesce(customer_id::VARCHAR, ''), coalesce(country_raw, ''))), 1, 32) AS line_key FROM judged WHERE reason IS NULL)
 SELECT line_key, min(invoice) AS invoice, min(stock_code_raw) AS stock_code_raw, min(round(quantity * unit_price, 3)) AS line_total FROM k GROUP BY 1""")
 def _line_key(spark, sf_dir):
-    return etl.transform(_validated(spark, sf_dir).where("reason is null")).select("invoice", "stock_code_raw", "line_key", F.col("line_total").cast("double").alias("line_total"))
+    return etl.transform(_judged(spark, sf_dir).where("reason is null")).select("invoice", "stock_code_raw", "line_key", F.col("line_total").cast("double").alias("line_total"))
 
 
 @_register("dedup_keep_first", "SELECT l_orderkey, l_linenumber, count(*) AS copies, min(l_partkey) AS first_part FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -51,6 +51,12 @@ def move_path(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} can't be moved to {target}")
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last written, in milliseconds."""
+    folder, fs = _filesystem(spark, path)
+    return fs.getFileStatus(folder).getModificationTime()
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """One small file."""
     folder, fs = _filesystem(spark, path)
