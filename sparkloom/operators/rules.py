@@ -106,6 +106,11 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(rows: DataFrame, order: list, offset: int, limit: int) -> tuple[DataFrame, int]:
+    """One page of the rows, and how many there are in all."""
+    return page(rows, order, offset, limit), rows.count()
+
+
 def intent(text: Column, intents: dict[str, tuple[str, ...]]) -> Column:
     """The first intent one of whose words starts a word of the text."""
     return F.coalesce(*[F.when(F.lower(text).rlike(r"\b(" + "|".join(words) + ")"), name) for name, words in intents.items()])

@@ -264,3 +264,24 @@ def test_aligned_blocks(spark):
     boxes = spark.createDataFrame([(1, 1, t, x, y, y + 10) for t, x, y in [("a", 10.0, 0.0), ("b", 11.0, 12.0), ("c", 10.0, 24.0), ("d", 10.0, 80.0), ("e", 60.0, 12.0)]], "doc long, page int, text string, x0 double, top double, bottom double")
     runs = {r["text"]: (r["_lane"], r["block"]) for r in layout.aligned_blocks(boxes, 8.0).collect()}
     assert runs["a"] == runs["b"] == runs["c"] != runs["d"] and runs["e"] not in (runs["a"], runs["d"])
+
+
+def test_pages_and_known_values(spark):
+    rows = spark.createDataFrame([(i, "x" * (61 if i == 9 else 1 + i % 2)) for i in range(10)] + [(10, None)], "i int, s string")
+    shown, total = rules.page_with_total(rows, ["i"], 8, 5)
+    assert [r["i"] for r in shown.collect()] == [8, 9, 10] and total == 11
+    assert [tuple(r) for r in profile.known_values(rows, "s").collect()] == [("x", 5), ("xx", 4)]
+    assert [tuple(r) for r in profile.top_values(rows, "s", 2).collect()] == [("x", 5), ("xx", 4)]
+
+
+def test_ranked_values_of_ties_and_single_rows(spark):
+    rows = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 2.0, 2.0, 9.0)] + [("b", 4.0), ("c", None)], "k string, v double")
+    found = {r["k"]: (r["low"], r["half"], r["p95"]) for r in profile.ranked_values(rows, "k", "v", {"low": C.nearest_rank(0.0), "half": C.nearest_rank(0.5), "p95": C.floor_rank(0.95)}).collect()}
+    assert found == {"a": (1.0, 2.0, 9.0), "b": (4.0, 4.0, 4.0)}
+
+
+def test_findings_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, None), (1, None), (None, 1), (2, 1)], "a int, b int")
+    assert [r["affected"] for r in profile.findings(rows).where("code = 'duplicate_rows'").collect()] == [1]
+    p = {r["column_name"]: (r["non_null"], r["distinct_values"], r["min_value"], r["max_value"]) for r in profile.profile(rows).collect()}
+    assert p == {"a": (3, 2, "1", "2"), "b": (2, 1, "1", "1")}
