@@ -10,10 +10,11 @@ to the numbered blocks. Where a source has run out, its slots stay empty and the
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,7 +22,7 @@ BLOCK_ROWS = 16
 #: Default weights are whole thousandths of their sum, at least one.
 DEFAULT_PARTS = 1000
 #: Parts in all at most, for given weights; more raise an error, as the period is worked out on the driver.
-MOST_PARTS = 1 << 22
+MOST_PARTS = 1 << 20
 #: A table of sources, or of a period, with fewer bytes than this is broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -53,6 +54,12 @@ def whole_parts(weights: dict[str, float | int | str | Fraction]) -> dict[str, i
     return {s: a // common for s, a in parts.items()}
 
 
+def _numbers(spark: SparkSession, known: dict, key: str, value: str) -> DataFrame:
+    """A small mapping of the driver as a table (key string, value long), made from one literal."""
+    text = json.dumps({str(k): v for k, v in known.items() if k is not None})
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), "map<string, bigint>")).alias(key, value))
+
+
 def _small(df: DataFrame, rows: int, size: int) -> DataFrame:
     """df marked for a broadcast where its size was found to be small."""
     return F.broadcast(df) if rows * 48 + size < BROADCAST_BYTES else df
@@ -74,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     sizes = docs.groupBy(source.alias("_mix_source")).agg(F.count("*").alias("n"))
     if weights:
         parts = whole_parts(weights)
-        given = F.broadcast(spark.createDataFrame(list(parts.items()), "_mix_source string, a long"))  # the caller's own
+        given = F.broadcast(_numbers(spark, parts, "_mix_source", "a"))  # the caller's own
         shares = sizes.join(given, "_mix_source", "left").withColumn("a", F.coalesce("a", F.lit(min(parts.values()))))
     else:
         whole = sizes.agg(F.round(F.sum(F.sqrt("n")), 6)).first()[0]
@@ -89,12 +96,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     for r in kinds:
         first[r["a"]] = before
         before += r["sources"]
-    base = F.broadcast(spark.createDataFrame(list(first.items()), "a long, _mix_first long"))  # as many rows as kinds
+    base = F.broadcast(_numbers(spark, first, "a", "_mix_first").withColumn("a", F.col("a").cast("long")))  # as many rows as kinds
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), F.asc_nulls_last("_mix_source"))) - 1
     numbered = shares.join(base, "a").select("_mix_source", "a", (F.col("_mix_first") + rank).alias("_mix_s"))
     named = _small(numbered, before, 4 * sum(r["letters"] for r in kinds))
-    period = [(s, k, slot) for slot, (s, k) in enumerate(pfair_period([r["a"] for r in kinds for _ in range(r["sources"])]))]
-    places = _small(spark.createDataFrame(period, "_mix_s long, _mix_k long, _mix_at long"), total, 0)
+    period = ",".join(str(s) for s, _ in pfair_period([r["a"] for r in kinds for _ in range(r["sources"])]))
+    slots = spark.range(1).select(F.posexplode(F.split(F.lit(period), ",")).alias("_mix_at", "_mix_s")).select(F.col("_mix_at").cast("long").alias("_mix_at"), F.col("_mix_s").cast("long").alias("_mix_s"))
+    turn = F.row_number().over(Window.partitionBy("_mix_s").orderBy("_mix_at")) - 1
+    places = _small(slots.withColumn("_mix_k", turn.cast("long")), total, 0)
     # numbers within a source: counts of hash buckets are added up, rows are numbered inside a bucket; a large source is many buckets
     digits = min(5, max(2, math.ceil(math.log(max(rows, 1) / 20_000, 16)))) if rows > 20_000 else 2
     key = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary"))
