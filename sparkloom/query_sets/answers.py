@@ -56,8 +56,7 @@ def _changes(spark, sf_dir):
 @register("set_embeddings", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN round(embedding[2]::DOUBLE, 6) ELSE round(embedding[1]::DOUBLE, 6) END AS head FROM embeddings")
 def _set(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    size = F.lit(e.first()["embedding"].__len__() - 1)
-    new = e.where("id % 3 = 0").select("id", F.slice("embedding", F.lit(2), size).alias("embedding"))
+    new = e.where("id % 3 = 0").select("id", F.slice("embedding", F.lit(2), F.size("embedding")).alias("embedding"))
     return answers.with_embeddings(e, new).select("id", F.round(F.col("embedding")[0].cast("double"), 6).alias("head"))
 
 

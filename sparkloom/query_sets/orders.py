@@ -25,7 +25,7 @@ def _lines(spark, sf_dir):
     held = joined.select(
         F.concat(F.when(F.col("l_orderkey") % 9 == 0, "C").otherwise(""), F.col("l_orderkey").cast("string")).alias("invoice_no"), code.alias("stock_code"), F.when(part % 37 == 0, "Next Day Carriage").otherwise(F.col("p_name")).alias("description"),
         F.col("l_quantity").cast("long").alias("quantity"), F.round(F.col("p_retailprice").cast("decimal(12,4)"), 2).cast("decimal(12,2)").alias("unit_price"), F.col("o_orderdate").alias("invoiced_at"), F.col("o_custkey").alias("customer_id"),
-        F.col("n_name").alias("country"), "l_suppkey", "l_linenumber", "l_extendedprice",
+        F.col("n_name").alias("country"), "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
     )
     held = held.withColumn("line_total", F.col("quantity").cast("decimal(10,0)") * F.col("unit_price")).withColumn("kind", orders.line_kind(F.col("stock_code"), F.col("description")))
     return rules.number_lines(held, "invoice_no", ["stock_code", "description", "quantity", "unit_price", "l_linenumber", "l_suppkey", "l_extendedprice"])
@@ -72,13 +72,8 @@ def _views(spark, sf_dir):
 SELECT invoice_no, stock_code, quantity, problem, CASE WHEN problem IS NULL THEN (price * taken)::DOUBLE END AS amount, CASE WHEN problem IS NULL THEN price * held >= 15 END AS return_needed FROM p""")
 def _items(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    key = F.when(F.col("stock_code").startswith("p"), F.substring("stock_code", 2, 20).cast("long"))
-    part = F.coalesce(key, F.lit(0))
-    base = table(spark, sf_dir, "lineitem")
-    firsts = lines.where("line_no = 1").join(base.select(F.concat(F.when(F.col("l_orderkey") % 9 == 0, "C").otherwise(""), F.col("l_orderkey").cast("string")).alias("invoice_no"), F.col("l_partkey").alias("pk"), F.col("l_linenumber").alias("ln"), F.col("l_suppkey").alias("sk"), F.col("l_extendedprice").alias("ep")).distinct(), ["invoice_no"]).where("ln = l_linenumber and sk = l_suppkey and ep = l_extendedprice")
-    del part
-    k = F.col("pk")
-    items = firsts.select("invoice_no", F.when(k % 5 == 0, "P0x").otherwise(F.concat(F.upper("stock_code"), F.lit(" "))).alias("stock_code"), F.when(k % 4 == 1, 1).when(k % 4 == 2, 0).when(k % 4 == 3, 60).cast("long").alias("quantity"))
+    k = F.col("l_partkey")
+    items = lines.where("line_no = 1").select("invoice_no", F.when(k % 5 == 0, "P0x").otherwise(F.concat(F.upper("stock_code"), F.lit(" "))).alias("stock_code"), F.when(k % 4 == 1, 1).when(k % 4 == 2, 0).when(k % 4 == 3, 60).cast("long").alias("quantity"))
     return orders.selected_items(lines, items).withColumn("amount", F.col("amount").cast("double"))
 
 

@@ -88,9 +88,9 @@ def admission(files: DataFrame, limits: UploadLimits = UploadLimits()) -> DataFr
     head = F.substring("content", 1, 8192)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1)).otherwise(""))
-    digits = F.hex(head)
-    binary = F.exists(F.array(*map(F.lit, BINARY_STARTS)), lambda b: digits.startswith(b)) | F.hex(head).rlike("^(..)*00")
-    blank = ~F.hex(F.col("content")).rlike("^(..)*(?!(09|0A|0B|0C|0D|20))..")
+    digits = F.hex(F.substring("content", 1, 16))
+    binary = F.exists(F.array(*map(F.lit, BINARY_STARTS)), lambda b: digits.startswith(b)) | F.contains(head.cast("string"), F.lit("\0"))
+    blank = F.length(F.btrim(F.col("content").cast("string"), F.lit(" \t\r\n\x0b\x0c"))) == 0
     refusal = F.when(blank, "empty_file").when(F.col("length") > limits.max_bytes, "file_too_large").when(~suffix.isin(*SUFFIXES), "not_csv").when(binary, "not_csv")
     return files.select("path", refusal.alias("refusal"))
 

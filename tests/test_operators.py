@@ -96,6 +96,7 @@ def test_uploads_of_other_shapes(spark):
         with pytest.raises(files.Rejected) as e:
             read(data, **limits)
         assert e.value.code == code
+    assert read(b" " * 3_000_000 + b"a,b\n1,2\n").count() == 1
     assert files.file_label("C:\\x\\a?b.csv") == "a_b.csv" and files.file_label(None) == "upload.csv"
 
 
