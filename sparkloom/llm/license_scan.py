@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import ALNUM, as_long, hash_words, kgrams, text_chunks, utf8
+from sparkloom.llm.common import ALNUM, as_long, hash_words, kgrams, materialize, text_chunks, utf8
 
 #: Words of a k-gram: of base phrases, and of other templates.
 PHRASE_K = 2
@@ -103,7 +103,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shorts = F.greatest(F.col("n_words") - PHRASE_K + 1, F.lit(0))
     at = F.when(F.col("i") > shorts, F.col("i") - 1 - shorts).otherwise(F.col("i") - 1)
     hits = met.select("row", "id", "n_words", F.when(F.col("i") > 0, F.col("t")).alias("t"), F.when(F.col("i") > 0, F.col("q")).alias("q"), at.alias("p"))
-    hits = hits.withColumn("d", F.col("p") - F.col("q"))
+    hits = materialize(hits.withColumn("d", F.col("p") - F.col("q")))  # texts without any hit are one row each
     sizes = [len(p.split()) - PHRASE_K + 1 for p in BASE] + [len(p.split()) - TEMPLATE_K + 1 for p, _ in TEMPLATES]
     names = [*BASE.values(), *(label for _, label in TEMPLATES)]
     size, n_base, whose = F.get(F.array(*map(F.lit, sizes)), F.col("t")), len(BASE), ["row", "id", "n_words", "t"]
