@@ -174,8 +174,8 @@ def key_bitmap(keys: DataFrame, column: str, bits: int = 25) -> np.ndarray:
     cell = F.pmod(F.xxhash64(column), F.lit(1 << bits))
     words = keys.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64L) as int))").alias("b"))
     out = np.zeros(1 << (bits - 6), np.int64)
-    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        out[row["w"]] = row["b"]
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # numbers only, not an object for each
+    out[found["w"].to_numpy()] = found["b"].to_numpy()
     return out.view(np.uint64)
 
 

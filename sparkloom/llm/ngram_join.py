@@ -194,10 +194,10 @@ def frequent_tokens(counts: DataFrame, least: int = CLASS_BOUNDS[0], most: int =
         if room < 0:
             break
         cut = row["n"]
-    rows = counted.where(F.col("n") >= cut).toPandas() if cut is not None else None  # at most `most` rows
-    if rows is None:
+    if cut is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    tokens, counts = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    rows = counted.where(F.col("n") >= cut).toArrow()  # at most `most` rows, as two arrays of numbers
+    tokens, counts = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], counts[order]
 
