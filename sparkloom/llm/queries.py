@@ -83,6 +83,12 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.bit_search import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scans": op2_secret_scans,
@@ -95,5 +101,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op13_approximate_nearest_neighbours": op13_approximate_nearest_neighbours,
 }
 ORACLES: dict[str, str] = {"op4_mixing_sources_to_target_weights": mixing.ORACLE}
