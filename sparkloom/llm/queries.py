@@ -83,6 +83,12 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.prefix_trie import rebuilt, sequences, trie
+
+    return trie(rebuilt(sequences(_table(spark, sf_dir, "conversations"))))
+
+
 def op13_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.bit_search import nearest
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
     "op13_approximate_nearest_neighbours": op13_approximate_nearest_neighbours,
 }
 ORACLES: dict[str, str] = {"op4_mixing_sources_to_target_weights": mixing.ORACLE}
