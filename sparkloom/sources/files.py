@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.operators.etl import RAW
-from sparkloom.session import delete_path, move_path, new_path
+from sparkloom.session import new_path
+from sparkloom.sources import versions
 
 # Limits of an upload, the endings it may have, and how files of other kinds begin (in hexadecimal digits).
 MAX_BYTES, MAX_COLUMNS, MAX_ROWS, MAX_NAME = 10_000_000, 60, 100_000, 64
@@ -173,14 +174,9 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def publish_whole(df: DataFrame, path: str, compression: str = "zstd") -> None:
-    """Replace a table by df: it is written beside the old one and then takes its place, so a failed job changes nothing."""
-    spark = df.sparkSession
-    staged = f"{path}.partial"
-    delete_path(spark, staged)
-    df.write.option("compression", compression).parquet(staged)
-    delete_path(spark, path)
-    move_path(spark, staged, path)
+def publish_whole(df: DataFrame, path: str, compression: str = "zstd") -> int:
+    """Make df the newest version of the table in a folder, which versions.read() reads; a failed job changes nothing."""
+    return versions.publish(df, path, compression=compression)
 
 
 def verified(df: DataFrame, columns: list[str] | None = None, rows: int | None = None, span: tuple[str, str, str] | None = None, digest: str | None = None) -> list[str]:
@@ -202,8 +198,11 @@ def verified(df: DataFrame, columns: list[str] | None = None, rows: int | None =
 
 
 def materialize_first(sources: list[tuple[str, Callable[[], DataFrame]]], path: str, check: Callable[[DataFrame], list[str]]) -> str:
-    """Publish the first source that can be read and passes the check; its name. RuntimeError with all reasons where none does."""
-    reasons = []
+    """Publish the first source that can be read and passes the check; its name. RuntimeError with all reasons where none does.
+
+    The version's provenance holds the source's name and why those before it were passed over.
+    """
+    reasons: dict[str, str] = {}
     for name, read in sources:
         try:
             df = read()
@@ -211,10 +210,10 @@ def materialize_first(sources: list[tuple[str, Callable[[], DataFrame]]], path:
         except Exception as e:  # noqa: BLE001  (the next source may do)
             problems = [f"{type(e).__name__}: {str(e).splitlines()[0]}"]
         if not problems:
-            publish_whole(df, path)
+            versions.publish(df, path, {"source": name, "passed_over": reasons})
             return name
-        reasons.append(f"{name}: {', '.join(problems)}")
-    raise RuntimeError("; ".join(reasons))
+        reasons[name] = ", ".join(problems)
+    raise RuntimeError("; ".join(f"{name}: {why}" for name, why in reasons.items()))
 
 
 def to_purge(uploads: DataFrame, now: str, keep: int) -> DataFrame:

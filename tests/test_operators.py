@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import hmac
+import json
 from difflib import SequenceMatcher
 
 import pytest
@@ -14,7 +15,7 @@ from sparkloom.operators import answers, etl, layout, orders, profile, retrieval
 from sparkloom.plans import plan
 from sparkloom.plans.catalog import Catalog, ColumnInfo
 from sparkloom.session import new_path, write_bytes
-from sparkloom.sources import files
+from sparkloom.sources import files, versions
 from sparkloom.streaming import ingest
 
 CATALOG = Catalog((
@@ -108,13 +109,31 @@ def test_publishing_once_and_whole(spark):
     whole = new_path(spark)
     for n in (5, 3):
         files.publish_whole(spark.range(n).toDF("n"), whole)
-    assert spark.read.parquet(whole).count() == 3
+    assert versions.read(spark, whole).count() == 3 and versions.read(spark, whole, 1).count() == 5
     bad = lambda: spark.read.parquet(new_path(spark))
     check = lambda df: files.verified(df, ["n"], 4, ("n", "0", "3"), profile.content_fingerprint(spark.range(4).toDF("n")).first()["digest"])
     assert files.materialize_first([("gone", bad), ("short", lambda: spark.range(3).toDF("n")), ("good", lambda: spark.range(4).toDF("n"))], whole, check) == "good"
     with pytest.raises(RuntimeError, match="short: 3 rows"):
         files.materialize_first([("short", lambda: spark.range(3).toDF("n"))], whole, check)
-    assert spark.read.parquet(whole).count() == 4
+    assert versions.read(spark, whole).count() == 4
+    told = versions.provenance(spark, whole).orderBy("version").collect()
+    assert [r["rows"] for r in told] == [5, 3, 4] and json.loads(told[-1]["provenance"])["source"] == "good" and "3 rows" in told[-1]["provenance"]
+
+
+def test_versions_survive_crashes_and_rivals(spark):
+    path = new_path(spark)
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, path)
+    versions.publish(spark.range(3).toDF("n"), path)
+    spark.range(9).write.parquet(f"{path}/data/unnamed")  # a job that died before its manifest
+    write_bytes(spark, f"{path}/manifests/00000002.json", b'{"data": "unna')  # and one that died in it
+    assert versions.read(spark, path).count() == 3 and versions.latest(spark, path)[0] == 1
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, path, {"data": "unnamed"}, 1)
+    assert versions.publish(spark.range(1, 5).toDF("n"), path) == 3
+    assert sorted(tuple(r) for r in versions.changed_rows(spark, path, "n", 1, 3).collect()) == [(0, "missing"), (3, "new"), (4, "new")]
+    assert versions.intact(spark, path) and versions.prune(spark, path, keep=1) == 2
+    assert [n for n, _ in versions.manifests(spark, path)] == [3] and versions.read(spark, path).count() == 4
 
 
 def test_streams_are_published_once(spark):
