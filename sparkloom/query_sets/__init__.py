@@ -1,3 +1,3 @@
 """Registered queries by subject."""
 
-from sparkloom.query_sets import answers, orders, reports, search, uploads  # noqa: F401
+from sparkloom.query_sets import answers, invoices, orders, reports, search, uploads  # noqa: F401
