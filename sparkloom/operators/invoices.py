@@ -104,7 +104,7 @@ def split_boxes(boxes: DataFrame, edges: DataFrame) -> DataFrame:
 
     def step(acc: Column, part: Column) -> Column:
         x0, x1 = F.col("x0") + acc["at"] * per, F.col("x0") + (acc["at"] + F.length(part)) * per
-        last = F.element_at(acc["pieces"], -1)
+        last = F.try_element_at(acc["pieces"], F.lit(-1))
         own = F.struct(band((x0 + x1) / 2).alias("band"), part.alias("text"), x0.alias("x0"), x1.alias("x1"))
         more = F.struct(last["band"].alias("band"), F.concat(last["text"], F.lit(" "), part).alias("text"), last["x0"].alias("x0"), x1.alias("x1"))
         joined = F.when(F.size(acc["pieces"]) == 0, F.array(own)).when(last["band"] == own["band"], F.concat(F.slice(acc["pieces"], F.lit(1), F.size(acc["pieces"]) - 1), F.array(more))).otherwise(F.concat(acc["pieces"], F.array(own)))

@@ -51,10 +51,14 @@ def move_path(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} can't be moved to {target}")
 
 
-def modified(spark: SparkSession, path: str) -> int:
-    """When a file or folder was last written, in milliseconds."""
+def file_states(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, length, time of the last write in milliseconds) of a file, or of all files in a folder and those below it."""
     folder, fs = _filesystem(spark, path)
-    return fs.getFileStatus(folder).getModificationTime()
+    found, out = fs.listFiles(folder, True), []
+    while found.hasNext():
+        status = found.next()
+        out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.session import modified, new_path, table
+from sparkloom.session import file_states, new_path, table
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,10 @@ _derived: dict[tuple, str] = {}
 
 
 def derived(name: str, build: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What build makes of the star schema, written as a table once per application and state of the source files."""
+    """What build makes of the star schema, written as a table once per application and state of the source files: their
+    names, lengths and times, so that a table that was written again is built again also where folders have no time."""
     sources = ("lineitem", "orders", "customer", "nation", "part")
-    key = (spark.sparkContext.applicationId, name, sf_dir, *[modified(spark, f"{sf_dir}/{t}.parquet") for t in sources])
+    key = (spark.sparkContext.applicationId, name, sf_dir, *[file_states(spark, f"{sf_dir}/{t}.parquet") for t in sources])
     if key not in _derived:
         path = new_path(spark)
         build(spark, sf_dir).write.option("compression", "zstd").parquet(path)

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import hmac
 import json
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -280,10 +281,36 @@ def test_searches_and_snippets(spark):
     assert _values(spark, lambda c: retrieval.snippets(c, words, 4, 2), [long, "none here"]) == ["a b Tea, c … h pot tea i", ""]
 
 
+def _grown(boxes, reach, step):
+    """Blocks by merging any two that hold a linked pair until nothing changes."""
+    link = lambda a, b: abs(a[1] - b[1]) <= reach and max(a[2], b[2]) - (a if a[2] < b[2] else b)[3] <= step * ((b if a[2] <= b[2] else a)[3] - max(a[2], b[2]))
+    blocks, grown = [{b} for b in boxes], True
+    while grown:
+        grown = False
+        for x in blocks:
+            for y in blocks:
+                if x is not y and any(link(a, b) for a in x for b in y):
+                    blocks = [z for z in blocks if z is not x and z is not y] + [x | y]
+                    grown = True
+                    break
+            if grown:
+                break
+    return {frozenset(b[0] for b in x) for x in blocks}
+
+
 def test_aligned_blocks(spark):
-    boxes = spark.createDataFrame([(1, 1, t, x, y, y + 10) for t, x, y in [("a", 10.0, 0.0), ("b", 11.0, 12.0), ("c", 10.0, 24.0), ("d", 10.0, 80.0), ("e", 60.0, 12.0)]], "doc long, page int, text string, x0 double, top double, bottom double")
-    runs = {r["text"]: (r["_lane"], r["block"]) for r in layout.aligned_blocks(boxes, 8.0).collect()}
-    assert runs["a"] == runs["b"] == runs["c"] != runs["d"] and runs["e"] not in (runs["a"], runs["d"])
+    rng = random.Random(4)
+    pages = {(1, 1): [("a", 4.4, 0.0, 10.0), ("b", 4.6, 12.0, 22.0), ("c", 6.0, 24.0, 34.0), ("d", 4.5, 80.0, 90.0), ("e", 60.0, 12.0, 22.0)]}
+    for page in (2, 3, 4):
+        tops = rng.sample(range(0, 4000), 40)
+        pages[1, page] = [(f"t{i}", rng.choice((10.0, 12.5, 15.0, 90.0)), t / 10, t / 10 + rng.choice((8.0, 10.0))) for i, t in enumerate(tops)]
+    rows = [(*k, t, x, y, z) for k, own in pages.items() for t, x, y, z in own]
+    found = {}
+    for r in layout.aligned_blocks(spark.createDataFrame(rows, "doc long, page int, text string, x0 double, top double, bottom double")).collect():
+        found.setdefault((r["doc"], r["page"]), {}).setdefault(r["block"], set()).add(r["text"])
+    assert {frozenset(x) for x in found[1, 1].values()} == {frozenset("abc"), frozenset("d"), frozenset("e")}
+    for k, own in pages.items():
+        assert {frozenset(x) for x in found[k].values()} == _grown(own, 3.0, 2.0) and sorted(found[k]) == list(range(1, len(found[k]) + 1))
 
 
 def test_pages_and_known_values(spark):
