@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def clean(c: Column) -> Column:
     """Without white space at the ends; null where nothing is left."""
-    return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(" \t\n\x0b\x0c\r")), F.lit(""))
 
 
 def collapse(c: Column) -> Column:
@@ -20,7 +20,15 @@ def collapse(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """A plain decimal number as double; null for anything else, nan included."""
-    return F.when(F.trim(c).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(c).try_cast("double"))
+    text = F.trim(c)
+    # of the letters that a cast takes, in nan or 1d, only those of an exponent are left
+    return F.when(F.translate(text, "0123456789+-.eE", "") == "", text.try_cast("double"))
+
+
+def drop_time(c: Column) -> Column:
+    """y-M-d H:m:s as timestamp without time zone; null for anything else. Only texts of that shape are parsed."""
+    usual, shaped = c.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), c.rlike(r"^\d+-\d+-\d+ \d+:\d+:\d+$")
+    return F.when(usual, c.try_cast("timestamp_ntz")).when(shaped, F.try_to_timestamp(c, F.lit("y-M-d H:m:s")).cast("timestamp_ntz"))
 
 
 def stock_code(c: Column) -> Column:

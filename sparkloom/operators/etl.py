@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.functions.columns import clean, collapse, number, row_hashes, row_key, stock_code
+from sparkloom.functions.columns import clean, collapse, drop_time, number, row_hashes, row_key, stock_code
 
 #: The contract's header, and reject reasons by precedence.
 RAW = ("Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country")
@@ -29,7 +29,7 @@ def coerce(records: DataFrame) -> DataFrame:
         *[F.col(f"`{x}`").alias(f"raw_{x}" if x in RAW else x) for x in records.columns],
         c["Invoice"].alias("invoice"), c["StockCode"].alias("stock_code_raw"), collapse(c["Description"]).alias("description"),
         F.when(quantity % 1 == 0, quantity).cast("long").alias("quantity"),
-        F.try_to_timestamp(c["InvoiceDate"], F.lit("y-M-d H:m:s")).cast("timestamp_ntz").alias("invoiced_at"),
+        drop_time(c["InvoiceDate"]).alias("invoiced_at"),
         price.alias("unit_price"), F.when(customer % 1 == 0, customer).cast("long").alias("customer_id"), c["Country"].alias("country"),
         c["Customer ID"].isNotNull().alias("_customer_given"),
     )
@@ -52,7 +52,7 @@ def reject_reason(period: str | Column, known_products: DataFrame | None = None,
         "bad_price": F.col("unit_price").isNull(),
         "missing_stock_code": F.col("stock_code_raw").isNull(),
         "bad_customer_id": F.col("_customer_given") & F.col("customer_id").isNull(),
-        "outside_drop_period": F.date_format("invoiced_at", "yyyy-MM") != (F.lit(period) if isinstance(period, str) else period),
+        "outside_drop_period": F.substring(F.col("invoiced_at").cast("string"), 1, 7) != (F.lit(period) if isinstance(period, str) else period),
         "test_record": F.upper("stock_code").startswith("TEST"),
         "accounting_adjustment": invoice.startswith("A"),
         "stock_adjustment": (F.col("unit_price") == 0) & F.col("customer_id").isNull(),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
 from sparkloom.operators import answers, layout
-from sparkloom.registry import register
+from sparkloom.registry import ORACLES, register
 from sparkloom.session import table
 
 
@@ -244,38 +244,44 @@ def _answers(spark, sf_dir):
     return answers.answers(answers.sentence_scores(questions, passages))
 
 
-@register("definition_rankings")
+@register("definition_rankings", r"""WITH v AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE list_has_any(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ['is', 'are', 'ist', 'est'])),
+ h AS (SELECT id, len(list_filter(w, lambda x: x = 'tion')) AS a, len(list_filter(w, lambda x: x = 'license')) AS b FROM v), s AS (SELECT 1 AS query, id, 1 AS matched, ln(1 + a) AS s FROM h WHERE a > 0 UNION ALL SELECT 2, id, 2, ln(1 + a) + ln(1 + b) FROM h WHERE a > 0 AND b > 0)
+SELECT query, id, matched, round(s / (s + 1), 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round(s / (s + 1), 9) DESC, id) AS rank FROM s QUALIFY rank <= 20""")
 def _definitions(spark, sf_dir):
     asked = spark.createDataFrame([(1, "tion"), (2, "tion"), (2, "license")], "query long, term string")
     return answers.definition_rankings(table(spark, sf_dir, "documents"), "doc_id", "text", asked, defining=r"\b(?:is|are|ist|est)\b")
 
 
-@register("paragraphs")
+@register("paragraphs", rf"""WITH {_PAGE_LINES}, pt AS ({ORACLES["typical_pitch"]}), bs AS ({ORACLES["body_size"]}), h AS (SELECT p.*, (line % 3)::DOUBLE AS x0, length(text) * 5.0 AS x1, coalesce(pitch, 1.2 * body) AS pitch FROM pl p JOIN bs USING (doc) LEFT JOIN pt USING (doc, page)),
+ g AS (SELECT *, lag(text) OVER w AS t0, lag(size) OVER w AS s0, lag(x0) OVER w AS a0, lag(x1) OVER w AS b0, top - lag(top) OVER w AS step, max(x1) OVER (PARTITION BY doc, page) AS edge FROM h WINDOW w AS (PARTITION BY doc, page ORDER BY line)),
+ f AS (SELECT *, greatest(coalesce(s0, 1.0), size, 1.0) AS sz, regexp_matches(t0, '[.!?:]["''”’)]*$') AS ends, regexp_matches(text, '^\p{{Ll}}') AS lower FROM g),
+ k AS (SELECT *, CASE WHEN t0 IS NULL THEN true WHEN step < -0.5 * sz THEN ends OR NOT lower WHEN step > pitch + 0.35 * sz THEN true WHEN regexp_matches(text, '^\s*[•▪–*-]\s') OR ends AND regexp_matches(text, '^\s*(?:\d+|[a-z])[.)]\s') THEN true WHEN ends AND x0 - a0 > 0.8 * sz THEN true ELSE ends AND b0 < edge - 3 * sz END AS starts FROM f),
+ n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc, page ORDER BY line)::BIGINT AS paragraph FROM k) SELECT doc, page, paragraph, string_agg(text, ' ' ORDER BY line) AS text FROM n GROUP BY 1, 2, 3""")
 def _paragraphs(spark, sf_dir):
     lines = _page_lines(spark, sf_dir).withColumn("x0", (F.col("line") % 3).cast("double")).withColumn("x1", F.length("text") * 5.0)
     return layout.paragraphs(lines, layout.typical_pitch(lines), layout.body_size(lines))
 
 
-@register("kept_hyphens")
+@register("kept_hyphens", rf"""WITH {_PAGE_LINES}, l AS (SELECT doc, line, CASE WHEN line % 2 = 0 THEN regexp_replace(text, '([A-Za-z])[^A-Za-z]*$', '\1-') ELSE regexp_replace(lower(text), '^[^a-z]+', '') END AS text FROM pl),
+ n AS (SELECT *, lead(text) OVER w AS nx, coalesce(regexp_matches(lag(text) OVER w, '[A-Za-z]+[-‐]$'), false) AS cont FROM l WINDOW w AS (PARTITION BY doc ORDER BY line)), own AS (SELECT doc, regexp_replace(CASE WHEN cont THEN regexp_replace(text, '^[a-z]+', '') ELSE text END, '[A-Za-z]+[-‐]$', '') AS t FROM n),
+ w AS (SELECT DISTINCT doc, unnest(regexp_extract_all(lower(t), '[a-z]+(?:[-‐][a-z]+)*')) AS word FROM own), e AS (SELECT doc, line, lower(regexp_extract(text, '([A-Za-z]+)[-‐]$', 1)) AS a, regexp_extract(nx, '^[a-z]+') AS b FROM n WHERE regexp_matches(text, '[A-Za-z]+[-‐]$') AND regexp_matches(nx, '^[a-z]+')),
+ has AS (SELECT e.*, EXISTS (SELECT 1 FROM w WHERE w.doc = e.doc AND word = a || '-' || b) AS h, EXISTS (SELECT 1 FROM w WHERE w.doc = e.doc AND word = a || b) AS j, EXISTS (SELECT 1 FROM w WHERE w.doc = e.doc AND word = a) AS x, EXISTS (SELECT 1 FROM w WHERE w.doc = e.doc AND word = b) AS y FROM e)
+SELECT doc, line, h OR (NOT j AND least(length(a), length(b)) > 2 AND x AND y) AS keep_hyphen FROM has""")
 def _hyphens(spark, sf_dir):
     lines = _page_lines(spark, sf_dir).withColumn("text", F.when(F.col("line") % 2 == 0, F.regexp_replace("text", r"([A-Za-z])[^A-Za-z]*$", "$1-")).otherwise(F.regexp_replace(F.lower("text"), "^[^a-z]+", "")))
     return layout.kept_hyphens(lines).where("keep_hyphen is not null").select("doc", "line", "keep_hyphen")
 
 
-@register("heading_levels")
-def _levels(spark, sf_dir):
-    found = layout.headings(_page_lines(spark, sf_dir)).where("kind is not null")
-    number = F.when(F.col("line") % 3 > 0, F.concat((F.col("line") % 4).cast("string"), F.when(F.col("line") % 3 == 2, ".1").otherwise("")))
-    return layout.heading_levels(found.select("doc", F.col("line").alias("place"), "size", "body", number.alias("number")))
-
-
-@register("built_documents")
+@register("built_documents", f"""WITH {_PAGE_LINES}, e AS (SELECT doc, page, sum(length(text) + 2) OVER (PARTITION BY doc ORDER BY page, line) - 2 AS e FROM pl)
+SELECT doc, max(e) FILTER (e <= 300000)::BIGINT AS n_chars, count(DISTINCT page) AS pages, max(e) > 300000 AS truncated FROM e GROUP BY 1""")
 def _built(spark, sf_dir):
     blocks = _page_lines(spark, sf_dir).select("doc", "page", F.col("line").alias("place"), "text")
-    return layout.documents(blocks, 2000).select("doc", F.length("text").alias("n_chars"), F.size("page_starts").alias("pages"), "truncated")
+    return layout.documents(blocks).select("doc", F.length("text").cast("long").alias("n_chars"), F.size("page_starts").cast("long").alias("pages"), "truncated")
 
 
-@register("cover_pages")
+@register("cover_pages", f"""WITH {_PAGE_LINES}, b AS (SELECT doc, page + 1 AS page, CASE WHEN page = 0 OR line % 4 = 0 THEN 'heading' ELSE 'para' END AS kind, text FROM pl), c AS (SELECT doc, page, sum(CASE WHEN kind = 'para' THEN length(text) ELSE 0 END) AS n FROM b GROUP BY 1, 2),
+ p AS (SELECT doc, max(page) AS last, unnest(range(1, max(page) + 1)) AS page FROM c GROUP BY 1), e AS (SELECT p.doc, last, p.page, coalesce(n, 0) AS n FROM p LEFT JOIN c ON c.doc = p.doc AND c.page = p.page), m AS (SELECT doc, list_sort(list(n))[max(last) // 2 + 1] AS typical FROM e GROUP BY 1)
+SELECT b.doc, b.page, count(*) FILTER (kind = 'heading' AND NOT (last >= 5 AND b.page <= 2 AND n < 0.25 * typical)) AS headings FROM b JOIN e ON e.doc = b.doc AND e.page = b.page JOIN m ON m.doc = b.doc GROUP BY 1, 2""")
 def _covers(spark, sf_dir):
     blocks = _page_lines(spark, sf_dir).select("doc", (F.col("page") + 1).alias("page"), "line", F.when((F.col("page") == 0) | (F.col("line") % 4 == 0), "heading").otherwise("para").alias("kind"), "text")
     return layout.covers(blocks).groupBy("doc", "page").agg(F.count_if(F.col("kind") == "heading").alias("headings"))

@@ -45,6 +45,17 @@ def _tree(spark, sf_dir):
     return outline.outline(_heads(spark, sf_dir)).withColumn("path", F.array_join("path", " > "))
 
 
+_PLAIN_HEADS = f"""{_PAGE_LINES}, heads AS (SELECT p.doc, p.line AS place, p.page, CASE WHEN p.line % 3 > 0 THEN (p.line % 4)::VARCHAR || CASE WHEN p.line % 3 = 2 THEN '.1' ELSE '' END || ' x' ELSE 'x' END AS text, p.size::DOUBLE AS size, b.body
+  FROM pl p JOIN ({ORACLES["headings"]}) k ON k.doc = p.doc AND k.line = p.line JOIN ({ORACLES["body_size"]}) b ON b.doc = p.doc WHERE k.kind IS NOT NULL)"""
+
+
+@register("heading_levels", f"WITH RECURSIVE {_PLAIN_HEADS}, {_WALK} SELECT doc, place, level FROM walk WHERE i > 0")
+def _plain_levels(spark, sf_dir):
+    found = layout.headings(_page_lines(spark, sf_dir)).where("kind is not null")
+    number = F.when(F.col("line") % 3 > 0, F.concat((F.col("line") % 4).cast("string"), F.when(F.col("line") % 3 == 2, ".1").otherwise("")))
+    return layout.heading_levels(found.select("doc", F.col("line").alias("place"), "size", "body", number.alias("number")))
+
+
 _MARGIN_LINES = f"""{_PAGE_LINES}, ml AS (SELECT doc, page, line, CASE WHEN line % 9 = 0 AND doc % 3 = 0 THEN 'Chapter ' || (page + 1) || ' of it' WHEN line % 9 = 8 AND doc % 3 = 1 THEN 'Confidential' WHEN line % 9 = 0 AND doc % 3 = 2 AND page % 2 = 0 THEN 'Page ' || (page + 1) WHEN line % 9 = 4 THEN 'Confidential' ELSE text END AS text,
   top, top + 10 AS bottom, size FROM pl), mp AS (SELECT doc, page, 116.0 AS height FROM ml GROUP BY 1, 2), mn AS (SELECT doc, count(*) AS pages FROM mp GROUP BY 1), bs AS ({ORACLES["body_size"]})"""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.session import file_states, new_path, table
+from sparkloom.session import file_states, new_path, spread, table
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,8 @@ DROP_SQL = """drop_rows AS (SELECT
 def drop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DROP_SQL with the contract's column names."""
     for name in ("lineitem", "orders", "customer", "nation", "part"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        rows = table(spark, sf_dir, name)
+        (spread(rows) if name == "lineitem" else rows).createOrReplaceTempView(name)
     rows = spark.sql(f"WITH {DROP_SQL} SELECT * FROM drop_rows")
     names = {"invoice_raw": "Invoice", "stock_raw": "StockCode", "description_raw": "Description", "quantity_raw": "Quantity", "date_raw": "InvoiceDate", "price_raw": "Price", "customer_raw": "Customer ID", "country_raw": "Country"}
     return rows.withColumnsRenamed(names)
