@@ -107,8 +107,7 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("p_partkey") % 61 == 0, "POST").when(F.col("p_partkey") % 2 == 0, F.concat(padded, F.lit("A"))).otherwise(padded)
     products = part.groupBy(code.alias("stock_code")).agg(F.min("p_name").alias("description"))
     customers = customer.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("customer_id"))
-    rows = drop_rows(spark, sf_dir).withColumn("line_number", F.monotonically_increasing_id() + 2)
-    return etl.validate(rows, F.col("period"), products, customers, within=("period",))
+    return etl.validate(drop_rows(spark, sf_dir), F.col("period"), products, customers, within=("period",))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +284,7 @@ _RANKED = "r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event
 
 
 @_register("nearest_rank_percentiles", f"WITH {_RANKED} SELECT event_type, min(value) FILTER (i = round_even(0.5 * (n - 1), 0)) AS p50, min(value) FILTER (i = round_even(0.95 * (n - 1), 0)) AS p95 FROM r GROUP BY 1")
-def _nearest(spark, sf_dir):
+def _ranks(spark, sf_dir):
     return profile.ranked_values(table(spark, sf_dir, "events"), "event_type", "value", {"p50": C.nearest_rank(0.5), "p95": C.nearest_rank(0.95)})
 
 

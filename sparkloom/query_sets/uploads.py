@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
-
 from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
 from sparkloom.registry import register
-from sparkloom.session import table, write_bytes
+from sparkloom.session import table
 from sparkloom.sources import files
 from sparkloom.sources.views import DROP_SQL, drop_rows
 
@@ -27,18 +25,24 @@ def _drops(spark, sf_dir):
     )
 
 
-_HEADER = b"Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\r\n"
-_LINES = b'1,A,"a, ""b""",2,d,1.5,7,UK\r\n\r\n   \n2,B,caf\xc3\xa9,1,d,2,,UK\n3,C,bad \xff\xfe,1,d,2,,UK\n4,D,short\n5,E,"x",1,d,2,,UK,more\n6,F,last,1,d,2,,FR'
+#: Customers as lines of drops, some of them broken, in four files.
+_LINE_KINDS = """li AS (SELECT c_custkey AS k, c_custkey % 4 AS f, row_number() OVER (PARTITION BY c_custkey % 4 ORDER BY c_custkey) + 1 AS line_number, c_custkey % 10 AS kind, c_name FROM customer)"""
 
 
-@register("drop_line_issues", """SELECT * FROM (VALUES ('a.csv', 2, NULL, '1', 'a, "b"'), ('a.csv', 5, NULL, '2', 'café'), ('a.csv', 6, 'encoding_error', NULL, NULL), ('a.csv', 7, 'malformed_row', NULL, NULL), ('a.csv', 8, 'malformed_row', NULL, NULL), ('a.csv', 9, NULL, '6', 'last'),
- ('b.csv.gz', 2, NULL, '1', 'a, "b"'), ('b.csv.gz', 5, NULL, '2', 'café'), ('b.csv.gz', 6, 'encoding_error', NULL, NULL), ('b.csv.gz', 7, 'malformed_row', NULL, NULL), ('b.csv.gz', 8, 'malformed_row', NULL, NULL), ('b.csv.gz', 9, NULL, '6', 'last')) t(file, line_number, issue, invoice, description)""")
+@register("drop_line_issues", f"""WITH {_LINE_KINDS} SELECT f::VARCHAR AS file, line_number::INT AS line_number, CASE WHEN kind = 3 THEN 'encoding_error' WHEN kind IN (4, 5) THEN 'malformed_row' END AS issue, CASE WHEN kind < 3 OR kind > 5 THEN k::VARCHAR END AS invoice,
+ CASE WHEN kind = 1 THEN 'a, "' || c_name || '"' WHEN kind = 2 THEN 'café ' || c_name WHEN kind < 3 OR kind > 5 THEN c_name END AS description FROM li WHERE kind NOT IN (6, 7)""")
 def _issues(spark, sf_dir):
-    folder = files.staged(spark)
-    write_bytes(spark, f"{folder}/a.csv", b"\xef\xbb\xbf" + _HEADER + _LINES)
-    write_bytes(spark, f"{folder}/b.csv.gz", gzip.compress(_HEADER + _LINES))
-    read = files.read_drop(spark, folder)
-    return read.select(F.element_at(F.split("file", "/"), -1).alias("file"), F.col("line_number").cast("int").alias("line_number"), "issue", F.col("Invoice").alias("invoice"), F.col("Description").alias("description"))
+    folder, kind = files.staged(spark), F.col("c_custkey") % 10
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    line = lambda text, *more: F.concat(key, F.lit(","), text, F.lit(",x,2,d,1.5,7,UK"), *more)
+    broken = F.unhex(F.lit("fffe")).cast("string")  # bytes that are no text
+    text = F.when(kind == 1, line(F.concat(F.lit('"a, ""'), name, F.lit('"""')))).when(kind == 2, line(F.concat(F.lit("café "), name))).when(kind == 3, line(F.concat(name, broken))).when(kind == 4, F.concat(key, F.lit(","), name, F.lit(",short")))
+    text = F.concat(F.lit("X,"), F.when(kind == 5, line(name, F.lit(",more"))).when(kind == 6, "").when(kind == 7, "   ").otherwise(F.coalesce(text, line(name))))
+    lines = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 4).alias("file"), F.col("c_custkey").alias("at"), F.concat(F.substring(text, F.lit(3), F.length(text)), F.lit("\r")).alias("value"))
+    heads = spark.range(4).select(F.col("id").alias("file"), F.lit(-1).cast("long").alias("at"), F.lit("Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\r").alias("value"))
+    lines.unionByName(heads).repartition(4, "file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").option("compression", "gzip").text(folder)
+    read = files.read_drop(spark, f"{folder}/*/*.txt.gz")
+    return read.select(F.regexp_extract("file", "file=([0-9]+)", 1).alias("file"), F.col("line_number").cast("int").alias("line_number"), "issue", F.col("Invoice").alias("invoice"), F.col("StockCode").alias("description"))
 
 
 @register("upload_types", "SELECT c_custkey::INTEGER AS c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS column_4, DATE '1996-02-01' + (c_custkey % 28)::INT AS opened FROM customer")
@@ -51,18 +55,22 @@ def _upload(spark, sf_dir):
     return files.read_upload(spark, folder)
 
 
-_UPLOADS = {
-    "plain.csv": b"a,b\n1,2\n", "none.csv": b" \r\n\t ", "sheet.csv": b"PK\x03\x04rest", "nul.txt": b"a\x00b,c\n", "photo.tsv": b"\xff\xd8\xffx", "tool.exe": b"a,b\n1,2\n", "bare": b"a;b\n1;2\n", "large.csv": b"a\n" + b"1\n" * 3000,
-}
-
-
-@register("upload_refusals", "SELECT * FROM (VALUES ('plain.csv', NULL), ('none.csv', 'empty_file'), ('sheet.csv', 'not_csv'), ('nul.txt', 'not_csv'), ('photo.tsv', 'not_csv'), ('tool.exe', 'not_csv'), ('bare', NULL), ('large.csv', 'file_too_large')) t(file, refusal)")
+@register("upload_refusals", """WITH u AS (SELECT p_brand, regexp_extract(p_brand, '[0-9]+')::INT % 8 AS kind, sum(length(p_name) + length(p_partkey::VARCHAR) + 2) + 7 AS n FROM part GROUP BY 1)
+SELECT p_brand AS file, CASE WHEN kind = 1 THEN 'empty_file' WHEN n > (SELECT median(n) FROM u) AND kind <> 1 THEN 'file_too_large' WHEN kind IN (2, 3, 4, 5) THEN 'not_csv' END AS refusal FROM u""")
 def _refusals(spark, sf_dir):
-    folder = files.staged(spark)
-    for name, data in _UPLOADS.items():
-        write_bytes(spark, f"{folder}/{name}", data)
-    seen = files.admission(spark.read.format("binaryFile").load(folder), files.UploadLimits(max_bytes=5000))
-    return seen.select(F.element_at(F.split("path", "/"), -1).alias("file"), "refusal")
+    """A file for each brand with its parts, some of them blank, large, or of another kind than their name says or than is taken."""
+    kind = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int") % 8
+    lines = table(spark, sf_dir, "part").select("p_brand", F.concat(F.col("p_partkey").cast("string"), F.lit(","), "p_name", F.lit("\n")).alias("line"))
+    text = F.concat(F.lit("id,name"), F.array_join(F.collect_list("line"), ""))
+    size = F.sum(F.length("line")) + 7
+    found = lines.groupBy("p_brand").agg(text.alias("t"), size.alias("length")).withColumn("kind", kind)  # a brand's parts, as an upload is one file
+    start = F.when(F.col("kind") == 2, F.unhex(F.lit("504B0304"))).when(F.col("kind") == 3, F.unhex(F.lit("FFD8FF"))).when(F.col("kind") == 4, F.unhex(F.lit("610062"))).otherwise(F.lit("").cast("binary"))
+    content = F.when(F.col("kind") == 1, F.lit(" \r\n\t ").cast("binary")).otherwise(F.concat(start, F.col("t").cast("binary")))
+    path = F.concat(F.lit("in/"), "p_brand", F.when(F.col("kind") == 5, ".exe").when(F.col("kind") == 6, "").otherwise(".csv"))
+    uploads = found.select(path.alias("path"), "length", content.alias("content"))
+    limit = int(found.agg(F.median("length")).first()[0])
+    seen = files.admission(uploads, files.UploadLimits(max_bytes=limit))
+    return seen.select(F.regexp_extract("path", "in/([^.]*)", 1).alias("file"), "refusal")
 
 
 @register("catalogue_round_trip", "SELECT p_brand AS stock_code, min(p_name) AS description FROM part GROUP BY 1")

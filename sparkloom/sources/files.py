@@ -17,6 +17,7 @@ from sparkloom.sources import versions
 
 # Limits of an upload, the endings it may have, and how files of other kinds begin (in hexadecimal digits).
 MAX_BYTES, MAX_COLUMNS, MAX_ROWS, MAX_NAME = 10_000_000, 60, 100_000, 64
+MOST_DROP_ROWS = 1_000_000
 SUFFIXES = ("csv", "tsv", "txt", "")
 BINARY_STARTS = ("504B0304", "25504446", "89504E47", "47494638", "FFD8FF", "4D5A", "7F454C46", "D0CF11E0", "53514C69746520666F726D61742033", "1F8B")
 DELIMITERS = (",", ";", "\t", "|")
@@ -72,9 +73,17 @@ def price_text(price: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.format_string("%.3f", price), "0+$", ""), r"\.$", "")
 
 
-def write_drops(rows: DataFrame, path: str, month: str = "period") -> None:
-    """Monthly gzip CSV drops in the contract's column order, a folder a month; rows has RAW columns and the month."""
-    rows.select(month, *[F.col(f"`{c}`") for c in RAW]).repartition(month).write.partitionBy(month).option("header", True).option("compression", "gzip").option("escape", "\"").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+def write_drops(rows: DataFrame, path: str, month: str = "period", most: int = MOST_DROP_ROWS) -> None:
+    """Monthly gzip CSV drops in the contract's column order, a folder a month; rows has RAW columns and the month.
+
+    A month of more than about `most` rows is several files, each with a header, dealt by a hash of their rows; so no task
+    writes a whole month of any size.
+    """
+    kept = rows.select(month, *[F.col(f"`{c}`") for c in RAW])
+    parts = kept.groupBy(F.col(month).alias("_m")).agg(F.ceil(F.count("*") / most).alias("_n"))  # a row a month
+    dealt = kept.join(F.broadcast(parts), F.col(month).eqNullSafe(F.col("_m"))).withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in RAW]), F.col("_n")))
+    files = dealt.repartition(month, "_part").select(month, *[F.col(f"`{c}`") for c in RAW])
+    files.write.partitionBy(month).option("header", True).option("compression", "gzip").option("escape", "\"").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 @dataclass(frozen=True)

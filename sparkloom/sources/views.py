@@ -61,12 +61,12 @@ DROP_SQL = """drop_rows AS (SELECT
  CASE WHEN l_partkey % 41 = 0 THEN 'free' WHEN l_partkey % 37 = 0 THEN '-1.50' WHEN l_partkey % 31 = 0 THEN '0' ELSE CAST(CAST(floor(p_retailprice) AS INT) AS STRING) || '.25' END AS price_raw,
  CASE WHEN o_custkey % 7 = 0 THEN '' WHEN o_custkey % 29 = 0 THEN 'guest' ELSE CAST(o_custkey AS STRING) END AS customer_raw,
  n_name AS country_raw,
- CASE WHEN l_linenumber = 7 AND l_partkey % 5 = 0 THEN substr(CAST(CAST(date_trunc('month', o_orderdate) AS DATE) + INTERVAL 1 MONTH AS STRING), 1, 7) ELSE substr(CAST(o_orderdate AS STRING), 1, 7) END AS period
+ CASE WHEN l_linenumber = 7 AND l_partkey % 5 = 0 THEN substr(CAST(CAST(date_trunc('month', o_orderdate) AS DATE) + INTERVAL 1 MONTH AS STRING), 1, 7) ELSE substr(CAST(o_orderdate AS STRING), 1, 7) END AS period, l_orderkey * 8 + l_linenumber + 2 AS line_number
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"""
 
 
 def drop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DROP_SQL with the contract's column names."""
+    """DROP_SQL with the contract's column names; line_number follows from the order line, so it is the same in every run."""
     for name in ("lineitem", "orders", "customer", "nation", "part"):
         rows = table(spark, sf_dir, name)
         (spread(rows) if name == "lineitem" else rows).createOrReplaceTempView(name)
