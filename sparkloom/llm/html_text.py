@@ -3,7 +3,9 @@
 Every page is cut into blocks at block-level tags. A decision tree, trained by Spark on the blocks of the labelled pages
 below, decides for each block from its own words and link density, those of the blocks before and after it, whether it
 is a heading, and whether markup names the part of the page that it stands in as something beside the article. Reader
-comments and short notices have the numbers of an article's paragraphs; nothing but that name tells them apart.
+comments and short notices have the numbers of an article's paragraphs; nothing but that name tells them apart. Where
+there is no neighbour, the block's own numbers stand in, so that no split can go by a page's edge. Inside an article a
+name counts only if it is all that a class says ("related", not "related-work"), and elements within a line never count.
 """
 
 from __future__ import annotations
@@ -131,6 +133,62 @@ LABELLED_PAGES = [
 - <nav><a href="/en">English</a></nav>
 + <article><h1>On idle hours</h1><p>There is a kind of afternoon that belongs to nobody, when the post has come and the evening hasn't, and I have learnt to leave it alone.</p><p>It rarely lasts.</p></article>
 - <footer><p>Essays in a loose order, by several hands, since the spring of last year.</p></footer>
+  </body>""",
+    """
+  <body>
++ <article><p>One paragraph is all that this page has to say, and it says it in a line or two before it ends again.</p></article>
+  </body>""",
+    """
+  <body>
++ <h1>The mill on the hill</h1>
++ <p>It turned until the war, and then nobody had corn to bring; today a family lives in it and grinds a sack on feast days for those who ask.</p>
++ <p>Visitors may climb the ladder.</p>
+  </body>""",
+    """
+  <body>
+- <nav><a href="/">Start</a> <a href="/all">All texts</a></nav>
++ <article><div class="article-header"><h1>Measuring snow</h1><p>Why a stick is still the best of tools for those who want to know how deep it lies.</p></div>
++ <p>Snow settles, drifts and melts from below, so that one number says little about a slope; a dozen <span class="notice">readings in a line</span> say much more.</p>
++ <section class="related-work"><h2>Related work</h2><p>Others have weighed the snow with pillows full of water, or counted the rays that it lets through to the ground.</p></section>
++ <p>Both ways need power and a road.</p></article>
+  </body>""",
+    """
+  <body>
++ <main><h1>Minutes</h1><p>Present: four.</p><p>The roof is paid.</p></main>
+- <div class="footer-links"><a href="/i">Imprint</a> <a href="/p">Privacy</a></div>
+  </body>""",
+    """
+  <body>
++ <p>Call the office before noon.</p>
+  </body>""",
+    """
+  <body>
+- <nav><a href="/">Home</a> <a href="/news">News</a> <a href="/orchards">Orchards</a></nav>
++ <article><h1>Late frost</h1><p>Growers lit fires all night.</p>
++ <p>By morning the blossom of the early trees was brown, and those who keep bees as well found them shivering in a ball around what was left of their honey.</p>
++ <h2>What now</h2><p>Wait and see.</p></article>
+  </body>""",
+    """
+  <body>
+- <div><a href="/1">Older post</a> <a href="/3">Newer post</a></div>
++ <h1>A walk by the river</h1>
++ <p>We saw a kingfisher.</p>
++ <p>Nothing else moved in the heat.</p>
+- <div><a href="/1">Older post</a> <a href="/3">Newer post</a></div>
+  </body>""",
+    """
+  <body>
+- <nav><a href="/">Museum</a> <a href="/plan">Plan a visit</a></nav>
++ <article><p>Closed on Monday.</p>
++ <p>The roof of the great hall is being mended, and the whale that hangs below it has been wrapped in cloth until the dust is gone.</p>
++ <p>Come on Tuesday instead.</p></article>
+- <footer><a href="/press">Press</a> <a href="/shop">Shop</a></footer>
+  </body>""",
+    """
+  <body>
+- <p><a href="/">Shop</a> <a href="/cart">Cart</a></p>
++ <main><h2>Opening hours at the pool</h2><p>Monday to Friday.</p><p>Bring a towel.</p></main>
+- <p><a href="/imprint">Imprint</a></p>
   </body>""",
 ]
 
@@ -145,6 +203,10 @@ SIDE_NAMES = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads advert advertisement adverts advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "comment comments disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription signup login search widget widgets pagination pager toolbar copyright".split()
 )
+#: Names that may stand beside those above in one class, and those that inside an article name its own parts.
+PART_NAMES = frozenset("area bar block box buttons container content form inner items links list outer panel section slot unit wrap wrapper".split())
+OWN_NAMES = frozenset("header masthead respond reply replies notice notices alert widget widgets navigation copyright".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 MARK = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
@@ -154,16 +216,27 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
+def _names_side(classes: str, in_article: bool) -> bool:
+    """Whether a class or id names a part beside the article: by any of its words, inside an article by a name as a whole."""
+    for name in classes.split():
+        words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower().replace(" ", "-"))) - {""}
+        if not in_article and not SIDE_NAMES.isdisjoint(words):
+            return True
+        if in_article and words - PART_NAMES and words - PART_NAMES <= SIDE_NAMES - OWN_NAMES:
+            return True
+    return False
+
+
 def _is_side(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in SIDE_TAGS and not (tag == "header" and in_article):
         return True
-    if tag in ("body", "html", "article", "main") or not attributes:
+    if tag in ("body", "html", "article", "main") or tag in INLINE or not attributes:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         if name.lower() == "role" and value in SIDE_ROLES or name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
             return True
-        if name.lower() in ("class", "id") and not SIDE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())):
+        if name.lower() in ("class", "id") and _names_side("".join(values), in_article):
             return True
     return False
 
@@ -230,7 +303,7 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             parts.append(" ")
         elif tag == "a":
             links = 0 if closing else 1
-        elif tag in BLOCKS or closing is False and tag not in VOID and m[3] and _is_side(tag, m[3], False):
+        elif tag in BLOCKS or closing is False and tag not in VOID and tag not in INLINE and m[3] and _is_side(tag, m[3], bool(open_) and open_[-1][2]):
             flush()
             if closing:
                 found = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
@@ -253,11 +326,9 @@ def text_blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
 
 
 def block_features(blocks: list[tuple[str, int, float, int, int, int]]) -> list[tuple[float, ...]]:
-    """FEATURES of each block."""
-    none, out = ("", 0, 0.0, 0, 0, 0), []
-    if not blocks:
-        return out
-    for before, own, after in zip([none, *blocks[:-1]], blocks, [*blocks[1:], none], strict=True):
+    """FEATURES of each block; a neighbour that isn't there has the block's own numbers."""
+    out = []
+    for before, own, after in zip([*blocks[:1], *blocks[:-1]], blocks, [*blocks[1:], *blocks[-1:]], strict=True):
         out.append((own[1], own[2], before[1], before[2], after[1], after[2], own[5], own[3]))
     return out
 
