@@ -40,9 +40,11 @@ SHAPES = {
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     "stripe": re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}"),
     "google": re.compile(r"AIza[A-Za-z0-9_-]{35}"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "jwt": re.compile(r"[A-Za-z0-9_.-]{32,}"),
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
 }
+#: How the first two of a token's three parts begin, and the least length of what follows in each.
+JWT_START, JWT_PART = "eyJ", 8
 HINTS = {"github": "gh", "slack": "xox", "stripe": "k_live_", "google": "AIza", "jwt": "eyJ", "pem": "-----BEGIN"}
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 
@@ -64,6 +66,24 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found, key=lambda x: (x[0], BASE.index(x[2])))
 
 
+def jwt_spans(start: int, run: str) -> Iterator[tuple[int, int]]:
+    """Three parts with dots between, the first two with JWT_START, in a whole run of their letters; each part is looked at once."""
+    at, parts = start, run.split(".")
+    begins = []
+    for part in parts:
+        begins.append(at)
+        at += len(part) + 1
+    i = 0
+    while i + 2 < len(parts):
+        lead = parts[i].find(JWT_START)
+        least = len(JWT_START) + JWT_PART
+        if lead >= 0 and len(parts[i]) - lead >= least and parts[i + 1].startswith(JWT_START) and len(parts[i + 1]) >= least and len(parts[i + 2]) >= JWT_PART:
+            yield begins[i] + lead, begins[i + 2] + len(parts[i + 2])
+            i += 3
+        else:
+            i += 1
+
+
 def shaped_spans(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Further candidates that overlap no span in taken: known shapes first, then strings that look random."""
     # merged spans, apart and in order, so that one search tells whether another overlaps any
@@ -91,7 +111,8 @@ def shaped_spans(text: str, taken: list[tuple[int, int, str, str]]) -> list[tupl
     for kind, pattern in SHAPES.items():
         if HINTS[kind] in text:
             for m in pattern.finditer(text):
-                add(m.start(), m.end(), kind, m[0])
+                for start, end in jwt_spans(m.start(), m[0]) if kind == "jwt" else [(m.start(), m.end())]:
+                    add(start, end, kind, text[start:end])
     # these come in order and apart from each other, so they needn't be put among the others
     for m in OPAQUE.finditer(text):
         v = m[0]
