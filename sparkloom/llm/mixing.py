@@ -98,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
         before += r["sources"]
     base = F.broadcast(_numbers(spark, first, "a", "_mix_first").withColumn("a", F.col("a").cast("long")))  # as many rows as kinds
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), F.asc_nulls_last("_mix_source"))) - 1
-    numbered = shares.join(base, "a").select("_mix_source", "a", (F.col("_mix_first") + rank).alias("_mix_s"))
+    numbered = shares.join(base, "a").select("_mix_source", F.col("a").alias("_mix_a"), (F.col("_mix_first") + rank).alias("_mix_s"))
     named = _small(numbered, before, 4 * sum(r["letters"] for r in kinds))
     period = ",".join(str(s) for s, _ in pfair_period([r["a"] for r in kinds for _ in range(r["sources"])]))
     slots = spark.range(1).select(F.posexplode(F.split(F.lit(period), ",")).alias("_mix_at", "_mix_s")).select(F.col("_mix_at").cast("long").alias("_mix_at"), F.col("_mix_s").cast("long").alias("_mix_s"))
@@ -114,8 +114,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     bases = bucket_sizes.select("_mix_s", "_mix_b", F.coalesce(F.sum("_mix_n").over(earlier), F.lit(0)).alias("_mix_base"))
     inside = Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", F.col(f"`{id_col}`"))
     held = keyed.withColumn("_mix_i", F.row_number().over(inside) - 1).join(bases, ["_mix_s", "_mix_b"]).withColumn("_mix_i", F.col("_mix_i") + F.col("_mix_base"))
-    held = held.withColumn("_mix_block", F.floor(F.col("_mix_i") / block_rows)).withColumn("_mix_k", F.col("_mix_block") % F.col("a")).join(places, ["_mix_s", "_mix_k"])
-    slot = F.floor(F.col("_mix_block") / F.col("a")) * total + F.col("_mix_at")
+    held = held.withColumn("_mix_block", F.floor(F.col("_mix_i") / block_rows)).withColumn("_mix_k", F.col("_mix_block") % F.col("_mix_a")).join(places, ["_mix_s", "_mix_k"])
+    slot = F.floor(F.col("_mix_block") / F.col("_mix_a")) * total + F.col("_mix_at")
     return held.select(*[F.col(f"`{c}`") for c in columns], F.col("_mix_block").alias("mix_block"), slot.cast("long").alias("mix_slot"), (F.col("_mix_i") % block_rows).cast("long").alias("mix_position"))
 
 
