@@ -212,13 +212,16 @@ def reweighted(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, the counts of each text, base_failed, distance (null if base_failed) and kept.
+    """The columns in keep, the counts of each text, base_failed, distance (null if base_failed) and kept; columns in keep
+    with one of the new names are replaced.
 
     base_failed: fewer than MIN_WORDS words, or over MAX_REPEAT_PERCENT % of them in repeated windows. Null and empty
     texts have no words, so they fail. A null language or source is a group like any other. Repeated rows each get their
     verdict; they and ties of distance are on the same side of any limit. An empty table gives an empty result.
     """
-    held = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(F.lit("group"), F.coalesce(F.col(lang_col), F.lit("\0")), F.coalesce(F.col(source_col), F.lit("\0"))).alias("_g"), F.col(text_col).alias("_text"))
+    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    # in one column, so that no name of theirs meets one of ours
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), F.xxhash64(F.lit("group"), F.coalesce(F.col(lang_col), F.lit("\0")), F.coalesce(F.col(source_col), F.lit("\0"))).alias("_g"), F.col(text_col).alias("_text"))
     counted = text_counts(held, "_text").drop("_text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counted = materialize(counted.withColumn("base_failed", failed).select("*", *_features()))
@@ -240,6 +243,6 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         joined = joined.withColumn(c, F.coalesce(F.col(c), F.col(f"_g_{c}")))
     judged = _distance(joined).withColumn("distance", F.when(~F.col("base_failed"), F.round("d2", 6)))
     return judged.select(
-        *[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        *[F.col(f"_keep.`{c}`") for c in keep if c not in new], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"), "distance",
     )
