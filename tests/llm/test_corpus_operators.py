@@ -650,3 +650,61 @@ def test_pipeline_packs_in_the_mixed_order(spark, tmp_path):
     for a, b in zip(sorted(tasks), sorted(tasks)[1:]):
         assert max(s for _, s in tasks[a]) <= min(s for _, s in tasks[b])
     assert all(np.corrcoef(*zip(*own))[0, 1] > 0.8 for own in tasks.values())
+
+
+def test_jwt_shape_in_linear_time():
+    from time import perf_counter
+
+    pattern = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    rng = random.Random(1)
+    for _ in range(3000):
+        parts = [rng.choice(["eyJ", "xxeyJ", "", "a"]) + "".join(rng.choice("abJye_-9") for _ in range(rng.choice([0, 5, 8, 9, 20]))) for _ in range(rng.randint(1, 9))]
+        text = rng.choice([".", ".", " .", ".."]).join(parts) + rng.choice([" ", ";", ""]) + ".".join(parts)
+        found = [x for m in secret_scan.SHAPES["jwt"].finditer(text) for x in secret_scan.jwt_spans(m.start(), m[0])]
+        assert found == [m.span() for m in pattern.finditer(text)]
+    start = perf_counter()
+    for text in ("eyJ" * 700_000, "eyJaaaaaaaaa." * 150_000, "eyJaaaaaaaaa" * 150_000):
+        secret_scan.shaped_spans(text, [])
+    assert perf_counter() - start < 10
+
+
+def test_columns_with_clashing_names(spark, rows):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "a", "b", "n", "r", "h", "_row", "_key", "_doc", "_text", "_g", "_keep", "_spans", "kept", "n_words", "distance", "base_failed", "id", "component_id", "_mix_n", "spans", "key", "content", "repo"]
+    docs = spark.createDataFrame([(*r[:5], *[f"own {c}" for c in names[5:]]) for r in rows], ", ".join([*("doc_id long", "text string", "lang string", "source string", "n_chars long"), *(f"`{c}` string" for c in names[5:])]))
+    mixed = mixing.mix(docs.drop("_mix_n"))
+    assert mixed.columns[: len(names) - 1] == [c for c in names if c != "_mix_n"] and mixed.count() == len(rows) and mixed.where("a <> 'own a' or n <> 'own n'").isEmpty()
+    judged = quality_rules.quality_verdicts(docs, keep=tuple(names))
+    plain = {r["doc_id"]: (r["n_words"], r["kept"]) for r in quality_rules.quality_verdicts(docs.select("doc_id", "text", "lang", "source")).collect()}
+    assert {r["doc_id"]: (r["n_words"], r["kept"]) for r in judged.collect()} == plain and judged.where("_g <> 'own _g' or a <> 'own a'").isEmpty()
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs if name != corpus_pipeline.STAGES[3][0] else docs.drop("_mix_n"), "")
+        assert out.columns == [c for c in names if c in out.columns] and not out.isEmpty(), name
+        assert out.where(" or ".join(f"`{c}` <> 'own {c}'" for c in out.columns[5:])).isEmpty(), name
+
+
+def test_rows_that_differ_in_nulls_are_two(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, None, "tok", "s", 1), (1, "tok", None, "s", 1), (1, "tok", None, "s", 1)], EMPTY)
+    assert {tuple(r)[1:3] for r in corpus_pipeline.deduplicate(spark, docs, "").collect()} == {(None, "tok"), ("tok", None)}
+    first, second = (corpus_pipeline._nested(docs).select("_row.content").distinct().count(), corpus_pipeline._nested(docs).count())
+    assert (first, second) == (2, 3)
+
+
+def test_pages_that_begin_and_end_with_their_article(spark):
+    tree = html_text.train_tree(spark)
+    words = "This is a paragraph of an ordinary length that says something about the weather and the sea in about twenty words."
+    cases = [
+        ("<article><p>One paragraph that says it.</p></article>", ["One paragraph that says it."]),
+        (f"<article><h1>Title</h1><p>{words}</p><p>{words} Twice.</p></article>", ["Title", words, f"{words} Twice."]),
+        (f"<nav><a href='/'>Home</a></nav><article><h1>Title</h1><p>{words}</p><p>The end.</p></article>", ["Title", words, "The end."]),
+        (f"<article><h1>Title</h1><p>{words}</p></article><footer><p>Imprint</p></footer>", ["Title", words]),
+        (f'<article><div class="article-header"><h1>Title</h1><p>The lead of it all.</p></div><p>{words}</p><section class="related-work"><h2>Related work</h2><p>{words} Again.</p></section></article>', ["Title", "The lead of it all.", words, "Related work", f"{words} Again."]),
+        ('<article><p>A text with <span class="notice">a notice</span> in the middle of it.</p></article>', ["A text with a notice in the middle of it."]),
+        (f'<article><p>{words}</p><div class="ad">Buy this now</div><p>{words} More.</p><div class="comments"><p>{words}</p></div></article>', [words, f"{words} More."]),
+        ("", []), ("<p></p>", []),
+    ]
+    for page, blocks in cases:
+        assert html_text.main_text(page, tree).split("\n\n") == (blocks or [""])
