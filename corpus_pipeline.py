@@ -21,33 +21,38 @@ from sparkloom.llm.secret_scan import redact, scan
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _row, the id and a hash of all that a row holds: rows that are equal throughout have the same."""
-    content = F.xxhash64("doc_id", "text", "lang", "source", "n_chars")
-    return docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", content.alias("content")))
+def _nested(docs: DataFrame) -> DataFrame:
+    """docs as one column _doc beside text, lang and source, and _row, which rows that are equal throughout share: the id and
+    128 bits of a hash of all columns and of where they are null."""
+    parts = [*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns]]
+    content = F.concat(F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit(1), *parts)))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", content.alias("content"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text", "lang", "source", row.alias("_row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the quality rules; null and empty texts don't, each repeated row is judged for itself."""
-    return quality_verdicts(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality_verdicts(_nested(docs), keep=("_doc",)).where("kept").select("_doc.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row, that with the smallest id.
 
     Rows count, not ids: of several texts under one id each is judged for itself. Rows that are equal throughout are
-    one; texts without words stay.
+    one, of those that tie in id and text the one with the smallest hash stays; texts without words stay.
     """
-    keyed = _keyed(docs)
+    keyed = _nested(docs)
     kept = similar_components(keyed.select("_row", "text"), id_col="_row", count_links=False).where("id = component_id").select(F.col("id").alias("_row")).distinct()
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select("_doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, reported secrets replaced by a mark and n_chars brought up to date; null texts stay null."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang", "source"))
-    clean = redact(keyed, scan(keyed, id_col="_key", repo_col="doc_id"), id_col="_key")
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]  # a text goes to the tasks' Python once
+    keyed = _nested(docs).select(F.struct(*[F.col(f"_doc.`{c}`") for c in others]).alias("_doc"), "text", "source", F.col("_doc.doc_id").alias("repo"), F.col("_row.content").alias("key"))
+    clean = redact(keyed, scan(keyed, id_col="key", repo_col="repo"), id_col="key")
+    now = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return clean.select(*[now[c] if c in now else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
