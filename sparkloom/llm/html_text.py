@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -193,6 +194,35 @@ LABELLED_PAGES = [
 ]
 
 
+# Labelled beginnings, articles and ends, each of which may stand with each of the others.
+LABELLED_PARTS = (
+    [
+        "",
+        '- <nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/about-us">About us</a></li></ul></nav>',
+        '- <div><a href="/">Home</a> <a href="/a">All our texts</a></div>',
+        '- <div><a href="/">The River Post</a> <a href="/w">World and politics</a> <a href="/c">Culture and books</a> <a href="/s">Sport</a> <a href="/l">Letters to us</a></div>',
+        '- <p><a href="/c">Cameras</a> | <a href="/l">Lenses</a> | <a href="/t">Tripods and bags</a></p>',
+        "- <header><p>Notes from the far north</p></header>",
+    ],
+    [
+        "+ <p>Closed on Monday.</p>",
+        "+ <p>The roof of the great hall is being mended, and the whale that hangs below it has been wrapped in cloth until the dust is gone.</p>",
+        "+ <h1>Late frost</h1><p>Growers lit fires all night.</p><p>By morning the blossom of the early trees was brown, and those who keep bees as well found them shivering around what was left of their honey.</p>",
+        "+ <article><h1>The long way round the lake</h1><p>It takes a day, two loaves and a dry pair of socks, and there is nothing at the end of it but the place where you set out in the morning.</p><p>Go anyway.</p></article>",
+        "+ <article><p>He left early.</p><p>Nobody in the house heard the door, and by the time the milk came he was over the pass and halfway to the coast.</p><p>She read the note twice.</p></article>",
+        "+ <h2>What you need</h2><ul><li>two eggs</li><li>a cup of milk</li></ul><p>Beat both until the froth stands, and pour it over the bread that you cut the day before.</p><h2>Time</h2><p>Half an hour.</p>",
+        '+ <h1>Further help</h1><p>See the <a href="/r">reference for all of the options</a> and the <a href="/g">guide for first steps</a>.</p><p>Ask in <a href="/f">the forum</a>.</p><p>Old notes are in <a href="/o">the folder of the year in which they were written</a>.</p>',
+        "+ <main><p>Check that it runs:</p><pre>tool --version</pre><p>If it prints a number that is lower than the one above, fetch the archive again and unpack it over the old folder.</p></main>",
+    ],
+    [
+        "",
+        "- <footer><p>Last changed in March by the people who write this.</p></footer>",
+        '- <div><a href="/i">Imprint</a> <a href="/p">Privacy</a></div>',
+        '- <div><a href="/1">Storm closes the northern road again</a></div><div><a href="/2">School wins a prize for its garden</a></div>',
+        '- <ul><li><a href="/n">Next page</a></li><li><a href="/b">Back to the list of all of our texts</a></li></ul>',
+    ],
+)
+
 # The HTML elements that each rule is about.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead title tr ul caption".split())
 SKIPPED = frozenset("script style noscript template title textarea select button iframe object svg math canvas audio video".split())
@@ -333,10 +363,15 @@ def block_features(blocks: list[tuple[str, int, float, int, int, int]]) -> list[
     return out
 
 
-def labelled_blocks(pages: list[str] = LABELLED_PAGES) -> list[tuple[float, ...]]:
+def composed_pages() -> list[str]:
+    """Every beginning with every article and every end of LABELLED_PARTS."""
+    return ["\n".join(["  <body>", *[part for part in parts if part], "  </body>"]) for parts in product(*LABELLED_PARTS)]
+
+
+def labelled_blocks(pages: list[str] | None = None) -> list[tuple[float, ...]]:
     """FEATURES and label of each block of the labelled pages."""
     out = []
-    for page in pages:
+    for page in pages or [*LABELLED_PAGES, *composed_pages()]:
         so_far, labels = "", []
         for line in page.strip("\n").split("\n"):
             so_far += line[2:]
@@ -351,7 +386,7 @@ def train_tree(spark: SparkSession, rows: list[tuple[float, ...]] | None = None,
     from pyspark.ml.feature import VectorAssembler
 
     table = spark.createDataFrame([tuple(map(float, row)) for row in rows or labelled_blocks()], [*FEATURES, "label"]).coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=depth, maxBins=128, seed=1).fit(VectorAssembler(inputCols=list(features), outputCol="features").transform(table))
+    model = DecisionTreeClassifier(maxDepth=depth, maxBins=128, minInstancesPerNode=3, seed=1).fit(VectorAssembler(inputCols=list(features), outputCol="features").transform(table))
 
     def walk(node):
         if not hasattr(node, "leftChild") or node.subtreeDepth() == 0:
