@@ -31,6 +31,8 @@ from sparkloom.llm.components import connected_components, smallest_ids
 
 SHINGLE_WORDS = 5
 PERCENT = 75
+#: Text handled at once; the arrays over its words, and over its tokens' combinations, are all that a worker holds.
+TEXT_BYTES = 1 << 19
 #: Texts of [LEVEL << l, LEVEL << l + 1) tokens form level l + 1; two similar texts have a level in common.
 LEVEL = 5
 #: A token seen in this many texts, as far as is known, is of the next class.
@@ -139,7 +141,7 @@ def kgrams_of_rows(rows: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], text_col: str, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in text_chunks(batches, text_col):
+    for part in text_chunks(batches, text_col, TEXT_BYTES):
         yield part, token_sets(utf8(part.column(text_col)), words)
 
 
