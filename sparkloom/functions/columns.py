@@ -83,6 +83,50 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def held(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), where c is worked out once, however often use names it, inside lambda functions as well."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def softmax(logits: Column) -> Column:
+    """The probabilities of an array of logits; the largest is taken off first, so that none overflows. Null for an array
+    that is null or empty or holds a null or a number that isn't finite."""
+
+    def shares(x: Column) -> Column:
+        usable = (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))))
+        weights = held(F.array_max(x), lambda most: F.transform(x, lambda v: F.exp(v - most)))
+        whole = lambda w: F.aggregate(w, F.lit(0.0), lambda s, v: s + v)
+        return F.when(usable, held(weights, lambda w: held(whole(w), lambda n: F.transform(w, lambda v: v / n))))
+
+    return held(logits.cast("array<double>"), shares)
+
+
+def top_k(p: Column, k: int = 5) -> Column:
+    """array<struct<label, p>>: the k largest of an array with their places from 0, ties by the smaller place."""
+    places = F.transform(p, lambda x, i: F.struct((-x).alias("d"), i.alias("i")))
+    return F.transform(F.slice(F.array_sort(places), 1, k), lambda s: F.struct(s["i"].alias("label"), (-s["d"]).alias("p")))
+
+
+def json_safe(c: Column) -> Column:
+    """A number that JSON can hold: null for one that isn't finite."""
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
+
+
+def safe_json(df: DataFrame) -> Column:
+    """All columns of df as a JSON object with nulls kept; numbers that aren't finite are null, in arrays as well; times and
+    decimals are texts."""
+
+    def put(f):
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind in ("float", "double"):
+            return json_safe(c)
+        if kind in ("array<float>", "array<double>"):
+            return F.transform(c, json_safe)
+        return c.cast("string") if kind.startswith(("decimal", "timestamp", "date")) else c
+
+    return F.to_json(F.struct(*[put(f).alias(f.name) for f in df.schema.fields]), {"ignoreNullFields": "false"})
+
+
 def nearest_rank(q: float) -> Callable[[Column], Column]:
     """The rank round(q * (n - 1)), halves to even, among n values counted from 0."""
     return lambda n: F.bround(F.lit(q) * (n - 1)).cast("long")

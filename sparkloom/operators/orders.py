@@ -20,6 +20,28 @@ def line_kind(code: Column, description: Column) -> Column:
     return F.when(F.coalesce(shipping, F.lit(False)), "shipping").when(code.isin(*OTHER_CODES) | code.startswith("gift_"), "other").otherwise("product")
 
 
+#: Columns of an order line as it is delivered.
+DELIVERED = ("invoice", "stock_code", "description", "quantity", "invoice_date", "price", "customer_id", "country")
+
+
+def known_lines(rows: DataFrame) -> DataFrame:
+    """Numbered order lines of known customers: rows (DELIVERED) without those of no customer, equal ones once.
+
+    (invoice_no, line_no, stock_code, description, quantity, unit_price, line_total, invoiced_at, customer_id, country, kind).
+    Lines of an invoice are numbered by code, description, quantity and price, ties by the other columns, so numbers don't
+    depend on the files' order; nulls come last; a missing description is empty, and numbered as if it were missing.
+    Rows are dealt out by invoice once, which serves both the comparison of whole rows and the numbering.
+    """
+    known = rows.select(*DELIVERED).where(F.col("customer_id").isNotNull()).repartition("invoice").dropDuplicates()
+    order = [F.asc_nulls_last(c) for c in ("stock_code", "description", "quantity", "price", "invoice_date", "customer_id", "country")]
+    total = F.round(F.col("quantity") * F.col("price"), 2).cast("decimal(14,2)")
+    return known.select(
+        F.col("invoice").alias("invoice_no"), F.row_number().over(Window.partitionBy("invoice").orderBy(*order)).alias("line_no"), "stock_code", F.coalesce("description", F.lit("")).alias("description"),
+        F.col("quantity").cast("int").alias("quantity"), F.col("price").cast("decimal(12,2)").alias("unit_price"), total.alias("line_total"), F.col("invoice_date").cast("timestamp_ntz").alias("invoiced_at"),
+        F.col("customer_id").cast("long").alias("customer_id"), "country", line_kind(F.col("stock_code"), F.col("description")).alias("kind"),
+    )
+
+
 def invoices(lines: DataFrame) -> DataFrame:
     """One row per invoice of lines (invoice_no, invoiced_at, customer_id, country, kind, quantity, line_total).
 

@@ -1,3 +1,3 @@
 """Registered queries by subject."""
 
-from sparkloom.query_sets import answers, batches, invoices, orders, outlines, reports, search, uploads  # noqa: F401
+from sparkloom.query_sets import answers, batches, invoices, orders, outlines, reports, search, trials, uploads  # noqa: F401

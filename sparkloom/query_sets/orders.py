@@ -158,3 +158,27 @@ def _scenarios(spark, sf_dir):
 @register("ranked_choices", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment DESC, c_acctbal DESC, c_custkey) AS place FROM customer")
 def _ranked(spark, sf_dir):
     return orders.ranked_choices(table(spark, sf_dir, "customer"), ["c_nationkey"], [F.desc("c_mktsegment"), F.desc("c_acctbal"), F.asc("c_custkey")]).select("c_custkey", F.col("place").cast("long").alias("place"))
+
+
+_DELIVERED = """d AS (SELECT l_orderkey AS invoice, 'p' || l_partkey AS stock_code, CASE WHEN l_partkey % 19 = 0 THEN NULL WHEN l_partkey % 37 = 0 THEN 'Next Day Carriage' ELSE p_name END AS description, l_quantity::BIGINT AS quantity, o_orderdate AS invoice_date,
+ round(p_retailprice, 2) AS price, CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE o_custkey END AS customer_id, o_orderstatus AS country FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+ e AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE invoice % 3 = 0 UNION ALL SELECT * REPLACE (quantity + 1 AS quantity) FROM d WHERE invoice % 5 = 0),
+ k AS (SELECT DISTINCT * FROM e WHERE customer_id IS NOT NULL)"""
+
+
+@register("known_order_lines", f"""WITH {_DELIVERED} SELECT invoice AS invoice_no, row_number() OVER (PARTITION BY invoice ORDER BY stock_code NULLS LAST, description NULLS LAST, quantity NULLS LAST, price NULLS LAST, invoice_date NULLS LAST, customer_id, country NULLS LAST) AS line_no, stock_code,
+ coalesce(description, '') AS description, quantity, price AS unit_price, round(quantity * price, 2) AS line_total, invoice_date AS invoiced_at, customer_id, country, CASE WHEN lower(description) = 'next day carriage' THEN 'shipping' ELSE 'product' END AS kind FROM k""")
+def _known(spark, sf_dir):
+    t = lambda name: table(spark, sf_dir, name)
+    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+    description = F.when(F.col("l_partkey") % 19 != 0, F.when(F.col("l_partkey") % 37 == 0, "Next Day Carriage").otherwise(F.col("p_name")))
+    rows = joined.select(
+        F.col("l_orderkey").alias("invoice"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("stock_code"), description.alias("description"), F.col("l_quantity").cast("long").alias("quantity"), F.col("o_orderdate").alias("invoice_date"),
+        F.round("p_retailprice", 2).alias("price"), F.when(F.col("o_custkey") % 6 != 0, F.col("o_custkey")).alias("customer_id"), F.col("o_orderstatus").alias("country"),
+    )
+    # lines that were delivered again, and some of them with a line of another quantity, from one scan
+    key = F.col("invoice")
+    copies = F.array_compact(F.array(F.lit(0), F.when(key % 3 == 0, 0), F.when(key % 5 == 0, 1)))
+    again = rows.select("*", F.explode(copies).alias("_more")).withColumn("quantity", F.col("quantity") + F.col("_more")).drop("_more")
+    found = orders.known_lines(again)
+    return found.withColumns({"line_no": F.col("line_no").cast("long"), "quantity": F.col("quantity").cast("long"), "unit_price": F.col("unit_price").cast("double"), "line_total": F.col("line_total").cast("double")})

@@ -127,25 +127,34 @@ def file_label(name: str | None) -> str:
     return own or "upload.csv"
 
 
-def _from_windows(content: pd.Series) -> pd.Series:
-    """Bytes as Windows-1252 text, which Spark's own decoder doesn't offer."""
-    return content.map(lambda b: bytes(b).decode("cp1252", errors="replace"))
+def decoded(content: Column) -> Column:
+    """The text of a file's bytes: UTF-8, without a mark at its start, where they are, else Windows-1252, which Spark's own
+    decoder doesn't offer, with a replacement for the bytes that it leaves open."""
+
+    def windows(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else bytes(b).decode("cp1252", errors="replace"))
+
+    text = content.cast("string")
+    utf8 = F.is_valid_utf8(text)
+    return F.when(utf8, F.regexp_replace(text, "^\ufeff", "")).otherwise(F.pandas_udf(windows, "string")(F.when(~utf8, content)))
 
 
 def read_upload(spark: SparkSession, path: str, limits: UploadLimits = UploadLimits()) -> DataFrame:
     """A CSV file of unknown shape as a table: delimiter and types found from all of its rows, short rows filled with nulls.
 
-    UTF-8 with or without a mark at its start, anything else as Windows-1252. Rejected with a code for what can't be taken.
+    A folder's files are one table, and each has its own encoding: UTF-8 with or without a mark at its start, anything else
+    as Windows-1252; they need the same header. Rejected with a code for what can't be taken.
     """
     file = spark.read.format("binaryFile").load(path)
     seen = admission(file, limits).collect()  # a file a row
     for row in seen:
         if row["refusal"]:
             raise Rejected(row["refusal"])
-    if not file.select(F.is_valid_utf8(F.col("content").cast("string"))).first()[0]:
-        decoded = new_path(spark)
-        file.select(F.pandas_udf(_from_windows, "string")("content")).write.text(decoded)  # max_bytes at most
-        path = decoded
+    if file.where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count():
+        utf8 = new_path(spark)
+        # a file of its own for each, as each has a header; files are max_bytes at most
+        file.repartition(len(seen), "path").select(F.sha2("path", 256).alias("file"), decoded(F.col("content")).alias("text")).write.partitionBy("file").text(utf8)
+        path = f"{utf8}/file=*"
     head = spark.read.option("lineSep", "\n").text(path).limit(50).collect()
     delimiter = sniff_delimiter([(r[0] or "").lstrip("﻿") for r in head])
     reader = spark.read.option("header", True).option("inferSchema", True).option("sep", delimiter).option("escape", '"').option("mode", "PERMISSIVE")
