@@ -24,9 +24,8 @@ WINDOW = 8
 #: Share of a group that the estimate rests on.
 CORE_SHARE = 0.75
 MIN_GROUP = 30
-#: Concentration steps end when no log determinant falls by more; and after MOST_STEPS in any case.
+#: A start is concentrated until its log determinant falls by no more than this; as that has a lower bound, it ends.
 LEAST_FALL = 0.01
-MOST_STEPS = 40
 # Fixed values of the chi-square distribution with 4 degrees of freedom, one for each statistic.
 #: Covariance of the core to that of all rows: CORE_SHARE over the share with 6 degrees of freedom below the CORE_SHARE quantile.
 CORE_FACTOR = 1.4863
@@ -154,9 +153,9 @@ def _starts(rows: DataFrame) -> DataFrame:
     return every.withColumn("log_det", F.lit(float("inf")))
 
 
-def _met(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with the columns of their group's estimates, which are broadcast where there are few groups."""
-    if estimates.count() <= BROADCAST_GROUPS:
+def _met(rows: DataFrame, estimates: DataFrame, groups: int | None = None) -> DataFrame:
+    """rows with the columns of their group's estimates, which are broadcast where there are few groups (counted if not given)."""
+    if (estimates.count() if groups is None else groups) <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(estimates.drop("rows")), "_g")
     return join_hot(rows, estimates, "_g", "rows", list(STATS))
 
@@ -171,10 +170,10 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", reduce(lambda a, b: a + b, parts)).drop(*[f"_y{i}" for i in _D])
 
 
-def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """The estimates of the rows closest to the given ones: CORE_SHARE of each group, of the last bin of distances a fraction."""
+def _concentrated(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
+    """The estimates of the rows closest to the given ones, of so many groups: CORE_SHARE of each group, of the last bin of distances a fraction."""
     gathered = estimates.groupBy("_g").agg(F.first("rows").alias("rows"), F.collect_list(F.struct("_start", *_PARTS)).alias("_e"))  # one entry a start
-    met = _met(rows, gathered).select("_g", *STATS, *ERRORS, F.explode("_e").alias("_e")).select("_g", *STATS, *ERRORS, "_e.*")
+    met = _met(rows, gathered, groups).select("_g", *STATS, *ERRORS, F.explode("_e").alias("_e")).select("_g", *STATS, *ERRORS, "_e.*")
     binned = _distance(met).withColumn("_bin", F.floor(F.log1p("d2") * 64)).groupBy("_g", "_start", "_bin").agg(*_sums())
     group = Window.partitionBy("_g", "_start")
     upto, whole = F.sum("rows").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)), F.sum("rows").over(group)
@@ -184,21 +183,23 @@ def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """(_g, rows, m_i, l_i_j, log_det): minimum-covariance-determinant estimates of rows (_g, STATS, ERRORS), one for each group _g."""
+    """(_g, rows, m_i, l_i_j, log_det): minimum-covariance-determinant estimates of rows (_g, STATS, ERRORS), one for each group _g.
+
+    Each start of a group goes on until its own determinant falls no more, and only those that go on meet the rows again.
+    A step is one table of three rows a group: the newest estimate, the best one so far, and whether it goes on.
+    """
     mark = tables_written()
-    best = materialize(_starts(rows))
-    current = best
-    for _ in range(MOST_STEPS):
-        current = materialize(_concentrated(rows, current))
-        joined = current.select("_g", "_start", F.col("log_det").alias("now")).join(best.select("_g", "_start", "log_det"), ["_g", "_start"])
-        falls = joined.agg(F.max((F.col("log_det") - F.col("now") > LEAST_FALL).cast("int"))).first()[0]
-        both = best.unionByName(current)
-        best = both.groupBy("_g", "_start").agg(F.min_by(F.struct("rows", *_PARTS, "log_det"), "log_det").alias("e")).select("_g", "_start", "e.*")
-        best = materialize(best)
-        if not falls:
-            break
-    found = best.groupBy("_g").agg(F.min_by(F.struct("rows", *_PARTS, "log_det"), F.struct("log_det", "_start")).alias("e")).select("_g", "e.*")
-    found = materialize(found)
+    estimate = F.struct("rows", *_PARTS, "log_det")
+    state = materialize(_starts(rows).select("_g", "_start", estimate.alias("now"), estimate.alias("best"), F.lit(True).alias("open")))
+    while groups := state.where("open").agg(F.count_distinct("_g")).first()[0]:
+        going = state.where("open")
+        anew = _concentrated(rows, going.select("_g", "_start", "now.*"), groups).select("_g", "_start", estimate.alias("now"))
+        moved = anew.join(going.select("_g", "_start", "best"), ["_g", "_start"]).select(
+            "_g", "_start", "now", F.when(F.col("now.log_det") < F.col("best.log_det"), F.col("now")).otherwise(F.col("best")).alias("best"),
+            F.coalesce(F.col("best.log_det") - F.col("now.log_det") > LEAST_FALL, F.lit(False)).alias("open"),
+        )
+        state = materialize(moved.unionByName(state.where("not open")))
+    found = materialize(state.groupBy("_g").agg(F.min_by("best", F.struct("best.log_det", "_start")).alias("e")).select("_g", "e.*"))
     drop_tables(rows.sparkSession, mark)
     return found
 
