@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkloom.operators import layout, retrieval
+from sparkloom.operators import layout, retrieval, term_index
 from sparkloom.session import dealt
 from sparkloom.sources import files
 
@@ -96,3 +96,20 @@ def test_upload_limits_hold_for_each_file(spark, tmp_path):
     assert files.read_upload(spark, str(tmp_path), files.UploadLimits(max_rows=3)).count() == 6
     with pytest.raises(files.Rejected):
         files.read_upload(spark, str(tmp_path), files.UploadLimits(max_rows=2))
+
+
+def test_postings_take_each_text_apart_once(spark):
+    rows = spark.createDataFrame([(1, 0, "c", "Apples", "the pie of apples"), (1, 1, "c", None, "defines apples"), (1, 2, "c", "x", None)], "id long, ordinal int, collection string, heading string, text string")
+    found = term_index.postings(rows.repartition(3, "id", "ordinal"))
+    plan = found._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("regexp_extract_all") == 2 and plan.executedPlan().toString().count("Exchange") == 1
+    held = {(r["term"], r["ordinal"]): [tuple(p) for p in r["places"]] for r in found.collect()}
+    assert held == {("apple", 0): [(1, True), (6, False)], ("pie", 0): [(4, False)], ("apple", 1): [(2, False)], ("define", 1): [(1, False)], (term_index.DEFINES, 1): [(1, False)], ("x", 2): [(1, True)]}
+
+
+def test_postings_of_a_term_are_shared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(term_index, "CHARS_PER_TASK", 100)
+    docs = spark.createDataFrame([(i, "c", "t", "apple " * 20) for i in range(30)], "id long, collection string, title string, text string")
+    index = term_index.update(docs, str(tmp_path / "i"), buckets=2)
+    files = {r[0] for r in index._read("postings").where("term = 'apple'").select("_metadata.file_path").collect()}
+    assert len(files) > 3 and index._read("postings").count() == 30
