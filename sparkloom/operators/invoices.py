@@ -222,8 +222,11 @@ def header_pairs(boxes: DataFrame) -> DataFrame:
     beside = rest.withColumns({"_v": F.lead("text").over(w), "_vx": F.lead("x0").over(w), "_vf": F.lead("field").over(w)})
     side = beside.where("field is not null and _v is not null and _vf is null")
     words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    cuts = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.struct(F.array_join(F.slice(words, F.lit(1), n), " ").alias("label"), F.trim(F.regexp_replace(F.array_join(F.slice(words, n + 1, F.greatest(F.size(words), F.lit(1))), " "), r"^[:#\s]+|[:#\s]+$", "")).alias("value")))
-    inline = rest.where("field is null").select("doc", "line", "place", F.explode(F.filter(cuts, lambda c: (_named(plain_label(c["label"]), FIELD_LABELS).isNotNull()) & (c["value"] != ""))).alias("c"))
+    # a row for each cut, so that labels are columns and not worked out twice in a lambda function; a label leaves a word for its value
+    cuts = rest.where("field is null").select("doc", "line", "place", words.alias("_w")).where("size(_w) > 1").select("doc", "line", "place", "_w", F.explode_outer(F.sequence(F.lit(1), F.least(F.lit(4), F.size("_w") - 1))).alias("_c"))
+    cuts = cuts.select("doc", "line", "place", "_w", "_c", F.array_join(F.slice("_w", F.lit(1), F.col("_c")), " ").alias("label")).where(_named(plain_label(F.col("label")), FIELD_LABELS).isNotNull())
+    value = F.trim(F.regexp_replace(F.array_join(F.slice("_w", F.col("_c") + 1, F.size("_w")), " "), r"^[:#\s]+|[:#\s]+$", ""))
+    inline = cuts.select("doc", "line", "place", F.struct("label", value.alias("value")).alias("c")).where("c.value <> ''")
     inline = inline.groupBy("doc", "line", "place").agg(F.min_by("c", F.length("c.label")).alias("c")).select("doc", "line", "place", "c.label", "c.value", _named(plain_label(F.col("c.label")), FIELD_LABELS).alias("field"), F.lit("inline").alias("found"))
     # blocks of pairs side by side
     seeds = side.select("doc", "line", "top", "x0", "_vx", "height")
@@ -281,7 +284,7 @@ def read_invoices(boxes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     header = written(table_header(placed, facts))
     first = facts.groupBy("doc").agg(F.min("page").alias("first_page"), F.max("line").alias("last_line"))
     region = written(placed.join(first, "doc").join(header, "doc", "left").where((F.col("page") == F.col("first_page")) & (F.col("line") < F.coalesce("head", F.col("last_line") + 1))).select(*placed.columns))
-    fields = written(header_fields(header_pairs(region)))
+    fields = written(header_fields(written(header_pairs(region))))
     noted = region.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "place", "text"))), lambda x: x["text"]), " ").alias("t")).select("doc", F.lower("t").contains("credit note").alias("noted"))
 
     role = _named(F.col("label"), ROLE_WORDS)

@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from sparkloom.functions.columns import money, printed_date, whole_number
 from sparkloom.operators import layout, retrieval, term_index
 from sparkloom.session import dealt
 from sparkloom.sources import files
@@ -113,3 +115,18 @@ def test_postings_of_a_term_are_shared(spark, tmp_path, monkeypatch):
     index = term_index.update(docs, str(tmp_path / "i"), buckets=2)
     files = {r[0] for r in index._read("postings").where("term = 'apple'").select("_metadata.file_path").collect()}
     assert len(files) > 3 and index._read("postings").count() == 30
+
+
+def test_one_pattern_decides_for_texts_that_are_no_numbers(spark):
+    rows = [("1,234.50", -1), ("(£12.00)", 1), ("−£ 3.10", 1), ("£-3.10", 1), ("GBP 7.00", 0), ("12", 0), ("(1,000)", 1), ("(-5)", 1), ("-(5)", 0), ("(5", 0), ("1,23", 0), ("", 0), (None, 0), ("x", 0), ("99999999999999999999", 0), ("12.00\n", 0), ("--1.00", 1)]
+    texts = spark.createDataFrame(rows, "t string, n int").select("t", money(F.col("t")).cast("string").alias("m"), whole_number(F.col("t")).alias("w"))
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 4 and "regexp_extract" not in plan
+    held = {r["t"]: (r["m"], r["w"]) for r in texts.collect()}
+    assert held == {"1,234.50": ("1234.50", None), "(£12.00)": ("-12.00", None), "−£ 3.10": ("-3.10", None), "£-3.10": ("-3.10", None), "GBP 7.00": ("7.00", None), "12": (None, 12), "(1,000)": (None, -1000), "(-5)": (None, -5), "-(5)": (None, None), "(5": (None, None), "1,23": (None, None), "": (None, None), None: (None, None), "x": (None, None), "99999999999999999999": (None, None), "12.00\n": ("12.00", None), "--1.00": ("-1.00", None)}
+
+
+def test_texts_that_are_no_dates_are_not_parsed(spark):
+    texts = spark.createDataFrame([(t,) for t in ("3/4/2024", "2024-3-4 9:05", "4 March 2024", "4  Mar 2024", "4.3.2024", "4-Mar-2024", "4-3-2024", "1,234.50", "A12", "soon", None)], "t string").select("t", printed_date(F.col("t")).cast("string").alias("d"))
+    assert texts._jdf.queryExecution().optimizedPlan().toString().upper().count("CASE WHEN") > 1
+    assert [r["d"] for r in texts.collect()] == ["2024-04-03 00:00:00", "2024-03-04 09:05:00", *["2024-03-04 00:00:00"] * 4, None, None, None, None, None]
