@@ -271,22 +271,35 @@ def printed_totals(boxes: DataFrame, facts: DataFrame, ends: DataFrame, edges: D
     return out.select("doc", F.coalesce("a", "b").alias("total"), "subtotal", "item_count", F.when(F.col("a").isNotNull(), "label").when(F.col("b").isNotNull(), "fallback").alias("total_by"))
 
 
-def read_invoices(boxes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of boxes (doc, page, text, x0, x1, top, bottom): documents, items and header fields.
-
-    documents (doc, number, issued, customer, country, credit_note, lines, total, subtotal, item_count, and five checks: each
-    line multiplies, lines add up to the total, the item count fits, number and date are there, the sign fits; a check with
-    nothing to compare is null), items (doc, item, code, description, quantity, unit_price, amount), fields as
-    header_fields(). A document without boxes has no row, one without a table no items.
-    """
+def _frame(boxes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """numbered_rows(), row_facts() and table_header() of boxes, written."""
     placed = written(numbered_rows(boxes))
     facts = written(row_facts(placed))
-    header = written(table_header(placed, facts))
-    first = facts.groupBy("doc").agg(F.min("page").alias("first_page"), F.max("line").alias("last_line"))
-    region = written(placed.join(first, "doc").join(header, "doc", "left").where((F.col("page") == F.col("first_page")) & (F.col("line") < F.coalesce("head", F.col("last_line") + 1))).select(*placed.columns))
-    fields = written(header_fields(written(header_pairs(region))))
-    noted = region.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "place", "text"))), lambda x: x["text"]), " ").alias("t")).select("doc", F.lower("t").contains("credit note").alias("noted"))
+    return placed, facts, written(table_header(placed, facts))
+
+
+def _first_pages(facts: DataFrame) -> DataFrame:
+    return facts.groupBy("doc").agg(F.min("page").alias("first_page"), F.max("line").alias("last_line"))
+
+
+def _region(placed: DataFrame, facts: DataFrame, header: DataFrame) -> DataFrame:
+    """The boxes of first pages above the table, written."""
+    above = (F.col("page") == F.col("first_page")) & (F.col("line") < F.coalesce("head", F.col("last_line") + 1))
+    return written(placed.join(_first_pages(facts), "doc").join(header, "doc", "left").where(above).select(*placed.columns))
+
 
+def invoice_fields(boxes: DataFrame) -> DataFrame:
+    """The header fields of read_invoices() alone; nothing below the header is read."""
+    return header_fields(written(header_pairs(_region(*_frame(boxes)))))
+
+
+def invoice_lines(boxes: DataFrame) -> DataFrame:
+    """The items of read_invoices() alone; header fields aren't looked for."""
+    return _items(*_frame(boxes))[0]
+
+
+def _items(placed: DataFrame, facts: DataFrame, header: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The items of read_invoices(), table_rows() and the columns with their roles, written."""
     role = _named(F.col("label"), ROLE_WORDS)
     heads = placed.join(header, "doc").where("line = head").select("doc", "place", "x0", "x1", "text", "label", role.alias("role"))
     again = F.row_number().over(Window.partitionBy("doc", "role").orderBy("place"))
@@ -315,7 +328,22 @@ def read_invoices(boxes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     started = read.where("item is not null").select("doc", "item").distinct()
     items = started.join(joined.groupBy("doc", "item").agg(*[cell(r).alias(r) for r in ROLE_WORDS]), ["doc", "item"], "left")
     items = written(items.select("doc", "item", "code", F.trim(F.regexp_replace("description", r"\s+", " ")).alias("description"), whole_number(F.col("quantity")).alias("quantity"), money(F.col("unit_price")).alias("unit_price"), money(F.col("amount")).alias("amount")))
+    return items, read, columns
+
+
+def read_invoices(boxes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of boxes (doc, page, text, x0, x1, top, bottom): documents, items and header fields.
 
+    documents (doc, number, issued, customer, country, credit_note, lines, total, subtotal, item_count, and five checks: each
+    line multiplies, lines add up to the total, the item count fits, number and date are there, the sign fits; a check with
+    nothing to compare is null), items (doc, item, code, description, quantity, unit_price, amount), fields as
+    header_fields(). A document without boxes has no row, one without a table no items.
+    """
+    placed, facts, header = _frame(boxes)
+    first, region = _first_pages(facts), _region(placed, facts, header)
+    fields = written(header_fields(written(header_pairs(region))))
+    noted = region.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "place", "text"))), lambda x: x["text"]), " ").alias("t")).select("doc", F.lower("t").contains("credit note").alias("noted"))
+    items, read, columns = _items(placed, facts, header)
     right = columns.where("role = 'amount'").select("doc", F.col("x1").alias("edge"))
     totals = printed_totals(placed, facts, read.where("item is null"), right)
     value = lambda name: F.max(F.when(F.col("field") == name, F.trim("value")))
