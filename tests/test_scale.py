@@ -130,3 +130,13 @@ def test_texts_that_are_no_dates_are_not_parsed(spark):
     texts = spark.createDataFrame([(t,) for t in ("3/4/2024", "2024-3-4 9:05", "4 March 2024", "4  Mar 2024", "4.3.2024", "4-Mar-2024", "4-3-2024", "1,234.50", "A12", "soon", None)], "t string").select("t", printed_date(F.col("t")).cast("string").alias("d"))
     assert texts._jdf.queryExecution().optimizedPlan().toString().upper().count("CASE WHEN") > 1
     assert [r["d"] for r in texts.collect()] == ["2024-04-03 00:00:00", "2024-03-04 09:05:00", *["2024-03-04 00:00:00"] * 4, None, None, None, None, None]
+
+
+def test_defining_passages_are_looked_up_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "c", "t", f"apple {i} defines pie") for i in range(6)], "id long, collection string, title string, text string")
+    index, asked = term_index.update(docs, str(tmp_path / "i"), buckets=2), []
+    lookup = term_index.TermIndex.lookup
+    monkeypatch.setattr(term_index.TermIndex, "lookup", lambda self, rows: (asked.append(rows), lookup(self, rows))[1])
+    subjects = spark.createDataFrame([(q, None, "apple") for q in range(5)], "query long, collection string, text string")
+    assert term_index.definitions(index, subjects).count() == 30
+    assert sum(rows.where(F.col("term") == term_index.DEFINES).count() for rows in asked) == 1
