@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import money, printed_date, whole_number
-from sparkloom.operators import layout, retrieval, term_index
+from sparkloom.operators import invoices, layout, retrieval, term_index
 from sparkloom.session import dealt
 from sparkloom.sources import files
 
@@ -140,3 +140,12 @@ def test_defining_passages_are_looked_up_once(spark, tmp_path, monkeypatch):
     subjects = spark.createDataFrame([(q, None, "apple") for q in range(5)], "query long, collection string, text string")
     assert term_index.definitions(index, subjects).count() == 30
     assert sum(rows.where(F.col("term") == term_index.DEFINES).count() for rows in asked) == 1
+
+
+def test_fields_and_lines_are_read_alone(spark, monkeypatch):
+    boxes = spark.createDataFrame([(1, 1, "Invoice no.", 300.0, 340.0, 50.0, 60.0), (1, 1, "123456", 400.0, 440.0, 50.0, 60.0)], "doc long, page long, text string, x0 double, x1 double, top double, bottom double")
+    with monkeypatch.context() as m:
+        m.setattr(invoices, "content_roles", None)
+        assert [(r["doc"], r["field"], r["value"]) for r in invoices.invoice_fields(boxes).collect()] == [(1, "number", "123456")]
+    monkeypatch.setattr(invoices, "header_pairs", None)
+    assert invoices.invoice_lines(boxes).count() == 0
