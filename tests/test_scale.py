@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import session
 from sparkloom.functions.columns import money, printed_date, whole_number
-from sparkloom.operators import invoices, layout, retrieval, term_index
+from sparkloom.operators import etl, invoices, layout, orders, retrieval, term_index
 from sparkloom.session import dealt
 from sparkloom.sources import files
 
@@ -149,3 +150,37 @@ def test_fields_and_lines_are_read_alone(spark, monkeypatch):
         assert [(r["doc"], r["field"], r["value"]) for r in invoices.invoice_fields(boxes).collect()] == [(1, "number", "123456")]
     monkeypatch.setattr(invoices, "header_pairs", None)
     assert invoices.invoice_lines(boxes).count() == 0
+
+
+def test_drops_are_compared_before_they_are_typed(spark):
+    raw = [("123456", "10002a", "NAME  x", "2", "1996-02-03 08:26:00", "1.25", "7", "UK"), ("123456", "10002a", "NAME  x", "2", "1996-02-03 08:26:00", "1.25", "7", "UK"), ("123457", "test1", "n", "2", "1996-03-03 08:26:00", "1.25", "8", "UK")]
+    rows = spark.createDataFrame([(*r, "1996-02", i) for i, r in enumerate(raw)], ", ".join(f"`{c}` string" for c in etl.RAW) + ", period string, line_number long")
+    products, customers = spark.createDataFrame([("10002A", "name X")], "stock_code string, description string"), spark.createDataFrame([(7,)], "customer_id long")
+    found = etl.validate(rows, F.col("period"), products, customers, within=("period",))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.find("Join") < plan.find("Window") < plan.rfind("xxhash64")
+    held = {r["line_number"]: r for r in found.collect()}
+    assert [(held[i]["reason"], held[i]["severity"], held[i]["warnings"], held[i]["line_type"]) for i in range(3)] == [(None, None, ["stock_code_normalised"], "product"), ("duplicate_line", "dropped", None, None), ("outside_drop_period", "reject", None, None)]
+
+
+def test_cheap_comparisons_are_the_plain_ones(spark):
+    texts = ["abc", "ABC", "ab", "straße", "STRASSE", "é", "É", "", None]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    assert pairs.where(~etl._same_but_case(F.col("a"), F.col("b")).eqNullSafe(F.upper("a") == F.upper("b"))).count() == 0
+    times = spark.createDataFrame([("1996-02-03 04:05:06",), ("0007-12-01 00:00:00",), ("+12345-01-02 00:00:00",), (None,)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    assert times.where(~etl._month(F.col("t")).eqNullSafe(F.substring(F.col("t").cast("string"), 1, 7))).count() == 0
+
+
+def test_known_lines_follow_the_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i // 3, "c", None, i, "1996-01-01", 1.5, 7, "UK") for i in range(90)], "invoice long, stock_code string, description string, quantity long, invoice_date string, price double, customer_id long, country string")
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    found = orders.known_lines(rows, rows)
+    assert found.rdd.getNumPartitions() == 9 and found.where("line_no <= 3").count() == 90
+
+
+def test_matched_products_make_no_row_of_a_word(spark):
+    clauses = spark.createDataFrame([(1, 1, ["two", "red", "hats", "hats"], 9), (1, 2, ["red"], None), (1, 3, [None], 1), (2, 1, ["x"], 1)], "text_id long, clause long, words array<string>, quantity long")
+    products = spark.createDataFrame([(1, 5, ["red", "hats"], 4), (1, 6, ["red", "cup", None], 4), (3, 5, ["x"], 4)], "text_id long, product_id long, words array<string>, held long")
+    found = orders.matched_products(clauses, products)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 5, 4)]
