@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.session import dealt
+
 # Codes and a description that are shipping, and codes that are no product either; codes that an ordinary document may hold.
 SHIPPING_CODES, SHIPPING_TEXT = ("POST", "DOT", "C2"), "next day carriage"
 OTHER_CODES = ("M", "m", "D", "S", "BANK CHARGES", "ADJUST", "AMAZONFEE", "B", "CRUK", "TEST001")
@@ -24,15 +26,17 @@ def line_kind(code: Column, description: Column) -> Column:
 DELIVERED = ("invoice", "stock_code", "description", "quantity", "invoice_date", "price", "customer_id", "country")
 
 
-def known_lines(rows: DataFrame) -> DataFrame:
+def known_lines(rows: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Numbered order lines of known customers: rows (DELIVERED) without those of no customer, equal ones once.
 
     (invoice_no, line_no, stock_code, description, quantity, unit_price, line_total, invoiced_at, customer_id, country, kind).
     Lines of an invoice are numbered by code, description, quantity and price, ties by the other columns, so numbers don't
     depend on the files' order; nulls come last; a missing description is empty, and numbered as if it were missing.
-    Rows are dealt out by invoice once, which serves both the comparison of whole rows and the numbering.
+    Rows are dealt out by invoice once, which serves both the comparison of whole rows and the numbering; with scan, the table
+    that they come from, over as many tasks as it has rows for.
     """
-    known = rows.select(*DELIVERED).where(F.col("customer_id").isNotNull()).repartition("invoice").dropDuplicates()
+    known = rows.select(*DELIVERED).where(F.col("customer_id").isNotNull())
+    known = (known.repartition("invoice") if scan is None else dealt(known, scan, "invoice")).dropDuplicates()
     order = [F.asc_nulls_last(c) for c in ("stock_code", "description", "quantity", "price", "invoice_date", "customer_id", "country")]
     total = F.round(F.col("quantity") * F.col("price"), 2).cast("decimal(14,2)")
     return known.select(

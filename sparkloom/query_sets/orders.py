@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import orders, rules
 from sparkloom.registry import register
-from sparkloom.session import table
+from sparkloom.session import dealt, table
 
 _LINES = """li AS (SELECT CASE WHEN l_orderkey % 9 = 0 THEN 'C' ELSE '' END || l_orderkey::VARCHAR AS invoice_no, CASE WHEN l_partkey % 23 = 0 THEN 'POST' WHEN l_partkey % 29 = 0 THEN 'M' WHEN l_partkey % 31 = 0 THEN 'gift_0001' ELSE 'p' || l_partkey::VARCHAR END AS stock_code,
  CASE WHEN l_partkey % 37 = 0 THEN 'Next Day Carriage' ELSE p_name END AS description, l_quantity::BIGINT AS quantity, round(p_retailprice::DECIMAL(12, 4), 2)::DECIMAL(12, 2) AS unit_price, o_orderdate AS invoiced_at, o_custkey AS customer_id, n_name AS country,
@@ -180,5 +180,5 @@ def _known(spark, sf_dir):
     key = F.col("invoice")
     copies = F.array_compact(F.array(F.lit(0), F.when(key % 3 == 0, 0), F.when(key % 5 == 0, 1)))
     again = rows.select("*", F.explode(copies).alias("_more")).withColumn("quantity", F.col("quantity") + F.col("_more")).drop("_more")
-    found = orders.known_lines(again)
+    found = orders.known_lines(again, t("lineitem"))
     return found.withColumns({"line_no": F.col("line_no").cast("long"), "quantity": F.col("quantity").cast("long"), "unit_price": F.col("unit_price").cast("double"), "line_total": F.col("line_total").cast("double")})
