@@ -167,14 +167,16 @@ def matched_products(clauses: DataFrame, products: DataFrame) -> DataFrame:
     """(text_id, clause, product_id, quantity): the product that shares most words with a clause, where there is only one such.
 
     clauses (text_id, clause, words, quantity or null), products (text_id, product_id, words, held): a quantity is at most what is held.
+    A text's few clauses and products meet with their lists of words, so no word is a row; rows dealt by text_id stay where they are.
     """
-    c = clauses.select("text_id", "clause", "quantity", F.explode(F.array_distinct("words")).alias("word"))
-    p = products.select("text_id", "product_id", "held", F.explode(F.array_distinct("words")).alias("word"))
-    shared = c.join(p, ["text_id", "word"]).groupBy("text_id", "clause", "product_id").agg(F.count("*").alias("n"), F.min("quantity").alias("quantity"), F.min("held").alias("held"))
-    best = shared.groupBy("text_id", "clause").agg(F.max("n").alias("n"))
-    top = shared.join(best, ["text_id", "clause", "n"])
-    alone = top.groupBy("text_id", "clause").agg(F.count("*").alias("k")).where("k = 1")
-    return top.join(alone, ["text_id", "clause"], "left_semi").select("text_id", "clause", "product_id", F.least("quantity", F.when(F.col("quantity").isNotNull(), F.col("held"))).alias("quantity"))
+    listed = lambda words: F.array_compact(F.array_distinct(words))
+    c = clauses.where("clause is not null").select("text_id", "clause", "quantity", listed("words").alias("_c"))
+    p = products.select("text_id", "product_id", "held", listed("words").alias("_p"))
+    met = c.join(p, "text_id").select("text_id", "clause", "product_id", "quantity", "held", F.size(F.array_intersect("_c", "_p")).alias("n")).where("n > 0")
+    shared = met.groupBy("text_id", "clause", "product_id").agg(F.sum("n").alias("n"), F.min("quantity").alias("quantity"), F.min("held").alias("held"))
+    own = Window.partitionBy("text_id", "clause")
+    best = shared.withColumn("_best", F.max("n").over(own)).withColumn("_k", F.count_if(F.col("n") == F.col("_best")).over(own)).where("n = _best and _k = 1")
+    return best.select("text_id", "clause", "product_id", F.least("quantity", F.when(F.col("quantity").isNotNull(), F.col("held"))).alias("quantity"))
 
 
 def scenario_problems(scenarios: DataFrame) -> DataFrame:

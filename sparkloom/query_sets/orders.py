@@ -137,7 +137,9 @@ def _split(spark, sf_dir):
  p AS (SELECT text_id, l_partkey AS product_id, 4 AS held, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM o), s AS (SELECT text_id, clause, product_id, count(*) AS n, min(quantity) AS quantity, min(held) AS held FROM c JOIN p USING (text_id, word) GROUP BY 1, 2, 3),
  t AS (SELECT *, max(n) OVER (PARTITION BY text_id, clause) AS best FROM s), u AS (SELECT *, count(*) OVER (PARTITION BY text_id, clause) AS k FROM t WHERE n = best) SELECT text_id, clause, product_id, CASE WHEN quantity IS NOT NULL THEN least(quantity, held) END AS quantity FROM u WHERE k = 1""")
 def _matched(spark, sf_dir):
-    o = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("text_id"), "l_partkey", "p_name").distinct()
+    lines = table(spark, sf_dir, "lineitem")
+    named = lines.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("text_id"), "l_partkey", "p_name")
+    o = dealt(named, lines, "text_id").distinct()
     clauses = o.select("text_id", F.col("l_partkey").alias("clause"), F.split(F.concat(F.lit("two "), F.col("p_name")), " ").alias("words"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey") % 7).alias("quantity"))
     products = o.select("text_id", F.col("l_partkey").alias("product_id"), F.split("p_name", " ").alias("words"), F.lit(4).cast("long").alias("held"))
     return orders.matched_products(clauses, products)
