@@ -214,3 +214,39 @@ def test_chunks_hold_few_texts_at_once(spark, monkeypatch):
     found = retrieval.chunks(docs, "doc_id", "text", 8)
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.collect() == whole and {r["id"] for r in whole} == {i for i in range(30) if i % 3} and retrieval.chunks(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_drops_are_read_without_a_shuffle_of_lines(spark, tmp_path):
+    rows = [(f"{i:06d}", "1", ' a "b", c ', "2", "1996-02-03 08:26:00", "1.25", None, "UK", f"1996-0{1 + i % 2}") for i in range(20)]
+    files.write_drops(spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in etl.RAW) + ", period string"), str(tmp_path / "d"), most=4)
+    assert len(list((tmp_path / "d").glob("period=1996-01/*.csv.gz"))) >= 3
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = files.read_drop(spark, str(tmp_path / "d" / "*"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r["Invoice"], r["Description"], r["Customer ID"], r["issue"]) for r in found.collect()) == [(r[0], r[2], None, None) for r in rows]
+    head = ",".join(etl.RAW)
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + head.replace(",", " , ").encode() + b"\r\n" + b"1,2,x,4,5,6,7,8\r\n \r\n\xff,2,x,4,5,6,7,8\n1,2\n" + head.encode() + b"\n")
+    read = files.read_drop(spark, str(tmp_path / "a.csv")).select("line_number", "issue", "Invoice", "Country", "line").collect()
+    assert sorted((r["line_number"], r["issue"], r["Invoice"], r["Country"]) for r in read) == [(2, None, "1", "8"), (4, "encoding_error", None, None), (5, "malformed_row", None, None), (6, None, "Invoice", "Country")]
+    assert {r["line"] for r in read if r["line_number"] == 2} == {"1,2,x,4,5,6,7,8"}
+    (tmp_path / "b.csv").write_text("1,2,x,4,5,6,7,8\n" + head + "\n")
+    with pytest.raises(files.SchemaMismatch, match="b.csv: '1,2,x"):
+        files.read_drop(spark, str(tmp_path / "b.csv"))
+
+
+def test_rows_of_a_drop_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(*["x"] * 8, "1996-02")] * 12, ", ".join(f"`{c}` string" for c in etl.RAW) + ", period string")
+    files.write_drops(rows.mapInArrow(count, rows.schema), str(tmp_path / "d"))
+    assert made.value == 12
