@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions.columns import mask_digits
 from sparkloom.operators.layout import DEEPEST, LARGER, heading_levels
+from sparkloom.session import written
 
 # Margins as shares of a page, lines at each end that may be running ones, the share of pages that repeat them, and what numbers a page or a section.
 MARGIN, OUTER, EDGE_LINES, RUNNING_SHARE, SHORT = 0.12, 0.08, 2, 0.4, 60
@@ -63,8 +64,10 @@ def outline(headings: DataFrame) -> DataFrame:
 
     parent is the place of the heading above, path the titles from the top down to this one, until the place of the next
     heading that isn't below this one (null: the document's end). No level is left out, so the heading above one of level k
-    is the last before it of level k - 1, and so on up: a stack, read off windows.
+    is the last before it of level k - 1, and so on up: a stack, read off windows. Headings are written first, as they are
+    met for their levels and for their titles.
     """
+    headings = written(headings)
     title = F.substring(F.trim("text"), 1, MOST_TITLE)
     number, lettered = numbering(F.col("text"))
     levels = heading_levels(headings.select("doc", "place", "size", "body", number.alias("number"), lettered.alias("lettered")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import session
 from sparkloom.functions.columns import money, printed_date, whole_number
-from sparkloom.operators import etl, invoices, layout, orders, retrieval, term_index
+from sparkloom.operators import etl, invoices, layout, orders, outline, retrieval, term_index
 from sparkloom.session import dealt
 from sparkloom.sources import files
 
@@ -250,3 +250,28 @@ def test_rows_of_a_drop_are_made_once(spark, tmp_path):
     rows = spark.createDataFrame([(*["x"] * 8, "1996-02")] * 12, ", ".join(f"`{c}` string" for c in etl.RAW) + ", period string")
     files.write_drops(rows.mapInArrow(count, rows.schema), str(tmp_path / "d"))
     assert made.value == 12
+
+
+def test_headings_are_worked_out_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    heads = spark.createDataFrame([(1, 0, 1, "Report", 20.0, 10.0), (1, 1, 1, "1 Scope", 14.0, 10.0), (1, 2, 2, "1.1 Aims", 10.0, 10.0)], "doc long, place long, page int, text string, size double, body double")
+    tree = outline.outline(heads.mapInArrow(count, heads.schema))
+    assert sorted((r["place"], r["level"], r["parent"]) for r in tree.collect()) == [(0, 1, None), (1, 2, 0), (2, 3, 1)] and made.value == 3
+    lines = spark.createDataFrame([(1, 1, 1, "Head line", 14.0, True), (1, 1, 2, "x" * 90, 10.0, False)], "doc long, page long, line long, text string, size double, bold boolean")
+    found = layout.headings(lines)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the body's size only
+    assert [(r["line"], r["kind"]) for r in found.orderBy("line").collect()] == [(1, "size"), (2, None)]
+
+
+def test_only_lines_that_may_be_contents_entries_are_searched(spark):
+    ends = ["", " ", "\t", "\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029", "\r\x85", "\xa0", ".", "x", "\xe9"]
+    texts = [(f"{a}{n}{e}",) for a in ("Aims ... ", "Aims ", "Aims..", "Aims", "") for n in ("", "7", "1234", "12345", "\u0663") for e in ends] + [(None,)]
+    rows = spark.createDataFrame(texts, "text string")
+    whole, may = F.col("text").rlike(layout.CONTENTS_ENTRY), F.substring("text", -1, 1).rlike(layout.ENTRY_END)
+    assert rows.where(whole & ~may).count() == 0 and rows.where(whole).count() > 50 and rows.where(~may).count() > 30
