@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.functions.columns import idf, stem
+from sparkloom.functions.columns import idf, stems
 from sparkloom.operators.retrieval import chunks, keyword_rankings
+from sparkloom.session import written
 
 # Weights and limits of sentence selection, and words that continue a sentence or define something.
 SEMANTIC_SHARE, LEXICAL_SHARE, RANK_LOSS, DEFINITION_BONUS = 0.55, 0.45, 0.03, 0.15
@@ -33,14 +34,14 @@ WORD = r"[A-Za-z0-9]+(?:['’][A-Za-z]+)?"
 
 def words_of(text: Column) -> Column:
     """The stemmed words of a text, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), stem)
+    return stems(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
 def content_words(text: Column) -> Column:
     """The distinct stemmed words of a question that carry meaning; all of its words where none does."""
     words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
     own = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
-    return F.array_distinct(F.transform(F.when(F.size(own) > 0, own).otherwise(words), stem))
+    return F.array_distinct(stems(F.when(F.size(own) > 0, own).otherwise(words)))
 
 
 def sentences(passages: DataFrame) -> DataFrame:
@@ -55,13 +56,14 @@ def sentence_scores(questions: DataFrame, passages: DataFrame, similarities: Dat
 
     overlap: the share of the question's inverse document frequency that a sentence holds, over the question's own
     sentences. similarities (question_id, number, place, similarity), where there are any, count beside it. Later passages
-    count a little less; a sentence that defines the subject counts more.
+    count a little less; a sentence that defines the subject counts more. Sentences and questions with their words are
+    written once, as every step meets them.
     """
-    held = sentences(passages).withColumn("_w", F.array_distinct(words_of(F.col("text"))))
+    held = written(sentences(passages).withColumn("_w", F.array_distinct(words_of(F.col("text")))))
     total = held.groupBy("question_id").agg(F.count("*").alias("_n"))
-    asked = questions.select("question_id", "subject", content_words(F.col("question")).alias("_q"))
+    asked = written(questions.select("question_id", "subject", content_words(F.col("question")).alias("_q")))
     key = ["question_id", "number", "place"]
-    met = held.join(asked.select("question_id", F.explode("_q").alias("term")), "question_id").where(F.expr("array_contains(_w, term)")).select(*key, "term")
+    met = held.join(asked.select("question_id", "_q"), "question_id").select(*key, F.explode(F.array_intersect("_q", "_w")).alias("term"))
     weights = asked.select("question_id", F.explode("_q").alias("term")).join(total, "question_id").join(met.groupBy("question_id", "term").agg(F.count("*").alias("df")), ["question_id", "term"], "left")
     weights = weights.select("question_id", "term", idf(F.col("_n").cast("double"), F.coalesce("df", F.lit(0))).alias("w"))
     whole = weights.groupBy("question_id").agg(F.sum("w").alias("_whole"))

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import session
-from sparkloom.functions.columns import money, printed_date, whole_number
-from sparkloom.operators import etl, invoices, layout, orders, outline, retrieval, term_index
+from sparkloom.functions.columns import money, printed_date, stem, stems, whole_number
+from sparkloom.operators import answers, etl, invoices, layout, orders, outline, retrieval, term_index
 from sparkloom.session import dealt
 from sparkloom.sources import files
 
@@ -275,3 +275,15 @@ def test_only_lines_that_may_be_contents_entries_are_searched(spark):
     rows = spark.createDataFrame(texts, "text string")
     whole, may = F.col("text").rlike(layout.CONTENTS_ENTRY), F.substring("text", -1, 1).rlike(layout.ENTRY_END)
     assert rows.where(whole & ~may).count() == 0 and rows.where(whole).count() > 50 and rows.where(~may).count() > 30
+
+
+def test_words_of_sentences_are_stemmed_once(spark):
+    words = ["Flies", "dies", "Glasses", "glass", "king", "Singing", "bed", "Wanted", "does", "boxes", "cats", "as", "it's", "It’s", "boss's", "x", ""]
+    row = spark.createDataFrame([(words,)], "w array<string>").select(stems(F.col("w")).alias("a"), F.array(*[stem(F.col("w")[i]) for i in range(len(words))]).alias("b")).first()
+    assert row["a"] == row["b"] and row["a"][:4] == ["fly", "die", "glass", "glass"]
+    questions = spark.createDataFrame([(1, "Are cats singing or flying?", None), (2, "x y", None)], "question_id long, question string, subject string")
+    passages = spark.createDataFrame([(1, 1, "A cat sings to us. No dog flies there at all. Nothing else is here."), (2, 1, "One two three four.")], "question_id long, number int, text string")
+    scores = answers.sentence_scores(questions, passages)
+    assert "(?s)" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    held = {(r["question_id"], r["place"]): r["overlap"] for r in scores.collect()}
+    assert held[1, 0] > 0 and held[1, 2] == held[2, 0] == 0 and len(held) == 4
