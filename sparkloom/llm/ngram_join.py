@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import as_long, hash_words, in_bitmap, join_hot, key_bitmap, kgrams, materialize, mix64, settled, tables_written, text_chunks, utf8
+from sparkloom.llm.common import as_long, bucketed, hash_words, in_bitmap, join_hot, key_bitmap, kgrams, materialize, mix64, settled, tables_written, text_chunks, utf8
 from sparkloom.llm.components import connected_components, smallest_ids
 
 SHINGLE_WORDS = 5
@@ -220,7 +220,8 @@ def _index(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, text_col:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, tokens) of at least the nodes in ids; a bitmap of fixed size keeps most other texts from being read as words."""
+    """(id, tokens) of at least the nodes in ids, in buckets by id, as each turn joins them; a bitmap of fixed size keeps most
+    other texts from being read as words."""
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(nodes.join(ids.distinct(), "id").select("place"), "place"))
 
     def run(batches):
@@ -233,7 +234,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame, id_col: str, tex
                 yield pa.RecordBatch.from_arrays([prints, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), as_long(flat))], ["id", "tokens"])
 
     keyed = docs.select(text_col, F.xxhash64(F.xxhash64(id_col, text_col)).alias("h"))
-    return materialize(keyed.mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"]))
+    return bucketed(keyed.mapInArrow(run, "id long, tokens array<long>"), "id")
 
 
 def _shareable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -283,7 +284,7 @@ def _near(a: str, b: str, percent: int) -> str:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs whose token sets are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    both = pairs.hint("shuffle_hash").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", shared.alias("o"), (F.size("x") + F.size("y")).alias("s")).where(F.expr(f"100L * o >= {percent}L * (s - o)")).select("a", "b")
 

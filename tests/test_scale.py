@@ -299,3 +299,22 @@ def test_boxes_meet_their_parts_in_dealt_tasks(spark, monkeypatch):
     assert tasks > 8 and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert all(f"hashpartitioning({key}" in plan for key in ("l_partkey", "p_partkey", "l_orderkey")) and plan.count(f", {tasks}), REPARTITION_BY_NUM") == 3
     assert boxes.count() == 4 * lines.count()
+
+
+def test_token_sets_are_not_shuffled_again(spark):
+    from sparkloom.llm.common import bucketed
+    from sparkloom.llm.ngram_join import _verified
+
+    rows = [(i, [i, i + 1, i + 2, 7, 8, 9, 10, 11, 12]) for i in range(100, 140)]
+    sets = bucketed(spark.createDataFrame([*rows, rows[0]], "id long, tokens array<long>"), "id")
+    pairs = spark.createDataFrame([(i, i + d) for i in range(100, 137) for d in (0, 1, 2)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = _verified(pairs, sets, 75)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sets.count() == 40 and plan.count("Exchange") == 2
+    assert sorted(map(tuple, found.collect())) == [(i, i + d) for i in range(100, 137) for d in (0, 1)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("scratch_")]
