@@ -3,7 +3,7 @@
 A whole Arrow batch is laid end to end: both tokenizers' pieces cover the same bytes, so a running sum of piece lengths
 gives every end, one bincount per tokenizer marks the ends, and places that both mark cut the bytes into groups. Prefix
 sums over places, tokens and groups, read at document bounds, give each document's numbers. Batches keep their distinct
-id pairs once; the corpus counts come back to a batch as one list in the order of its pairs.
+id pairs once, in a row beside their documents'; a batch's documents meet the corpus counts of its pairs in a group of their own.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,11 @@ MANY_PAIRS = 256
 #: The ranked encoder's pattern can't walk over white space as long as this; the slower library takes such texts.
 LONG_BLANK = re.compile(r"\s{1000}")
 
+#: Text aligned at once; a worker takes some 200 bytes of memory for a byte of it.
+TEXT_AT_ONCE = 1 << 20
+#: Batches of so much text that one task meets with the corpus counts.
+BATCHES_PER_TASK = 32
+
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 _loaded: dict[tuple[str, str], Encoders] = {}
 
@@ -166,27 +172,33 @@ class Aligned:
 
 
 def _batches(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, with_groups: bool) -> DataFrame:
-    """A row per batch: its documents' ids and numbers, its distinct pairs, and each document's places among these."""
+    """A row per document, its id, numbers and places among its batch's distinct pairs, and one per batch with these pairs, where n_a is null.
+
+    Rows are small: Spark's writer and reader of tables hold a hundred and more of them in a task.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders, name = Encoders.load(path_a, path_b), TaskContext.get().partitionId() << 32
-        for batch in text_chunks(batches, "_text"):
+        for batch in text_chunks(batches, "_text", TEXT_AT_ONCE):
             found = Aligned(encoders, [t or "" for t in batch.column("_text").to_pylist()])
             doc, pair, links = found.pairs()
             keys, place, docs_with = np.unique(pair, return_inverse=True, return_counts=True)
             groups = found.written()
             digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-            held = np.bincount(doc, minlength=len(batch)) if len(doc) else np.zeros(len(batch), np.int64)
-            lists = [pa.array(x.astype(np.int64)) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
-            lists += [pa.array(digests, pa.string()), pa.array(groups if with_groups else [], pa.string()), pa.array(held.astype(np.int64))]
-            lists += [pa.array(place.astype(np.int32)), pa.array(links.astype(np.int64)), pa.array(keys.astype(np.int64)), pa.array(docs_with.astype(np.int64))]
-            whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (batch.column(id_col), *lists)]
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *whole], ["batch", "ids", *_NUMBERS, "digests", "groups", "held", "place", "links", "pairs", "docs"])
+            ends = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (place.astype(np.int32), links.astype(np.int64))]
+            numbers = [pa.array(x.astype(np.int64)) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
+            own = [batch.column(id_col), *numbers, pa.array(digests, pa.string()), pa.array(groups if with_groups else [None] * len(batch), pa.string()), *lists]
+            whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int64))) for x in (keys, docs_with)]
+            named = lambda n: pa.array(np.full(n, name, np.int64))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([named(len(batch)), *own, *[pa.nulls(len(batch), x.type) for x in whole]], columns)
+            yield pa.RecordBatch.from_arrays([named(1), *[pa.nulls(1, x.type) for x in own], *whole], columns)
             name += 1
 
-    numbers = ", ".join(f"{n} array<bigint>" for n in _NUMBERS)
-    schema = f"batch bigint, ids array<{id_type}>, {numbers}, digests array<string>, groups array<string>, held array<bigint>, place array<int>, links array<bigint>, pairs array<bigint>, docs array<bigint>"
+    columns = ["batch", "id", *_NUMBERS, "digest", "groups", "place", "links", "pairs", "docs"]
+    numbers = ", ".join(f"{n} bigint" for n in _NUMBERS)
+    schema = f"batch bigint, id {id_type}, {numbers}, digest string, groups string, place array<int>, links array<bigint>, pairs array<bigint>, docs array<bigint>"
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(align, schema)
 
 
@@ -217,22 +229,22 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     id_type = docs.schema[id_col].dataType.simpleString()
     batches = materialize(_batches(docs, path_a, path_b, id_col, text_col, with_groups))
     counts = _counts(batches, size_b)
-    asked = batches.select("batch", F.posexplode("pairs").alias("at", "pair")).join(counts, "pair")
-    told = asked.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("at", "n_docs", "best"))).alias("told"))  # a batch's distinct pairs
-    told = told.select("batch", F.col("told.n_docs").alias("n_docs"), F.col("told.best").alias("best"))
-
-    def rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            for i in range(len(batch)):
-                row = {n: batch.column(n)[i].values for n in batch.schema.names if n != "batch"}
-                links, place, held = row["links"].to_numpy(), row["place"].to_numpy(), row["held"].to_numpy()
-                n_docs = row["n_docs"].to_numpy() if row["n_docs"] is not None else np.zeros(0, np.int64)
-                best = row["best"].to_numpy(zero_copy_only=False) if row["best"] is not None else np.zeros(0, bool)
-                n_best, count_sum = _per_run(links * best[place], held), _per_run(links * n_docs[place], held)
-                columns = [row["ids"], *[row[n] for n in _NUMBERS], pa.array(n_best), pa.array(count_sum), row["digests"], *([row["groups"]] if with_groups else [])]
-                yield pa.RecordBatch.from_arrays(columns, names)
+    last = batches.where("n_a is null")
+    asked = last.select("batch", F.posexplode("pairs").alias("at", "pair")).join(counts, "pair").select(F.col("batch").alias("of"), "at", "n_docs", "best")
+
+    def rows(own: pa.Table, told: pa.Table) -> pa.Table:
+        """A batch's documents with what the corpus says of the batch's pairs."""
+        at = np.argsort(told["at"].to_numpy())
+        n_docs, best = told["n_docs"].to_numpy()[at], told["best"].to_numpy()[at]
+        lists = [own[n].combine_chunks() for n in ("place", "links")]
+        place, links = (x.flatten().to_numpy() for x in lists)
+        held = pc.list_value_length(lists[0]).to_numpy().astype(np.int64)
+        n_best, count_sum = _per_run(links * best[place].astype(bool), held), _per_run(links * n_docs[place], held)
+        return pa.Table.from_arrays([own["id"], *[own[n] for n in _NUMBERS], pa.array(n_best), pa.array(count_sum), own["digest"], *([own["groups"]] if with_groups else [])], names=names)
 
     names = [id_col, *_NUMBERS, "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else [])]
     schema = f"`{id_col}` {id_type}, " + ", ".join(f"{n} bigint" for n in names[1:7]) + ", groups_sha256 string" + (", groups string" if with_groups else "")
-    wanted = ["ids", *_NUMBERS, "digests", *(["groups"] if with_groups else []), "held", "place", "links"]
-    return settled(batches.select("batch", *wanted).join(told, "batch", "left").mapInArrow(rows, schema), mark)
+    wanted = ["batch", "id", *_NUMBERS, "digest", *(["groups"] if with_groups else []), "place", "links"]
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-last.count() // BATCHES_PER_TASK))
+    own, told = batches.where("n_a is not null").select(*wanted).repartition(tasks, "batch").groupBy("batch"), asked.repartition(tasks, "of").groupBy("of")
+    return settled(own.cogroup(told).applyInArrow(rows, schema), mark)

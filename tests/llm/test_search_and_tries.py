@@ -92,6 +92,21 @@ def test_alignment_of_no_rows_and_string_ids(spark):
     assert (named["doc_id"], *named[1:-1]) == ("k", *_alignments([("k", "one two")])[0][1:-2])
 
 
+def test_aligned_batches_lie_in_small_rows(spark):
+    rows = [(i, f"one {i} two") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = token_alignment._batches(docs, A, B, "doc_id", "text", False).collect()
+    own = [r for r in found if r["n_a"] is not None]
+    assert sorted(r["id"] for r in own) == list(range(40))  # a row a document, whatever a batch holds
+    assert [(r["place"], r["links"], r["docs"]) for r in found if r["n_a"] is None] == [(None, None, [r["docs"] for r in found if r["docs"]][0])]
+    assert all(len(r["place"]) == len(r["links"]) == len(set(r["place"])) for r in own)
+
+
+def test_alignment_of_empty_texts_alone(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in token_alignment.align(docs, A, B).collect()) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
 def test_vocabulary_links_count_documents(spark):
     rows = [(1, "one one two"), (2, "one two"), (3, "two"), (3, "two")]
     want = Counter(p for _, t in rows for p in {(a, b) for x, y in _groups(t) for a in x for b in y})
