@@ -1,19 +1,25 @@
 """Invoices read from the boxes of their pages: header fields, a table over pages, totals and checks.
 
-Everything is joins and windows over a document's boxes, which are few; documents are dealt over tasks. Where reading goes on
-from row to row, its state is put in closed form: a page either stops and resumes the table or leaves it as it was, so the
-state at a page's start follows from the last page that decides it and the number of pages since that turn it round.
+A document's boxes are few, so the task that holds them reads it whole (box_reader); boxes are dealt once and nothing is written
+in between. The same steps as joins and windows over frames are here too; read_by_frames() goes through them, and tests hold
+both readings against each other. There, where reading goes on from row to row, its state is put in closed form: a page either
+stops and resumes the table or leaves it as it was, so the state at a page's start follows from the last page that decides it
+and the number of pages since that turn it round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.columns import money, printed_date, whole_number
+from sparkloom.operators import box_reader
 from sparkloom.operators.layout import cells, column_kinds, gutters, rows_of_boxes
 from sparkloom.session import written
 
@@ -288,16 +294,6 @@ def _region(placed: DataFrame, facts: DataFrame, header: DataFrame) -> DataFrame
     return written(placed.join(_first_pages(facts), "doc").join(header, "doc", "left").where(above).select(*placed.columns))
 
 
-def invoice_fields(boxes: DataFrame) -> DataFrame:
-    """The header fields of read_invoices() alone; nothing below the header is read."""
-    return header_fields(written(header_pairs(_region(*_frame(boxes)))))
-
-
-def invoice_lines(boxes: DataFrame) -> DataFrame:
-    """The items of read_invoices() alone; header fields aren't looked for."""
-    return _items(*_frame(boxes))[0]
-
-
 def _items(placed: DataFrame, facts: DataFrame, header: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The items of read_invoices(), table_rows() and the columns with their roles, written."""
     role = _named(F.col("label"), ROLE_WORDS)
@@ -331,14 +327,8 @@ def _items(placed: DataFrame, facts: DataFrame, header: DataFrame) -> tuple[Data
     return items, read, columns
 
 
-def read_invoices(boxes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of boxes (doc, page, text, x0, x1, top, bottom): documents, items and header fields.
-
-    documents (doc, number, issued, customer, country, credit_note, lines, total, subtotal, item_count, and five checks: each
-    line multiplies, lines add up to the total, the item count fits, number and date are there, the sign fits; a check with
-    nothing to compare is null), items (doc, item, code, description, quantity, unit_price, amount), fields as
-    header_fields(). A document without boxes has no row, one without a table no items.
-    """
+def read_by_frames(boxes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """read_invoices() by joins and windows; many times slower."""
     placed, facts, header = _frame(boxes)
     first, region = _first_pages(facts), _region(placed, facts, header)
     fields = written(header_fields(written(header_pairs(region))))
@@ -351,12 +341,149 @@ def read_invoices(boxes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     whole = F.coalesce(F.abs(F.col("quantity") * F.col("unit_price") - F.col("amount")) < 0.005, F.lit(False))
     sums = items.groupBy("doc").agg(F.count("*").alias("lines"), F.count_if(~whole).alias("_bad"), F.count("amount").alias("_n"), F.sum("amount").alias("_sum"))
     out = first.select("doc").join(wide, "doc", "left").join(noted, "doc", "left").join(sums, "doc", "left").join(totals, "doc", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+    return _checked(out).fillna(False, ["lines_multiply"]), items, fields
+
+
+def _checked(out: DataFrame) -> DataFrame:
+    """Documents with the values that were found, read and checked."""
     number, issued = F.nullif(F.regexp_replace("_number", " ", ""), F.lit("")), printed_date(F.col("_date"))
     credit = F.coalesce("noted", F.lit(False)) | F.coalesce(number.startswith("C"), F.lit(False))
-    out = out.select(
+    return out.select(
         "doc", number.alias("number"), issued.alias("issued"), F.when(F.col("_customer").rlike(r"^\d+$"), F.col("_customer").try_cast("long")).alias("customer"), F.nullif(F.col("_country"), F.lit("")).alias("country"), credit.alias("credit_note"),
         "lines", "total", "subtotal", "item_count", "total_by", ((F.col("lines") > 0) & (F.col("_bad") == 0)).alias("lines_multiply"),
         F.coalesce((F.col("_n") == F.col("lines")) & (F.abs(F.col("_sum") - F.col("total")) < 0.005), F.lit(False)).alias("total_fits"), (F.col("item_count") == F.col("lines")).alias("count_fits"),
         (number.isNotNull() & issued.isNotNull()).alias("header_complete"), F.when(F.col("total").isNotNull(), ((F.col("total") < 0) == credit) | (F.col("total") == 0)).alias("sign_fits"),
     )
-    return out.fillna(False, ["lines_multiply"]), items, fields
+
+
+TERMS = box_reader.Terms(box_reader.by_word(FIELD_LABELS), box_reader.by_word(ROLE_WORDS), TOTALS, SUBTOTAL, COUNTS)
+_BOX = {"page": None, "text": "string", "x0": "double", "x1": "double", "top": "double", "bottom": "double"}
+_FIELD = "field string, value string, label string, by string"
+_ITEM = "code string, description string, quantity bigint, unit_price decimal(14,2), amount decimal(14,2)"
+_SUMS = "lines bigint, _bad bigint, _n bigint, _sum decimal(24,2), total decimal(14,2), subtotal decimal(14,2), item_count bigint, total_by string, noted boolean"
+
+
+Pages = Callable[[Iterator[pa.RecordBatch]], Iterator[list[tuple]]]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Lists of documents (doc, boxes) from boxes that lie together."""
+    doc, own, found = None, [], []
+    for batch in batches:
+        for d, *box in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if d != doc or not own:
+                if own:
+                    found.append((doc, own))
+                doc, own = d, []
+            own.append(tuple(box))
+        if found:
+            yield found
+            found = []
+    if own:
+        yield [(doc, own)]
+
+
+def by_document(source: DataFrame, read: Callable[[list, pa.DataType], pa.RecordBatch], schema: str, pages: Pages | None = None) -> DataFrame:
+    """read() of lists of documents (doc, boxes), each with all its boxes (page, text, x0, x1, top, bottom), and the type of doc, as a table of that schema.
+
+    source has boxes, which are dealt by document; or it has other rows, doc among them, of which pages() makes lists of documents.
+    """
+    held = source
+    if pages is None:
+        held = source.select("doc", *[F.col(n).cast(t) if t else F.col(n) for n, t in _BOX.items()]).repartition("doc").sortWithinPartitions("doc")
+    listed = pages or _grouped
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field("doc").type
+                yield batch
+
+        for found in listed(seen()):
+            yield read(found, kind)
+
+    return held.mapInArrow(documents, schema)
+
+
+def decimals(values: list[int | None], digits: int = 14) -> pa.Array:
+    """Pennies as decimals with two places."""
+    given = np.array([v is not None for v in values], bool)
+    low, high = np.array([(v or 0) & 0xFFFFFFFFFFFFFFFF for v in values], np.uint64), np.array([(v or 0) >> 64 for v in values], np.int64)
+    return pa.Array.from_buffers(pa.decimal128(digits, 2), len(values), [pa.py_buffer(np.packbits(given, bitorder="little")), pa.py_buffer(np.stack((low, high.view(np.uint64)), 1).ravel())])
+
+
+def _lists(rows: list[list[tuple]], kinds: list[tuple[str, Callable | pa.DataType]]) -> pa.Array:
+    """Lists of structs from lists of tuples."""
+    flat = [x for own in rows for x in own]
+    columns = list(zip(*flat, strict=True)) if flat else [()] * len(kinds)
+    made = [kind(list(c)) if callable(kind) else pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)]
+    ends = np.concatenate(([0], np.cumsum([len(own) for own in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(made, [n for n, _ in kinds]))
+
+
+def _reading(boxes: DataFrame, fields: bool, items: bool, pages: Pages | None) -> DataFrame:
+    """(doc, fields, items, and what documents are checked by), a row per document with boxes."""
+    id_type = boxes.schema["doc"].dataType.simpleString()
+    schema = f"doc {id_type}, fields array<struct<{_FIELD}>>, items array<struct<{_ITEM}>>, {_SUMS}"
+
+    def read(found: list, kind: pa.DataType) -> pa.RecordBatch:
+        # a document without a key has a row, but nothing is found in it
+        rows = [(d, box_reader.invoice(own, TERMS, fields and d is not None, items and d is not None)) for d, own in found]
+        docs, out = [d for d, x in rows if x is not None], [x for _, x in rows if x is not None]
+        sums = []
+        for x in out:
+            amounts = [a for *_, a in x.items if a is not None]
+            bad = sum(q is None or p is None or a is None or q * p != a for _, _, q, p, a in x.items)
+            sums.append((len(x.items), bad, len(amounts), sum(amounts) if amounts else None, *x.totals, x.noted))
+        lines, bad, n, total, *totals, noted = zip(*sums, strict=True) if sums else [()] * 9
+        text = pa.string()
+        return pa.RecordBatch.from_arrays([
+            pa.array(docs, kind), _lists([x.fields for x in out], [("field", text), ("value", text), ("label", text), ("by", text)]),
+            _lists([x.items for x in out], [("code", text), ("description", text), ("quantity", pa.int64()), ("unit_price", decimals), ("amount", decimals)]),
+            *[pa.array(c, pa.int64()) for c in (lines, bad, n)], decimals(list(total), 24), decimals(list(totals[0])), decimals(list(totals[1])), pa.array(totals[2], pa.int64()), pa.array(totals[3], text), pa.array(noted, pa.bool_()),
+        ], ["doc", "fields", "items", "lines", "_bad", "_n", "_sum", "total", "subtotal", "item_count", "total_by", "noted"])
+
+    return by_document(boxes, read, schema, pages)
+
+
+def _documents(reading: DataFrame) -> DataFrame:
+    value = lambda name: F.get(F.filter("fields", lambda f: f["field"] == name), F.lit(0))["value"]
+    return _checked(reading.withColumns({f"_{n}": F.trim(value(n)) for n in FIELD_LABELS}))
+
+
+def _fields(reading: DataFrame) -> DataFrame:
+    return reading.select("doc", F.inline("fields"))
+
+
+def _listed(reading: DataFrame) -> DataFrame:
+    return reading.select("doc", F.posexplode("items").alias("at", "x")).select("doc", (F.col("at") + 1).cast("long").alias("item"), "x.*")
+
+
+def invoice_fields(boxes: DataFrame, pages: Pages | None = None) -> DataFrame:
+    """The header fields of read_invoices() alone; nothing below the header is read."""
+    return _fields(_reading(boxes, True, False, pages))
+
+
+def invoice_lines(boxes: DataFrame, pages: Pages | None = None) -> DataFrame:
+    """The items of read_invoices() alone; header fields aren't looked for."""
+    return _listed(_reading(boxes, False, True, pages))
+
+
+def invoice_documents(boxes: DataFrame, pages: Pages | None = None) -> DataFrame:
+    """The documents of read_invoices() alone; nothing is written."""
+    return _documents(_reading(boxes, True, True, pages))
+
+
+def read_invoices(boxes: DataFrame, pages: Pages | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of boxes (doc, page, text, x0, x1, top, bottom): documents, items and header fields.
+
+    documents (doc, number, issued, customer, country, credit_note, lines, total, subtotal, item_count, and five checks: each
+    line multiplies, lines add up to the total, the item count fits, number and date are there, the sign fits; a check with
+    nothing to compare is null), items (doc, item, code, description, quantity, unit_price, amount), fields as
+    header_fields(). A document without boxes has no row, one without a table no items. pages as in by_document().
+    """
+    reading = written(_reading(boxes, True, True, pages))
+    return _documents(reading), _listed(reading), _fields(reading)
