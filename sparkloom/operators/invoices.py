@@ -9,7 +9,7 @@ and the number of pages since that turn it round.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -357,64 +357,11 @@ def _checked(out: DataFrame) -> DataFrame:
 
 
 TERMS = box_reader.Terms(box_reader.by_word(FIELD_LABELS), box_reader.by_word(ROLE_WORDS), TOTALS, SUBTOTAL, COUNTS)
-_BOX = {"page": None, "text": "string", "x0": "double", "x1": "double", "top": "double", "bottom": "double"}
 _FIELD = "field string, value string, label string, by string"
 _ITEM = "code string, description string, quantity bigint, unit_price decimal(14,2), amount decimal(14,2)"
 _SUMS = "lines bigint, _bad bigint, _n bigint, _sum decimal(24,2), total decimal(14,2), subtotal decimal(14,2), item_count bigint, total_by string, noted boolean"
 
 
-Pages = Callable[[Iterator[pa.RecordBatch]], Iterator[list[tuple]]]
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Lists of documents (doc, boxes) from boxes that lie together."""
-    doc, own, found = None, [], []
-    for batch in batches:
-        for d, *box in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if d != doc or not own:
-                if own:
-                    found.append((doc, own))
-                doc, own = d, []
-            own.append(tuple(box))
-        if found:
-            yield found
-            found = []
-    if own:
-        yield [(doc, own)]
-
-
-def by_document(source: DataFrame, read: Callable[[list, pa.DataType], pa.RecordBatch], schema: str, pages: Pages | None = None) -> DataFrame:
-    """read() of lists of documents (doc, boxes), each with all its boxes (page, text, x0, x1, top, bottom), and the type of doc, as a table of that schema.
-
-    source has boxes, which are dealt by document; or it has other rows, doc among them, of which pages() makes lists of documents.
-    """
-    held = source
-    if pages is None:
-        held = source.select("doc", *[F.col(n).cast(t) if t else F.col(n) for n, t in _BOX.items()]).repartition("doc").sortWithinPartitions("doc")
-    listed = pages or _grouped
-
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
-
-        def seen() -> Iterator[pa.RecordBatch]:
-            nonlocal kind
-            for batch in batches:
-                kind = batch.schema.field("doc").type
-                yield batch
-
-        for found in listed(seen()):
-            yield read(found, kind)
-
-    return held.mapInArrow(documents, schema)
-
-
-def decimals(values: list[int | None], digits: int = 14) -> pa.Array:
-    """Pennies as decimals with two places."""
-    given = np.array([v is not None for v in values], bool)
-    low, high = np.array([(v or 0) & 0xFFFFFFFFFFFFFFFF for v in values], np.uint64), np.array([(v or 0) >> 64 for v in values], np.int64)
-    return pa.Array.from_buffers(pa.decimal128(digits, 2), len(values), [pa.py_buffer(np.packbits(given, bitorder="little")), pa.py_buffer(np.stack((low, high.view(np.uint64)), 1).ravel())])
-
-
 def _lists(rows: list[list[tuple]], kinds: list[tuple[str, Callable | pa.DataType]]) -> pa.Array:
     """Lists of structs from lists of tuples."""
     flat = [x for own in rows for x in own]
@@ -424,7 +371,7 @@ def _lists(rows: list[list[tuple]], kinds: list[tuple[str, Callable | pa.DataTyp
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(made, [n for n, _ in kinds]))
 
 
-def _reading(boxes: DataFrame, fields: bool, items: bool, pages: Pages | None) -> DataFrame:
+def _reading(boxes: DataFrame, fields: bool, items: bool, pages: box_reader.Pages | None) -> DataFrame:
     """(doc, fields, items, and what documents are checked by), a row per document with boxes."""
     id_type = boxes.schema["doc"].dataType.simpleString()
     schema = f"doc {id_type}, fields array<struct<{_FIELD}>>, items array<struct<{_ITEM}>>, {_SUMS}"
@@ -442,11 +389,11 @@ def _reading(boxes: DataFrame, fields: bool, items: bool, pages: Pages | None) -
         text = pa.string()
         return pa.RecordBatch.from_arrays([
             pa.array(docs, kind), _lists([x.fields for x in out], [("field", text), ("value", text), ("label", text), ("by", text)]),
-            _lists([x.items for x in out], [("code", text), ("description", text), ("quantity", pa.int64()), ("unit_price", decimals), ("amount", decimals)]),
-            *[pa.array(c, pa.int64()) for c in (lines, bad, n)], decimals(list(total), 24), decimals(list(totals[0])), decimals(list(totals[1])), pa.array(totals[2], pa.int64()), pa.array(totals[3], text), pa.array(noted, pa.bool_()),
+            _lists([x.items for x in out], [("code", text), ("description", text), ("quantity", pa.int64()), ("unit_price", box_reader.decimals), ("amount", box_reader.decimals)]),
+            *[pa.array(c, pa.int64()) for c in (lines, bad, n)], box_reader.decimals(list(total), 24), box_reader.decimals(list(totals[0])), box_reader.decimals(list(totals[1])), pa.array(totals[2], pa.int64()), pa.array(totals[3], text), pa.array(noted, pa.bool_()),
         ], ["doc", "fields", "items", "lines", "_bad", "_n", "_sum", "total", "subtotal", "item_count", "total_by", "noted"])
 
-    return by_document(boxes, read, schema, pages)
+    return box_reader.by_document(boxes, read, schema, pages)
 
 
 def _documents(reading: DataFrame) -> DataFrame:
@@ -462,28 +409,28 @@ def _listed(reading: DataFrame) -> DataFrame:
     return reading.select("doc", F.posexplode("items").alias("at", "x")).select("doc", (F.col("at") + 1).cast("long").alias("item"), "x.*")
 
 
-def invoice_fields(boxes: DataFrame, pages: Pages | None = None) -> DataFrame:
+def invoice_fields(boxes: DataFrame, pages: box_reader.Pages | None = None) -> DataFrame:
     """The header fields of read_invoices() alone; nothing below the header is read."""
     return _fields(_reading(boxes, True, False, pages))
 
 
-def invoice_lines(boxes: DataFrame, pages: Pages | None = None) -> DataFrame:
+def invoice_lines(boxes: DataFrame, pages: box_reader.Pages | None = None) -> DataFrame:
     """The items of read_invoices() alone; header fields aren't looked for."""
     return _listed(_reading(boxes, False, True, pages))
 
 
-def invoice_documents(boxes: DataFrame, pages: Pages | None = None) -> DataFrame:
+def invoice_documents(boxes: DataFrame, pages: box_reader.Pages | None = None) -> DataFrame:
     """The documents of read_invoices() alone; nothing is written."""
     return _documents(_reading(boxes, True, True, pages))
 
 
-def read_invoices(boxes: DataFrame, pages: Pages | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_invoices(boxes: DataFrame, pages: box_reader.Pages | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of boxes (doc, page, text, x0, x1, top, bottom): documents, items and header fields.
 
     documents (doc, number, issued, customer, country, credit_note, lines, total, subtotal, item_count, and five checks: each
     line multiplies, lines add up to the total, the item count fits, number and date are there, the sign fits; a check with
     nothing to compare is null), items (doc, item, code, description, quantity, unit_price, amount), fields as
-    header_fields(). A document without boxes has no row, one without a table no items. pages as in by_document().
+    header_fields(). A document without boxes has no row, one without a table no items. pages as in box_reader.by_document().
     """
     reading = written(_reading(boxes, True, True, pages))
     return _documents(reading), _listed(reading), _fields(reading)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sparkloom.functions.columns import money, printed_date, whole_number
-from sparkloom.operators import box_reader, invoices
+from sparkloom.operators import box_reader, invoices, layout
 from sparkloom.query_sets.invoices import _invoice
 
 BOX = "doc long, page long, text string, x0 double, x1 double, top double, bottom double"
@@ -60,3 +60,16 @@ def test_boxes_are_dealt_once_and_nothing_is_written(spark, monkeypatch):
         found = read(boxes)
         assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
         assert found.count() > 0
+
+
+def test_tables_are_read_in_the_task(spark):
+    head = [("Description", 0.0, 10.0), ("Qty", 100.0, 10.0), ("Price", 200.0, 10.0), ("Amount", 300.0, 10.0)]
+    rows = [("MUG", 0.0, 40.0), ("2", 101.0, 40.0), ("1.50", 202.0, 40.0), ("3.00", 300.0, 40.0), ("in a box", 0.0, 53.0), ("CUP", 0.0, 70.0), ("1", 100.0, 70.0), ("4.00", 200.0, 70.0), ("4.00", 300.0, 70.0)]
+    foot = [("Total due:", 200.0, 110.0), ("7.00", 300.0, 110.0), ("9.99", 0.0, 110.0), ("Thank you", 0.0, 150.0)]
+    wrong = [(t if t != "7.00" else "8.00", x, y) for t, x, y in foot]
+    boxes = [(doc, 1, t, x, x + 30, y, y + 10) for doc, own in enumerate((head + rows + foot, head + rows + wrong, rows + foot[:0], head, rows[:4])) for t, x, y in own] + [(9, 1, None, 1.0, 2.0, 3.0, 4.0)]
+    random.Random(2).shuffle(boxes)
+    found = layout.extracted_invoices(spark.createDataFrame(boxes, BOX))
+    # without a header row the row above the first amounts is taken, and here there is none
+    assert sorted((r["doc"], r["items"], r["quantity"], float(r["amount"]), float(r["total"]), r["consistent"]) for r in found.collect()) == [(0, 2, 3, 7.0, 7.0, True), (1, 2, 3, 7.0, 8.0, False)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
