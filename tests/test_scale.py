@@ -1,6 +1,7 @@
 """Steps whose work must follow their input's rows, not the values in them or the number of shuffle partitions."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -118,6 +119,43 @@ def test_postings_of_a_term_are_shared(spark, tmp_path, monkeypatch):
     assert len(files) > 3 and index._read("postings").count() == 30
 
 
+def test_indexes_are_built_in_passes_and_searched_in_blocks(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "en", "t", f"apple word{i % 5} refers to plum {i}. pear word{i % 3}") for i in range(60)], "id long, collection string, title string, text string")
+    queries = spark.createDataFrame([(q, None, f"apple word{q % 5}" if q % 2 else f'"word{q % 3}" or plum -apple') for q in range(12)], "query long, collection string, text string")
+    whole = term_index.update(docs, str(tmp_path / "whole"), buckets=2)
+    rows = lambda df: sorted(map(tuple, df.drop("segment").collect()))
+    wanted, defined = rows(term_index.search(whole, queries)), rows(term_index.definitions(whole, queries))
+    posted, blocks, search, shuffles = [], [], term_index._search, []
+    monkeypatch.setattr(term_index, "CHARS_PER_TASK", 300)
+    monkeypatch.setattr(term_index, "CHARS_PER_PASS", 1200)
+    monkeypatch.setattr(term_index, "HITS_PER_BLOCK", 500)
+    make = term_index.postings
+    monkeypatch.setattr(term_index, "postings", lambda *a: (posted.append(1), make(*a))[1])
+    monkeypatch.setattr(term_index, "_search", lambda *a: (blocks.append(search(*a)), shuffles.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")), blocks[-1])[2])
+    parts = term_index.update(docs, str(tmp_path / "parts"), buckets=2)
+    assert len(posted) > 1 and rows(parts._read("postings").select("term", "id", "ordinal")) == rows(whole._read("postings").select("term", "id", "ordinal"))
+    assert rows(term_index.search(parts, queries)) == wanted and len(blocks) > 1 and set(shuffles) == {"false"}
+    assert rows(term_index.definitions(parts, queries)) == defined
+    assert not any(os.path.exists(folder.removeprefix("file://")) for _, folders in blocks for folder in folders)
+    again = term_index.compacted(parts)
+    assert rows(term_index.search(again, queries)) == wanted
+
+
+def test_shuffles_of_written_tables_are_deleted(spark, tmp_path):
+    seen = []
+
+    class Frame:  # what is set while a frame is written
+        sparkSession, schema = spark, spark.range(1).schema
+        write = property(lambda self: self)
+
+        def parquet(self, path):
+            seen.append(spark.conf.get(session.CLEAN_SHUFFLES))
+            spark.range(1).write.parquet(path)
+
+    session.written(Frame())
+    assert seen == ["true"] and spark.conf.get(session.CLEAN_SHUFFLES, "false") == "false"
+
+
 def test_one_pattern_decides_for_texts_that_are_no_numbers(spark):
     rows = [("1,234.50", -1), ("(£12.00)", 1), ("−£ 3.10", 1), ("£-3.10", 1), ("GBP 7.00", 0), ("12", 0), ("(1,000)", 1), ("(-5)", 1), ("-(5)", 0), ("(5", 0), ("1,23", 0), ("", 0), (None, 0), ("x", 0), ("99999999999999999999", 0), ("12.00\n", 0), ("--1.00", 1)]
     texts = spark.createDataFrame(rows, "t string, n int").select("t", money(F.col("t")).cast("string").alias("m"), whole_number(F.col("t")).alias("w"))
