@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom import session
+from sparkloom import queries, session
 from sparkloom.functions.columns import money, printed_date, stem, stems, whole_number
 from sparkloom.operators import answers, etl, invoices, layout, orders, outline, retrieval, term_index
 from sparkloom.session import dealt
-from sparkloom.sources import files
+from sparkloom.sources import files, views
 
 
 def _emptiest(boxes, heads):
@@ -201,6 +201,16 @@ def test_drops_are_compared_before_they_are_typed(spark):
     assert [(held[i]["reason"], held[i]["severity"], held[i]["warnings"], held[i]["line_type"]) for i in range(3)] == [(None, None, ["stock_code_normalised"], "product"), ("duplicate_line", "dropped", None, None), ("outside_drop_period", "reject", None, None)]
 
 
+def test_drops_are_written_before_they_are_judged(spark, monkeypatch):
+    made, sf, write = [], "/root/testdata/sf0.001", queries.written_at
+    monkeypatch.setattr(views, "_derived", {})
+    monkeypatch.setattr(queries, "written_at", lambda df, *a: (made.append(write(df, *a)), made[-1])[1])
+    judged = queries._judged(spark, sf)
+    wanted = queries._validated(spark, sf).groupBy("period", "reason").count()
+    assert sorted(map(repr, judged.groupBy("period", "reason").count().collect())) == sorted(map(repr, wanted.collect()))
+    assert len(made) == 1 and not os.path.exists(made[0][1].removeprefix("file://"))  # and gone when they are
+
+
 def test_cheap_comparisons_are_the_plain_ones(spark):
     texts = ["abc", "ABC", "ab", "straße", "STRASSE", "é", "É", "", None]
     pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
